@@ -13,9 +13,11 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a regex class, written so that Java and RE2 read it alike.
-WS = "[" + WHITESPACE + "]"
-BLANK = "[" + WHITESPACE.replace("\n", "") + "]"
+# The same set as regex classes, written so that Java and RE2 read them alike; BLANK
+# leaves out the line feed.
+_WIDE = "\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[\t-\r{_WIDE}]"
+BLANK = f"[\t\x0b-\r{_WIDE}]"
 
 # The seven marks of Markdown text.
 MARKDOWN_MARKS = (
@@ -59,7 +61,8 @@ HTML_RULES = (
 )
 
 # One token: a single Han character, or a run without blanks, punctuation or symbols.
-TOKEN = rf"(\p{{IsHan}}|[^{WHITESPACE}\p{{IsHan}}\p{{P}}\p{{S}}]+)"
+# Common letters stand first in the class, where they are matched fastest.
+TOKEN = rf"[a-z0-9à-öø-ÿ[^\t-\r{_WIDE}\p{{P}}\p{{S}}\p{{IsHan}}]]+|\p{{IsHan}}"
 
 
 def let(value: Column, body) -> Column:
@@ -103,7 +106,7 @@ def is_markdown(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def span_markdown(text: Column, size: Column, flags: Column) -> Column:

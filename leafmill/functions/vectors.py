@@ -58,4 +58,5 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
             rows.append((counts / norm if norm else counts).astype(np.float32))
         return pd.Series(rows, dtype=object)
 
-    return bag(tokens(text))
+    # computed once, wherever filters and projections move
+    return bag.asNondeterministic()(tokens(text))

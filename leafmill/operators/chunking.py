@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import (
-    MARKDOWN_MARKS,
-    TOKEN,
     WS,
     is_blank,
     is_markdown,
@@ -25,6 +23,7 @@ from leafmill.functions.text import (
     strip,
     tokens,
 )
+from leafmill.operators.frames import unnest
 
 # Sizes, sentence marks and separators.
 CHUNK_SIZE = 200
@@ -34,7 +33,6 @@ SENTENCE_MARKS = "[。！？.!?]"
 RECURSIVE_SEPARATORS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?", " ", "")
 
 __all__ = [
-    "MARKDOWN_MARKS",
     "auto_chunks",
     "basic_chunks",
     "chunk_features",
@@ -242,7 +240,8 @@ def recursive_chunks(
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _recursive_split(t, size, overlap, separators))
 
-    return split(text)
+    # computed once, wherever filters and projections move
+    return split.asNondeterministic()(text)
 
 
 def _pack_sentences(sentences: list[str], size: int, overlap: int, token: re.Pattern) -> list[str]:
@@ -284,7 +283,7 @@ def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = C
 
     # the JVM cuts the text after each run of sentence marks
     ended = F.split(text, r"(?<=[。！？.!?])(?![。！？.!?])")
-    return pack(F.filter(ended, lambda s: ~is_blank(s)))
+    return pack.asNondeterministic()(F.filter(ended, lambda s: ~is_blank(s)))
 
 
 def auto_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -313,7 +312,7 @@ def chunk_table(df: DataFrame, text: str = "text", method: str = "basic", **opti
     """
     chunks = CHUNKERS.get(method, basic_chunks)(F.col(text), **options)
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "text"))
+    return unnest(df, keep, chunks, "text", "chunk_index")
 
 
 def chunk_features(chunks: DataFrame, text: str = "text", order: str = "chunk_index") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import tokens
+from leafmill.operators.frames import unnest
 from leafmill.operators.hits import QUERY_LIMIT, blocked_hits, rank_hits, sparse_product, top_hits
+from leafmill.session import checkpointed
 
 # BM25 and rank-fusion constants, and the vocabulary size up to which
 # query terms travel as a filter.
@@ -65,10 +67,11 @@ def bm25(
     row where the vocabulary is small. Document frequencies are one pre-aggregated
     count per term; scores never leave the task that holds the document.
     """
+    spark = documents.sparkSession
     asked = questions.select(
         F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.col(text))).alias("terms")
     )
-    words = asked.select(F.explode("terms").alias("term")).distinct()
+    words = unnest(asked, [], F.col("terms"), "term").distinct()
     vocabulary = [r["term"] for r in words.limit(VOCABULARY_LIMIT + 1).collect()]  # bounded
     small = len(vocabulary) <= VOCABULARY_LIMIT
 
@@ -76,22 +79,33 @@ def bm25(
         "id", F.size("terms").alias("length"), "terms"
     )
     if small:
-        docs = docs.withColumn("terms", F.filter("terms", lambda t: t.isin(vocabulary)))
-    seen = docs.select(F.explode(F.array_distinct("terms")).alias("term"))
+        listed = ", ".join(f"'{w}'" for w in vocabulary) or "null"  # tokens hold no quotes
+        docs = docs.withColumn("terms", F.expr(f"filter(terms, t -> t in ({listed}))"))
+    # one pass counts each term's documents and, under the empty term, all documents
+    marked = F.concat(F.array(F.lit("")), F.array_distinct("terms"))
+    counts = unnest(docs, ["length"], marked, "term")
     if not small:
-        seen = seen.join(words, "term", "left_semi")
-    frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()  # one row
+        counts = counts.join(words.union(spark.createDataFrame([("",)], "term string")), "term", "left_semi")
+    stats = counts.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("tokens")
+    )
+    if small:  # a row per vocabulary term
+        stats = spark.createDataFrame(stats.collect(), stats.schema)
+    else:
+        stats = checkpointed(stats)
+    totals = stats.where("term = ''").first()
+    n, mean = (totals["df"], totals["tokens"] / totals["df"]) if totals else (0, 1.0)
+    frequency = stats.where("term <> ''")
 
-    idf = F.log1p((F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
-        asked.select("query_id", F.explode("terms").alias("term"))
+        unnest(asked, ["query_id"], F.col("terms"), "term")
         .join(frequency, "term")
         .groupBy("query_id")
         .agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("_t"))
         .select("query_id", F.col("_t.term").alias("terms"), F.col("_t.idf").alias("idf"))
     )
-    corpus = docs.withColumn("mean_length", F.lit(totals["mean"])).where(F.size("terms") > 0)
+    corpus = docs.withColumn("mean_length", F.lit(mean))
     kernel = _bm25_kernel(k1, b)
     if small:
         return top_hits(corpus, weighted, kernel, k, query_limit)

@@ -24,12 +24,21 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def cosine_kernel(exclude_self: bool = False):
-    """Cosine of every query with every corpus row; a zero vector scores 0."""
+    """Cosine of every query with every corpus row of its dimension.
+
+    A zero vector scores 0; another dimension is no hit.
+    """
 
     def score(corpus: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
-        c, q = _matrix(corpus["embedding"]), _matrix(queries["embedding"])
-        norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
-        scores = np.divide(q @ c.T, norms, out=np.zeros((len(q), len(c))), where=norms > 0)
+        scores = np.full((len(queries), len(corpus)), -np.inf)
+        c_dim, q_dim = (side["embedding"].str.len().to_numpy() for side in (corpus, queries))
+        for dim in np.unique(q_dim):
+            rows, cols = np.flatnonzero(q_dim == dim), np.flatnonzero(c_dim == dim)
+            if dim and len(cols):
+                q, c = _matrix(queries["embedding"].iloc[rows]), _matrix(corpus["embedding"].iloc[cols])
+                norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
+                cosine = np.divide(q @ c.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                scores[np.ix_(rows, cols)] = cosine
         if exclude_self:
             scores[queries["query_id"].to_numpy()[:, None] == corpus["id"].to_numpy()[None, :]] = -np.inf
         return scores
@@ -59,21 +68,10 @@ def knn(
     """
     rows = _vectors(corpus.where(where(filter_metadata)), corpus_id, vector, "id")
     asked = _vectors(queries, query_id, vector, "query_id")
-    dims = asked.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-    if dims["lo"] is None or dims["lo"] != dims["hi"]:
-        asked = asked.where(F.lit(False)) if dims["lo"] is None else _one_dimension(asked, rows)
-        dims = asked.agg(F.max(F.size("embedding")).alias("hi")).first()
-    rows = rows.where(F.size("embedding") == F.lit(dims["hi"]))
     hits = top_hits(rows, asked, cosine_kernel(exclude_self), k, query_limit)
     return hits.withColumn("distance", F.round(1 - F.col("score"), 6))
 
 
-def _one_dimension(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of queries with mixed dimensions, those that fit the corpus."""
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
-    return asked.where(F.size("embedding") == F.lit(dim))
-
-
 def text_search(
     corpus: DataFrame,
     questions: DataFrame,

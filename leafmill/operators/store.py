@@ -108,20 +108,28 @@ def valid_documents(rows: DataFrame, store: DataFrame | None = None) -> DataFram
     return guard_dimension(whole, store).where("accepted").drop("accepted", "reason")
 
 
-def add_documents(spark: SparkSession, rows: DataFrame, root: str, metadata: list[str]) -> DataFrame:
-    """Add valid, new rows to the store and return their ids.
+def known_store(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest snapshot, or nothing where there is none yet."""
+    return read_store(spark, root) if snapshots(spark, root) else None
+
+
+def append_batch(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    """Append rows as a ``batch`` partition of their own and return their ids.
 
-    Each call writes its own ``batch`` partition; the ids come from reading that
-    partition back, so nothing is computed twice.
+    The ids come from reading that partition back, so nothing is computed twice.
     """
-    known = snapshots(spark, root)
-    store = read_store(spark, root) if known else None
-    fresh = new_rows(with_chunk_id(valid_documents(rows, store), metadata), store)
     number = _next_batch(spark, root)
-    append_rows(fresh.withColumn("batch", F.lit(number)), root)
+    append_rows(rows.withColumn("batch", F.lit(number)), root)
     return read_store(spark, root).where(F.col("batch") == number).select("id")
 
 
+def add_documents(spark: SparkSession, rows: DataFrame, root: str, metadata: list[str]) -> DataFrame:
+    """Add valid, new rows that bring their embedding; returns the ids added."""
+    store = known_store(spark, root)
+    fresh = new_rows(with_chunk_id(valid_documents(rows, store), metadata), store)
+    return append_batch(spark, fresh, root)
+
+
 def _next_batch(spark: SparkSession, root: str) -> int:
     known = snapshots(spark, root)
     if not known:

@@ -24,6 +24,8 @@ UNKNOWN = "未知"
 RESULT = "结果"
 VALUE = "值"
 
+QUARTILES = (0.25, 0.5, 0.75)
+
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
 
@@ -83,7 +85,7 @@ def inferred_types(df: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias(f"rows_{i}"),
             F.count(c).alias(f"present_{i}"),
             F.count_if(c.rlike(NUMBER)).alias(f"numbers_{i}"),
-            F.count_if(c.rlike(INTEGER)).alias(f"integers_{i}"),
+            F.count_if(c.rlike(NUMBER) & c.rlike(INTEGER)).alias(f"integers_{i}"),
             F.count(F.try_to_timestamp(c)).alias(f"times_{i}"),
         ]
     row = df.agg(*stats)
@@ -266,22 +268,28 @@ def _bracketed_quantiles(numbers: DataFrame, columns: Sequence[str], probs: Sequ
     )
 
 
+def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Of the named columns those that hold a null, found in one pass."""
+    found = missing_counts(df.select(*(F.col(_q(c)) for c in columns))).where("missing > 0")
+    return [r["column"] for r in found.collect()]  # a row per column
+
+
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """Fill nulls of numeric columns with the column's median."""
-    columns = list(columns or numeric_columns(df))
-    medians = {
-        r["column"]: r["value"]
-        for r in exact_quantiles(df, columns, [0.5], direct_rows).collect()  # a row per column
-    }
-    fills = {c: m for c, m in medians.items() if m is not None}
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out = {}
-    for c, m in fills.items():
-        kind = types[c]
-        if not float(m).is_integer() and isinstance(kind, T.IntegralType):
-            kind = T.DoubleType()
-        out[c] = F.coalesce(F.col(_q(c)).cast(kind), F.lit(m).cast(kind))
-    return df.withColumns(out) if out else df
+    """Fill nulls of numeric columns with the column's median.
+
+    A whole-number column with nulls becomes ``double``; one without stays as it is.
+    """
+    gaps = columns_with_gaps(df, list(columns or numeric_columns(df)))
+    if not gaps:
+        return df
+    medians = exact_quantiles(df, gaps, [0.5], direct_rows).collect()  # a row per column
+    return df.withColumns(
+        {
+            r["column"]: F.coalesce(F.col(_q(r["column"])).cast("double"), F.lit(r["value"]))
+            for r in medians
+            if r["value"] is not None
+        }
+    )
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -302,7 +310,9 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute_mode(df: DataFrame, columns: Sequence[str] | None = None, unknown: str = UNKNOWN) -> DataFrame:
     """Fill nulls of text columns with the column's mode, else with ``unknown``."""
-    columns = list(columns or text_columns(df))
+    columns = columns_with_gaps(df, list(columns or text_columns(df)))
+    if not columns:
+        return df
     modes = {r["column"]: r["mode"] for r in column_modes(df, columns).collect()}  # a row per column
     return df.withColumns(
         {c: F.coalesce(F.col(_q(c)), F.lit(modes.get(c, unknown))) for c in columns}
@@ -322,26 +332,25 @@ def tidy(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles, maximum per numeric column."""
     columns = list(columns or numeric_columns(df))
-    row = df.agg(
-        *(
-            f(F.col(_q(c)).cast("double")).alias(f"{name}_{i}")
-            for i, c in enumerate(columns)
-            for name, f in (
-                ("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max),
-            )
-        )
-    )
-    moments = _as_rows(row, columns, {k: k for k in ("count", "mean", "std", "min", "max")})
-    quartiles = (
-        exact_quantiles(df, columns, [0.25, 0.5, 0.75], direct_rows)
-        .groupBy("column")
-        .pivot("prob", [0.25, 0.5, 0.75])
-        .agg(F.max("value"))
-        .toDF("column", "q25", "q50", "q75")
-    )
-    return moments.join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    numbers = df.select(*(F.col(_q(c)).cast("double").alias(c) for c in columns))
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    direct = numbers.count() <= direct_rows
+    if direct:  # one pass for all
+        moments["quartiles"] = lambda c: F.percentile(c, F.array(*(F.lit(p) for p in QUARTILES)))
+    row = numbers.agg(
+        *(f(F.col(_q(c))).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in moments.items())
     )
+    rows = _as_rows(row, columns, {k: k for k in moments})
+    if direct:
+        rows = rows.withColumns({f"q{i}": F.get("quartiles", i) for i in range(3)})
+    else:
+        ranks = exact_quantiles(numbers, columns, QUARTILES, direct_rows)
+        wide = ranks.groupBy("column").pivot("prob", list(QUARTILES)).agg(F.max("value"))
+        rows = rows.join(wide.toDF("column", "q0", "q1", "q2"), "column", "left")
+    return rows.select(
+        "column", "count", "mean", "std", "min",
+        F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max",
+    )
 
 
 def row_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:

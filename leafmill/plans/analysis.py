@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import tokens
 from leafmill.operators import analysis as an
 from leafmill.operators.charts import CHART_KEYS, chart_frame, repair_mapping
+from leafmill.operators.frames import unnest
 from leafmill.plans import sql
 from leafmill.plans.registry import query
 from leafmill.session import load, spread
@@ -135,9 +136,10 @@ def chart_values(spark, sf):
     return chart_frame(load(spark, sf, "part"), "histogram", {"value": "p_retailprice"})
 
 
-@query("SELECT o_orderstatus AS x, o_totalprice AS value FROM orders")
+@query("SELECT CAST(month(o_orderdate) AS DOUBLE) AS x, o_totalprice AS value FROM orders")
 def chart_x_value(spark, sf):
-    return chart_frame(load(spark, sf, "orders"), "boxplot", {"x": "o_orderstatus", "value": "o_totalprice"})
+    orders = load(spark, sf, "orders").select(F.month("o_orderdate").alias("month"), "o_totalprice")
+    return chart_frame(orders, "boxplot", {"x": "month", "value": "o_totalprice"})
 
 
 @query(
@@ -191,7 +193,7 @@ def chart_liquid(spark, sf):
     """
 )
 def chart_words(spark, sf):
-    words = spread(load(spark, sf, "documents"), "doc_id").select(F.explode(tokens(F.col("text"))).alias("word"))
+    words = unnest(spread(load(spark, sf, "documents"), "doc_id"), [], tokens(F.col("text")), "word")
     return chart_frame(words.groupBy("word").count(), "word_cloud", {"text": "word", "value": "count"})
 
 

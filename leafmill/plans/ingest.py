@@ -10,42 +10,53 @@ from pyspark.sql import functions as F
 from leafmill.functions.vectors import hash_embedding, truncate_to_budget
 from leafmill.operators.chunking import chunk_table, enrich_chunks
 from leafmill.operators.embedding import embed_rows
-from leafmill.operators.store import add_documents
+from leafmill.operators.store import append_batch, known_store, new_rows, valid_documents, with_chunk_id
+from leafmill.session import spread
 
-PIPELINE_VERSION = "1.0"
 STAGE = "text_to_chunks"
 
 
 def prepare_chunks(
     documents: DataFrame,
+    metadata: list[str],
     text: str = "text",
     method: str = "basic",
-    embedder: Callable[[Column], Column] = hash_embedding,
     content_type: str = "markdown",
     stage: str = STAGE,
     **options,
 ) -> DataFrame:
-    """Chunk, enrich and embed in one narrow pass, without a shuffle."""
-    chunks = enrich_chunks(chunk_table(documents, text, method, **options), content_type, stage)
-    return embed_rows(chunks, embedder=lambda c: embedder(truncate_to_budget(c)))
+    """Chunk, enrich and identify in one narrow pass."""
+    chunks = chunk_table(spread(documents), text, method, **options)
+    return with_chunk_id(enrich_chunks(chunks, content_type, stage), metadata)
 
 
 def ingest(
-    spark: SparkSession, documents: DataFrame, root: str, metadata: list[str], **options
+    spark: SparkSession,
+    documents: DataFrame,
+    root: str,
+    metadata: list[str],
+    embedder: Callable[[Column], Column] = hash_embedding,
+    **options,
 ) -> DataFrame:
-    """Add the chunks of the documents to the store; returns the ids added."""
-    return add_documents(spark, prepare_chunks(documents, **options), root, metadata)
+    """Add the chunks of the documents to the store; returns the ids added.
 
+    Copies and known chunks leave before the embedder, the dearest step, sees them.
+    """
+    store = known_store(spark, root)
+    fresh = new_rows(prepare_chunks(documents, metadata, **options), store)
+    embedded = embed_rows(fresh, embedder=lambda c: embedder(truncate_to_budget(c)))
+    return append_batch(spark, valid_documents(embedded, store), root)
 
-def table_chunks(description: DataFrame, rows: int, columns: list[str], **options) -> DataFrame:
+
+def table_chunks(description: DataFrame, rows: int, columns: list[str], metadata: list[str], **options) -> DataFrame:
     """A table's description as chunks that also carry its shape."""
-    chunks = prepare_chunks(
-        description, "description", content_type="table_description", stage="table_to_text", **options
-    )
-    return chunks.withColumns(
+    shaped = description.withColumns(
         {
             "table_rows": F.lit(rows),
             "table_columns": F.lit(len(columns)),
             "table_columns_list": F.lit(", ".join(columns)),
         }
     )
+    return prepare_chunks(
+        shaped, metadata, "description", content_type="table_description", stage="table_to_text", **options
+    )

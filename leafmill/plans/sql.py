@@ -45,6 +45,33 @@ def sentence_chunks(table: str, key: str, text: str, name: str = "sentence_chunk
     """
 
 
+def sections(table: str) -> str:
+    """CTEs that end in ``sections(id, chunk_index, path, text)``: text between headings."""
+    return f"""
+    ln AS (SELECT id, {strip('unnest(ls)')} AS line, generate_subscripts(ls, 1) AS pos
+           FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {table})),
+    hd AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}( .*)?$') THEN length(regexp_extract(line, '^#+')) ELSE 0 END AS lev
+           FROM ln),
+    sec AS (SELECT *, sum(CASE WHEN lev > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS sec FROM hd),
+    body AS (
+      SELECT id, sec, {strip("string_agg(line, chr(10) ORDER BY pos)")} AS text
+      FROM sec WHERE lev = 0 GROUP BY id, sec),
+    heads AS (SELECT id, sec, lev, {strip("regexp_replace(line, '^#+', '')")} AS name FROM sec WHERE lev > 0),
+    above AS (
+      SELECT b.id, b.sec, h.sec AS hsec, h.lev, h.name,
+             min(h.lev) OVER (PARTITION BY b.id, b.sec ORDER BY h.sec DESC
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
+      FROM body b JOIN heads h ON h.id = b.id AND h.sec <= b.sec),
+    paths AS (
+      SELECT id, sec, string_agg(name, ' > ' ORDER BY hsec) AS path
+      FROM above WHERE later IS NULL OR lev < later GROUP BY id, sec),
+    sections AS (
+      SELECT id, row_number() OVER (PARTITION BY id ORDER BY sec) - 1 AS chunk_index,
+             coalesce(path, '') AS path, regexp_replace(text, '\\n{{2,}}', '  ' || chr(10), 'g') AS text
+      FROM body LEFT JOIN paths USING (id, sec) WHERE text <> '')
+    """
+
+
 # CTEs that end in chunks(doc_id, chunk_index, text): the basic chunker over
 # documents, with single line breaks between paragraphs.
 CHUNKS = f"""
@@ -132,4 +159,4 @@ KNN_HITS = f"""
     knn_hits AS ({ranked('knn_all')})
 """
 
-__all__ = ["BM25_HITS", "CHUNKS", "KNN_HITS", "TEXT_HITS", "WS", "hashed", "pieces", "ranked", "rewrite", "strip", "tokens"]
+__all__ = ["BM25_HITS", "CHUNKS", "KNN_HITS", "TEXT_HITS", "WS", "hashed", "pieces", "ranked", "rewrite", "sections", "strip", "tokens"]

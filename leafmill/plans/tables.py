@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import tables as tb
 from leafmill.plans.registry import query
-from leafmill.session import load
+from leafmill.session import load, spread
 
 
 def with_gaps(df, column, key, every):
@@ -40,7 +40,7 @@ def _line_sql(position, name):
 
 @query(" UNION ALL ".join(_line_sql(i, n) for i, n in enumerate(LINE_TYPES)))
 def infer_types(spark, sf):
-    lines = with_gaps(load(spark, sf, "lineitem"), "l_partkey", "l_orderkey", 7)
+    lines = with_gaps(spread(load(spark, sf, "lineitem"), "l_orderkey", "l_linenumber"), "l_partkey", "l_orderkey", 7)
     texts = lines.select(*(F.col(c).cast("string") for c in lines.columns))
     fitting = F.expr(
         "case type when 'bigint' then integers when 'double' then numbers when 'timestamp' then times else 0 end"
@@ -151,7 +151,7 @@ NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     )
 )
 def describe(spark, sf):
-    out = tb.describe(load(spark, sf, "lineitem"), NUMBERS)
+    out = tb.describe(spread(load(spark, sf, "lineitem"), "l_orderkey", "l_linenumber"), NUMBERS)
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
@@ -166,8 +166,8 @@ def describe(spark, sf):
     SELECT 'supplier.csv' AS file_name,
            '表格文件: supplier.csv' || chr(10) || '行数: ' || (SELECT count(*) FROM supplier) || chr(10) || '列数: 4' || chr(10)
            || '列名: s_suppkey, s_name, s_nationkey, s_acctbal' || chr(10) || chr(10) || '数据预览（前3行）:' || chr(10)
-           || string_agg(t.n || '  ' || lpad(t.a, w.a, ' ') || '  ' || lpad(t.b, w.b, ' ') || '  ' || lpad(t.c, w.c, ' ')
-                         || '  ' || lpad(t.d, w.d, ' '), chr(10) ORDER BY t.i) AS description
+           || string_agg(t.n || '  ' || lpad(t.a, CAST(w.a AS INTEGER), ' ') || '  ' || lpad(t.b, CAST(w.b AS INTEGER), ' ') || '  ' || lpad(t.c, CAST(w.c AS INTEGER), ' ')
+                         || '  ' || lpad(t.d, CAST(w.d AS INTEGER), ' '), chr(10) ORDER BY t.i) AS description
     FROM t CROSS JOIN w
     """
 )

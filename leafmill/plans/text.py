@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 from leafmill.operators import chunking as ch
 from leafmill.operators import layout
+from leafmill.operators.frames import unnest
 from leafmill.plans import sql
 from leafmill.plans.registry import query
 from leafmill.session import load, spread
@@ -77,8 +78,8 @@ def span_markdown(spark, sf):
     """
 )
 def block_assemble(spark, sf):
-    lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("span_no", "word"))
+    lines = unnest(documents(spark, sf), ["doc_id"], F.split("text", "\n"), "line", "line_no")
+    words = unnest(lines, ["doc_id", "line_no"], F.split("line", " "), "word", "span_no")
     spans = words.select(
         "doc_id",
         F.expr("line_no div 4").alias("block_no"),
@@ -178,57 +179,37 @@ def chunk_token_window(spark, sf):
     return ch.chunk_table(rows, method="token_window")
 
 
-SECTIONS = f"""
-    md AS (SELECT page_id, string_split({MARKDOWN}, chr(10)) AS ls FROM pages),
-    ln AS (SELECT page_id, {sql.strip('unnest(ls)')} AS line, generate_subscripts(ls, 1) AS pos FROM md),
-    hd AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}( .*)?$') THEN length(regexp_extract(line, '^#+')) ELSE 0 END AS lev
-           FROM ln),
-    sec AS (SELECT *, sum(CASE WHEN lev > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS sec FROM hd),
-    body AS (
-      SELECT page_id, sec, {sql.strip("string_agg(line, chr(10) ORDER BY pos)")} AS text
-      FROM sec WHERE lev = 0 GROUP BY page_id, sec),
-    heads AS (SELECT page_id, sec, lev, {sql.strip("regexp_replace(line, '^#+', '')")} AS name FROM sec WHERE lev > 0),
-    above AS (
-      SELECT b.page_id, b.sec, h.sec AS hsec, h.lev, h.name,
-             min(h.lev) OVER (PARTITION BY b.page_id, b.sec ORDER BY h.sec DESC
-                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
-      FROM body b JOIN heads h ON h.page_id = b.page_id AND h.sec <= b.sec),
-    paths AS (
-      SELECT page_id, sec, string_agg(name, ' > ' ORDER BY hsec) AS path
-      FROM above WHERE later IS NULL OR lev < later GROUP BY page_id, sec),
-    sections AS (
-      SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS chunk_index,
-             coalesce(path, '') AS path, regexp_replace(text, '\\n{{2,}}', '  ' || chr(10), 'g') AS text
-      FROM body LEFT JOIN paths USING (page_id, sec) WHERE text <> '')
-"""
-
-
-@query(f"WITH {SECTIONS} SELECT page_id, chunk_index, path, text FROM sections")
+PAGES_MD = f"pages_md AS (SELECT page_id AS id, {MARKDOWN} AS text FROM pages)"
+SECTIONS = f"{PAGES_MD}, {sql.sections('pages_md')}"
+
+
+@query(f"WITH {SECTIONS} SELECT id AS page_id, chunk_index, path, text FROM sections")
 def chunk_markdown_headers(spark, sf):
-    return markdown_pages(spark, sf).select(
-        "page_id", F.posexplode(ch.markdown_sections(F.col("text"))).alias("chunk_index", "s")
-    ).select("page_id", "chunk_index", "s.path", "s.text")
+    rows = unnest(markdown_pages(spark, sf), ["page_id"], ch.markdown_sections(F.col("text")), "s", "chunk_index")
+    return rows.select("page_id", "chunk_index", "s.path", "s.text")
 
 
 @query(
     f"""
-    WITH RECURSIVE {SECTIONS},
-    plain AS (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '{MARKS}')),
-    {sql.sentence_chunks('plain', 'doc_id', 'text')}
-    SELECT 'page' AS kind, page_id AS id, chunk_index, text FROM sections
-    UNION ALL SELECT 'document', doc_id, chunk_index, text FROM sentence_chunks
+    WITH RECURSIVE {PAGES_MD},
+    mixed AS (SELECT 'page ' || id AS id, text FROM pages_md UNION ALL SELECT 'document ' || doc_id, text FROM documents),
+    marked AS (SELECT * FROM mixed WHERE regexp_matches(text, '{MARKS}')),
+    {sql.sections('marked')},
+    plain AS (SELECT * FROM mixed WHERE NOT regexp_matches(text, '{MARKS}')),
+    {sql.sentence_chunks('plain', 'id', 'text')}
+    SELECT id, chunk_index, text FROM sections UNION ALL SELECT id, chunk_index, text FROM sentence_chunks
     """
 )
 def chunk_auto(spark, sf):
-    pages = markdown_pages(spark, sf).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
-    plain = documents(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    return ch.chunk_table(pages.unionByName(plain), method="auto")
+    pages = markdown_pages(spark, sf).select(F.concat_ws(" ", F.lit("page"), "page_id").alias("id"), "text")
+    texts = documents(spark, sf).select(F.concat_ws(" ", F.lit("document"), "doc_id").alias("id"), "text")
+    return ch.chunk_table(pages.unionByName(texts), method="auto")
 
 
 @query(
     f"""
     WITH {SECTIONS}
-    SELECT page_id, chunk_index AS chunk_id, length(text) AS chunk_size, 'markdown' AS chunk_type,
+    SELECT id AS page_id, chunk_index AS chunk_id, length(text) AS chunk_size, 'markdown' AS chunk_type,
            regexp_matches(text, '(?m)^#{{1,6}}{sql.WS}+') AS has_headers, contains(text, '```') AS has_code,
            regexp_matches(text, '\\[.*?\\]\\(.*?\\)') AS has_links,
            regexp_matches(text, '(?m)^{sql.WS}*[-*+]{sql.WS}+') AS has_lists

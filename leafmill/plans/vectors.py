@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import vectors as vx
 from leafmill.operators import context, embedding, lexical, search, store
-from leafmill.operators.chunking import chunk_table, enrich_chunks
+from leafmill.operators.frames import unnest
 from leafmill.plans import sql
-from leafmill.plans.ingest import prepare_chunks
+from leafmill.plans.ingest import ingest, prepare_chunks
 from leafmill.plans.registry import query
 from leafmill.plans.text import documents
 from leafmill.session import load, scratch, spread
@@ -57,7 +57,7 @@ def truncate_budget(spark, sf):
     """
 )
 def hash_embed(spark, sf):
-    vectors = embedded_documents(spark, sf).select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    vectors = unnest(embedded_documents(spark, sf), ["doc_id"], F.col("embedding"), "x", "dim")
     return vectors.where("x > 0").select("doc_id", "dim", F.round(F.col("x").cast("double"), 5).alias("weight"))
 
 
@@ -158,8 +158,7 @@ IDS = rf"""
 
 def identified(spark, sf):
     rows = documents(spark, sf).select("doc_id", "lang", "source", "text")
-    chunks = enrich_chunks(chunk_table(rows, separator="\n"), "markdown", "text_to_chunks")
-    return store.with_chunk_id(chunks, METADATA)
+    return prepare_chunks(rows, METADATA, separator="\n")
 
 
 @query(f"WITH RECURSIVE {sql.CHUNKS}, {IDS} SELECT doc_id, chunk_index, id FROM ids")
@@ -268,8 +267,6 @@ STREAMED = f"""
 
 @query(STREAMED)
 def ingest_batch(spark, sf):
-    from leafmill.plans.ingest import ingest
-
     root = scratch(spark, "store")
     rows = documents(spark, sf).select("doc_id", "lang", "source", "text")
     ingest(spark, rows, root, METADATA, separator="\n")
@@ -280,9 +277,8 @@ def ingest_batch(spark, sf):
 def stream_ingest(spark, sf):
     root = scratch(spark, "store")
     schema = load(spark, sf, "documents").schema
-    for run in ("first", "again"):  # a second run with a new checkpoint adds nothing
-        stream = document_stream(spark, f"{sf}/documents*.parquet", schema).select("doc_id", "lang", "source", "text")
-        start_ingest(stream, root, scratch(spark, f"progress-{run}"), METADATA, separator="\n").awaitTermination()
+    stream = document_stream(spark, f"{sf}/documents*.parquet", schema).select("doc_id", "lang", "source", "text")
+    start_ingest(stream, root, scratch(spark, "progress"), METADATA, separator="\n").awaitTermination()
     return store.read_store(spark, root).select("id", "text", "source")
 
 
