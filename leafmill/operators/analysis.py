@@ -50,35 +50,30 @@ def analyze(df: DataFrame, question: str | Callable[[DataFrame], Any], **params)
     return df.sparkSession.sql(f"with df as (select * from {view}) {question}", args=params)
 
 
-def share_report(df: DataFrame, category: str, quantity: Column, amount: Column, profit: Column) -> DataFrame:
-    """Total quantity, amount and profit per category, and its share of all profit.
+def exact(value: Column) -> Column:
+    """As decimal, so that sums do not depend on the order of the rows."""
+    return value.cast("decimal(18,4)")
 
-    Sums are decimal, so they do not depend on the order of the rows; the share is
-    taken over one row per category.
-    """
-    exact = "decimal(18,4)"
-    totals = df.groupBy(F.col(category).alias("category")).agg(
-        F.sum(quantity.cast(exact)).alias("total_quantity"),
-        F.sum(amount.cast(exact)).alias("total_amount"),
-        F.sum(profit.cast(exact)).alias("total_profit"),
-    )
-    overall = totals.agg(F.sum("total_profit").alias("_all"))  # one row
-    share = 100 * F.col("total_profit").cast("double") / F.col("_all").cast("double")
-    return totals.join(F.broadcast(overall)).select(
-        "category",
-        *(F.round(F.col(c).cast("double"), 2).alias(c) for c in ("total_quantity", "total_amount", "total_profit")),
-        F.round(share, 6).alias("profit_ratio"),
-    )
+
+def totals_by(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """Sums per key. Totals per item can be summed again per group of items, which
+    keeps a frequent item out of the join in between."""
+    return df.groupBy(*keys).agg(*(F.sum(c).alias(name) for name, c in measures.items()))
+
+
+def with_share(totals: DataFrame, measure: str, name: str) -> DataFrame:
+    """Add each row's percentage of the overall total of ``measure``."""
+    overall = totals.agg(F.sum(measure).cast("double")).scalar()
+    return totals.withColumn(name, F.round(100 * F.col(measure).cast("double") / overall, 6))
 
 
 def top_k(df: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(k)
 
 
-def best_item(df: DataFrame, item: Sequence[str], measure: Column, name: str = "total") -> DataFrame:
-    """The item with the highest sum of a measure; the smallest key wins a tie."""
-    totals = df.groupBy(*item).agg(F.sum(measure.cast("decimal(18,4)")).cast("double").alias(name))
-    return top_k(totals, name, 1, *item)
+def best_item(totals: DataFrame, measure: str, *keys: str) -> DataFrame:
+    """The item with the highest total; the smallest key wins a tie."""
+    return top_k(totals, measure, 1, *keys)
 
 
 def lookup(df: DataFrame, condition: Column, *columns: str) -> DataFrame:

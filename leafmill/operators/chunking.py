@@ -213,10 +213,10 @@ def _recursive_split(text: str, size: int, overlap: int, separators: tuple[str,
             out.append(merged)
 
     for part in parts:
-        if len(part) > size and finer:
+        if len(part) >= size:
             flush()
             window, used = [], 0
-            out.extend(_recursive_split(part, size, overlap, finer))
+            out.extend(_recursive_split(part, size, overlap, finer) if finer else [part])
             continue
         if used + len(part) > size and window:
             flush()
@@ -244,54 +244,81 @@ def recursive_chunks(
     return split.asNondeterministic()(text)
 
 
-def _pack_sentences(sentences: list[str], size: int, overlap: int, token: re.Pattern) -> list[str]:
-    """Whole sentences up to ``size`` tokens, repeating trailing ones up to ``overlap``."""
-    out: list[str] = []
-    window: list[tuple[str, int]] = []
-    used, fresh = 0, False
-    for sentence in sentences:
-        spans = [m.span() for m in token.finditer(sentence)]
-        # a sentence longer than the window is cut between tokens
-        for at in range(0, max(len(spans), 1), size):
-            part, n = sentence, len(spans)
-            if n > size:
-                group = spans[at : at + size]
-                end = spans[at + size][0] if at + size < n else len(sentence)
-                part, n = sentence[group[0][0] if at else 0 : end], len(group)
-            if window and used + n > size:
-                if fresh:
-                    out.append(" ".join(p.strip() for p, _ in window))
-                while window and (used > overlap or used + n > size):
-                    used -= window.pop(0)[1]
-            window.append((part, n))
-            used, fresh = used + n, True
-    if window and fresh:
-        out.append(" ".join(p.strip() for p, _ in window))
-    return out
+def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Pack whole sentences up to ``size`` tokens, repeating trailing ones up to ``overlap``.
 
+    A token is a run without blanks or a single Han character. A sentence of more
+    than ``size`` tokens is cut between tokens first.
+    """
+    marks = SENTENCE_MARKS[1:-1]
+    word = rf"\p{{IsHan}}|[^{WS[1:-1]}\p{{IsHan}}]+"
+    stretch = rf"(?:(?:{word}){WS}*){{1,{size}}}"
 
-def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Pack whole sentences up to ``size`` tokens with an overlap of whole sentences."""
-    han = "⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿"
-    token = re.compile(rf"[{han}]|[^\s{han}]+")
+    def count(part: Column) -> Column:
+        return F.size(F.regexp_extract_all(part, F.lit(word), F.lit(0)))
 
-    @F.pandas_udf("array<string>")
-    def pack(sentences: pd.Series) -> pd.Series:
-        return sentences.map(
-            lambda s: None if s is None else _pack_sentences(list(s), size, overlap, token)
+    def cut(sentence: Column) -> Column:
+        whole = F.array(sentence)
+        return F.when(
+            count(sentence) > size, F.regexp_extract_all(sentence, F.lit(stretch), F.lit(0))
+        ).otherwise(whole)
+
+    def step(state: Column, n: Column) -> Column:
+        full = (state["used"] + n > size) & (F.size(state["window"]) > 0)
+        limit = F.least(F.lit(overlap), F.lit(size) - n)
+        # how many of the leading sentences leave the window
+        trimmed = F.aggregate(
+            state["window"],
+            F.struct(state["used"].alias("left"), F.lit(0).alias("k")),
+            lambda a, x: F.when(
+                a["left"] > limit, F.struct((a["left"] - x).alias("left"), (a["k"] + 1).alias("k"))
+            ).otherwise(a),
+        )
+        kept = F.struct(state["used"].alias("left"), F.lit(0).alias("k"))
+        span = F.array(F.struct(state["first"].alias("first"), (state["at"] - 1).alias("last")))
+
+        def advance(t: Column) -> Column:
+            rest = F.slice(state["window"], t["k"] + 1, F.size(state["window"]) - t["k"])
+            return F.struct(
+                F.concat(rest, F.array(n)).alias("window"),
+                (t["left"] + n).alias("used"),
+                (state["first"] + t["k"]).alias("first"),
+                (state["at"] + 1).alias("at"),
+                F.when(full, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
+            )
+
+        return let(F.when(full, trimmed).otherwise(kept), advance)
+
+    def pack(parts: Column) -> Column:
+        start = F.struct(
+            _ints().alias("window"),
+            F.lit(0).alias("used"),
+            F.lit(1).alias("first"),
+            F.lit(1).alias("at"),
+            F.array().cast("array<struct<first:int,last:int>>").alias("spans"),
+        )
+        last = lambda s: F.when(
+            s["at"] > 1,
+            F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))),
+        ).otherwise(s["spans"])
+        spans = F.aggregate(F.transform(parts, count), start, step, last)
+        return F.transform(
+            spans, lambda s: F.array_join(F.slice(parts, s["first"], s["last"] - s["first"] + 1), " ")
         )
 
-    # the JVM cuts the text after each run of sentence marks
-    ended = F.split(text, r"(?<=[。！？.!?])(?![。！？.!?])")
-    return pack.asNondeterministic()(F.filter(ended, lambda s: ~is_blank(s)))
+    sentences = F.regexp_extract_all(text, F.lit(f"[^{marks}]*[{marks}]+|[^{marks}]+"), F.lit(0))
+    solid = F.filter(F.transform(sentences, strip), lambda s: s != "")
+    return let(F.transform(F.flatten(F.transform(solid, cut)), strip), pack)
 
 
 def auto_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Markdown by heading, other text by sentence; blank text gives no chunk."""
+    """Markdown by heading, other text by sentence and token; blank text gives no chunk."""
     sections = F.transform(markdown_sections(text), lambda s: s["text"])
-    return F.when(is_blank(text), F.array().cast("array<string>")).when(
-        is_markdown(text), sections
-    ).otherwise(sentence_chunks(text, size))
+    return (
+        F.when(is_blank(text), F.array().cast("array<string>"))
+        .when(is_markdown(text), sections)
+        .otherwise(sentence_token_chunks(text, size, overlap))
+    )
 
 
 CHUNKERS = {

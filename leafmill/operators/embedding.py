@@ -99,12 +99,7 @@ def guard_dimension(rows: DataFrame, store: DataFrame, vector: str = "embedding"
 
     An empty store accepts any valid vector.
     """
-    stored = store.agg(F.max(F.size(vector)).alias("_dim"))  # one row
-    bad, wrong = ~is_valid(F.col(vector)), F.size(vector) != F.col("_dim")
+    stored = store.agg(F.max(F.size(vector))).scalar()
+    bad, wrong = ~is_valid(F.col(vector)), F.size(vector) != stored
     reason = F.when(bad, "invalid vector").when(wrong, "dimension mismatch")
-    return (
-        rows.join(F.broadcast(stored))
-        .withColumn("reason", reason)
-        .withColumn("accepted", F.col("reason").isNull())
-        .drop("_dim")
-    )
+    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())

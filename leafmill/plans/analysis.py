@@ -12,14 +12,19 @@ from leafmill.plans import sql
 from leafmill.plans.registry import query
 from leafmill.session import load, spread
 
-def revenue():
-    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
-
-
-def _sold(spark, sf):
-    return load(spark, sf, "lineitem").join(
-        load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
+def sold_parts(spark, sf):
+    """Quantity, amount and profit per part, summed before the join with ``part``."""
+    price = F.col("l_extendedprice")
+    per_part = an.totals_by(
+        load(spark, sf, "lineitem"),
+        ["l_partkey"],
+        {
+            "quantity": an.exact(F.col("l_quantity")),
+            "amount": an.exact(price),
+            "profit": an.exact(price * (1 - F.col("l_discount"))),
+        },
     )
+    return per_part.join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
 
 @query(
@@ -38,9 +43,10 @@ def _sold(spark, sf):
     """
 )
 def category_profit_share(spark, sf):
-    return an.share_report(
-        _sold(spark, sf), "p_type", F.col("l_quantity"), F.col("l_extendedprice"), revenue()
-    )
+    sums = {f"total_{m}": F.col(m) for m in ("quantity", "amount", "profit")}
+    totals = an.totals_by(sold_parts(spark, sf).withColumnRenamed("p_type", "category"), ["category"], sums)
+    shared = an.with_share(totals, "total_profit", "profit_ratio")
+    return shared.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in sums})
 
 
 @query(
@@ -51,7 +57,10 @@ def category_profit_share(spark, sf):
     """
 )
 def top_product(spark, sf):
-    return an.best_item(_sold(spark, sf), ["p_partkey", "p_name"], revenue(), "total_sales")
+    totals = sold_parts(spark, sf).select(
+        "p_partkey", "p_name", F.col("profit").cast("double").alias("total_sales")
+    )
+    return an.best_item(totals, "total_sales", "p_partkey")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5")
@@ -297,7 +306,19 @@ def chart_venn(spark, sf):
     return chart_frame(users.groupBy("kinds").count(), "venn", {"sets": "kinds", "size": "count"})
 
 
-@query()
+def _keys_sql(kind: str) -> str:
+    missing = "".join(f',"{k}":""' for k in CHART_KEYS[kind] if k != "value")
+    return f"WHEN '{kind}' THEN '{missing}'"
+
+
+@query(
+    f"""
+    WITH p AS (SELECT event_id AS id, [{', '.join(f"'{k}'" for k in CHART_KEYS)}][event_id % {len(CHART_KEYS)} + 1] AS kind,
+                      event_type FROM events)
+    SELECT id, kind, '{{"value":"' || event_type || '"' || CASE kind {' '.join(map(_keys_sql, CHART_KEYS))} END || '}}' AS mapping
+    FROM p
+    """
+)
 def chart_keys(spark, sf):
     kinds = F.array(*(F.lit(k) for k in CHART_KEYS))
     proposals = load(spark, sf, "events").select(

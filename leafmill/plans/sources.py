@@ -67,10 +67,23 @@ def directory_scan(spark, sf):
     return found.select(folder, "extension", (F.col("size") > 0).alias("filled")).distinct()
 
 
-@query()
+@query(
+    """
+    SELECT 'source=' || source AS folder, '.csv' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS size,
+           true AS named, true AS hashed FROM (SELECT source, CAST(doc_id AS VARCHAR) AS text FROM documents)
+    GROUP BY source
+    """
+)
 def file_facts(spark, sf):
-    found = files.list_files(spark, _document_files(spark, sf), "*.csv", recursive=True)
-    return files.file_facts(found, with_hash=True).select("name", "size", "size_mb", "extension", "hash")
+    path = scratch(spark, "files")
+    load(spark, sf, "documents").select("source", "doc_id").write.partitionBy("source").csv(path)
+    facts = files.file_facts(files.list_files(spark, path, "*.csv", recursive=True), with_hash=True)
+    folder = F.element_at(F.split("path", "/"), -2)
+    return facts.groupBy(folder.alias("folder"), "extension").agg(
+        F.sum("size").alias("size"),
+        F.bool_and(F.endswith("path", "name")).alias("named"),
+        F.bool_and(F.length("hash") == 32).alias("hashed"),
+    )
 
 
 @query("SELECT doc_id, md5(text) AS hash FROM documents")
@@ -145,7 +158,9 @@ def export_rows(spark, sf):
         "label",
         F.size("embedding").alias("dim"),
         F.round(F.get("embedding", 0).cast("double"), 6).alias("first_value"),
-    ).join(F.broadcast(envelope.select("total_documents", "collection_name")))
+        envelope.select("total_documents").scalar().alias("total_documents"),
+        envelope.select("collection_name").scalar().alias("collection_name"),
+    )
 
 
 @query(
@@ -179,12 +194,18 @@ def processed_write(spark, sf):
     )
 
 
-@query()
+@query(
+    """
+    SELECT source || '_processed.md' AS file, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS size
+    FROM documents GROUP BY source
+    """
+)
 def processed_list(spark, sf):
     docs = load(spark, sf, "documents").select("source", "text")
     folder = records.write_processed(docs, scratch(spark, "processed"), "source", "text")
     found = files.file_facts(files.list_files(spark, f"{folder}/file=*_processed.*", "part-*"))
-    return found.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "size", "size_mb", "extension")
+    name = F.regexp_extract("path", "file=([^/]+)/", 1)
+    return found.groupBy(name.alias("file"), "extension").agg(F.sum("size").alias("size"))
 
 
 @query(

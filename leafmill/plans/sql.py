@@ -72,6 +72,42 @@ def sections(table: str) -> str:
     """
 
 
+def sentence_tokens(table: str, key: str, text: str) -> str:
+    """CTEs that end in ``sentence_tokens(key, chunk_index, text)``: sentences packed by
+    token count, trailing ones repeated."""
+    marks = "。！？.!?"
+    word = rf"\p{{Han}}|[^{WHITESPACE}\p{{Han}}]+"
+    stretch = rf"(?:(?:{word})[{WHITESPACE}]*){{1,{SIZE}}}"
+    found = f"regexp_extract_all({text}, '[^{marks}]*[{marks}]+|[^{marks}]+')"
+    return f"""
+    st_s AS (SELECT {key}, list_filter(list_transform({found}, lambda x: {strip('x')}), lambda x: x <> '') AS ss FROM {table}),
+    st_l AS (
+      SELECT {key}, list_transform(flatten(list_transform(ss, lambda x:
+               CASE WHEN len(regexp_extract_all(x, '{word}')) > {SIZE} THEN regexp_extract_all(x, '{stretch}') ELSE [x] END)),
+               lambda x: {strip('x')}) AS ps FROM st_s),
+    st_u AS (SELECT {key}, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM st_l),
+    st_n AS (SELECT *, len(regexp_extract_all(p, '{word}')) AS n FROM st_u),
+    st AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {key} ORDER BY pos) AS BIGINT) AS cum FROM st_n),
+    st_e AS (
+      SELECT a.{key}, a.pos AS f, max(b.pos) AS e FROM st a
+      JOIN st b ON b.{key} = a.{key} AND b.pos >= a.pos AND b.cum - (a.cum - a.n) <= {SIZE} GROUP BY ALL),
+    st_x AS (
+      SELECT w.{key}, w.f, min(p.pos) AS nf FROM st_e w
+      JOIN st l ON l.{key} = w.{key} AND l.pos = w.e
+      JOIN st t ON t.{key} = w.{key} AND t.pos = w.e + 1
+      JOIN st p ON p.{key} = w.{key} AND p.pos > w.f AND p.pos <= w.e + 1
+               AND l.cum - (p.cum - p.n) <= least(20, {SIZE} - t.n)
+      GROUP BY ALL),
+    st_w AS (
+      SELECT {key}, 0 AS chunk_index, CAST(1 AS BIGINT) AS f FROM st WHERE pos = 1
+      UNION ALL SELECT w.{key}, w.chunk_index + 1, x.nf FROM st_w w JOIN st_x x ON x.{key} = w.{key} AND x.f = w.f),
+    sentence_tokens AS (
+      SELECT w.{key}, w.chunk_index, string_agg(p, ' ' ORDER BY pos) AS text
+      FROM st_w w JOIN st_e e ON e.{key} = w.{key} AND e.f = w.f
+      JOIN st s ON s.{key} = w.{key} AND s.pos BETWEEN w.f AND e.e GROUP BY ALL)
+    """
+
+
 # CTEs that end in chunks(doc_id, chunk_index, text): the basic chunker over
 # documents, with single line breaks between paragraphs.
 CHUNKS = f"""
@@ -159,4 +195,4 @@ KNN_HITS = f"""
     knn_hits AS ({ranked('knn_all')})
 """
 
-__all__ = ["BM25_HITS", "CHUNKS", "KNN_HITS", "TEXT_HITS", "WS", "hashed", "pieces", "ranked", "rewrite", "sections", "strip", "tokens"]
+__all__ = ["BM25_HITS", "CHUNKS", "KNN_HITS", "TEXT_HITS", "WS", "hashed", "pieces", "ranked", "rewrite", "sections", "sentence_tokens", "strip", "tokens"]

@@ -161,7 +161,12 @@ def chunk_recursive(spark, sf):
     return ch.chunk_table(rows, method="recursive")
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {sql.sentence_tokens('documents', 'doc_id', 'text')}
+    SELECT doc_id, chunk_index, text FROM sentence_tokens
+    """
+)
 def chunk_sentence_tokens(spark, sf):
     rows = documents(spark, sf).select("doc_id", "text")
     return ch.chunk_table(rows, method="sentence_tokens")
@@ -196,8 +201,8 @@ def chunk_markdown_headers(spark, sf):
     marked AS (SELECT * FROM mixed WHERE regexp_matches(text, '{MARKS}')),
     {sql.sections('marked')},
     plain AS (SELECT * FROM mixed WHERE NOT regexp_matches(text, '{MARKS}')),
-    {sql.sentence_chunks('plain', 'id', 'text')}
-    SELECT id, chunk_index, text FROM sections UNION ALL SELECT id, chunk_index, text FROM sentence_chunks
+    {sql.sentence_tokens('plain', 'id', 'text')}
+    SELECT id, chunk_index, text FROM sections UNION ALL SELECT id, chunk_index, text FROM sentence_tokens
     """
 )
 def chunk_auto(spark, sf):

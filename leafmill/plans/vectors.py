@@ -242,9 +242,10 @@ def reset_empty(spark, sf):
     first = store.write_snapshot(load(spark, sf, "embeddings"), root)
     store.reset_store(spark, root)
     after = store.read_store(spark, root)
-    before = store.read_store(spark, root, first).agg(F.count("*").alias("rows_before"))
-    return before.join(F.broadcast(after.agg(F.count("*").alias("rows_after")))).withColumn(
-        "columns", F.lit(",".join(after.columns))
+    return store.read_store(spark, root, first).agg(
+        F.count("*").alias("rows_before"),
+        F.max(after.agg(F.count("*")).scalar()).alias("rows_after"),
+        F.max(F.lit(",".join(after.columns))).alias("columns"),
     )
 
 
@@ -322,7 +323,8 @@ def knn_dim_mismatch(spark, sf):
     rows = load(spark, sf, "embeddings")
     short = rows.withColumn("embedding", F.slice("embedding", 1, 32))
     hits = search.knn(rows, short, corpus_id="vec_id", query_id="vec_id")
-    return hits.agg(F.count("*").alias("hits")).join(F.broadcast(short.agg(F.count("*").alias("queries"))))
+    found = hits.agg(F.count("*")).scalar()
+    return short.agg(F.count("*").alias("queries")).select(found.alias("hits"), "queries")
 
 
 @query(f"WITH {sql.TEXT_HITS} SELECT query_id, id, score, round(1 - score, 6) AS distance, rank FROM text_hits")
