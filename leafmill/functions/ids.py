@@ -20,12 +20,16 @@ def _unicode_escape(char: Column) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """Text as a JSON string with every non-ASCII character escaped."""
+    """Text as a JSON string with every non-ASCII character escaped, or ``null``."""
     quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
     chars = F.transform(
         F.split(quoted, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7e]?$"), c).otherwise(_unicode_escape(c))
     )
-    return F.when(quoted.rlike(r"[^\x00-\x7e]"), F.array_join(chars, "")).otherwise(quoted)
+    return (
+        F.when(value.isNull(), "null")
+        .when(quoted.rlike(r"[^\x00-\x7e]"), F.array_join(chars, ""))
+        .otherwise(quoted)
+    )
 
 
 def canonical_json(columns: dict[str, tuple[Column, T.DataType]]) -> Column:
