@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.tables import RESULT, VALUE
+from leafmill.session import checkpointed
 
 
 def as_frame(df: DataFrame, result: Any) -> DataFrame:
@@ -62,7 +63,12 @@ def totals_by(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -
 
 
 def with_share(totals: DataFrame, measure: str, name: str) -> DataFrame:
-    """Add each row's percentage of the overall total of ``measure``."""
+    """Add each row's percentage of the overall total of ``measure``.
+
+    The totals are checkpointed, so that the rows below them are read once, and the
+    overall total is a scalar: no task holds all categories.
+    """
+    totals = checkpointed(totals)
     overall = totals.agg(F.sum(measure).cast("double")).scalar()
     return totals.withColumn(name, F.round(100 * F.col(measure).cast("double") / overall, 6))
 

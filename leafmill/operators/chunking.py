@@ -251,17 +251,19 @@ def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = C
     than ``size`` tokens is cut between tokens first.
     """
     marks = SENTENCE_MARKS[1:-1]
-    word = rf"\p{{IsHan}}|[^{WS[1:-1]}\p{{IsHan}}]+"
+    # visible ASCII stands first in the class, where it is matched fastest
+    word = rf"[!-~[^{WS[1:-1]}\p{{IsHan}}]]+|\p{{IsHan}}"
     stretch = rf"(?:(?:{word}){WS}*){{1,{size}}}"
 
-    def count(part: Column) -> Column:
-        return F.size(F.regexp_extract_all(part, F.lit(word), F.lit(0)))
+    def counted(part: Column) -> Column:
+        n = F.size(F.regexp_extract_all(part, F.lit(word), F.lit(0)))
+        return F.struct(n.alias("n"), part.alias("text"))
 
     def cut(sentence: Column) -> Column:
-        whole = F.array(sentence)
+        parts = F.regexp_extract_all(sentence["text"], F.lit(stretch), F.lit(0))
         return F.when(
-            count(sentence) > size, F.regexp_extract_all(sentence, F.lit(stretch), F.lit(0))
-        ).otherwise(whole)
+            sentence["n"] > size, F.transform(parts, lambda p: counted(strip(p)))
+        ).otherwise(F.array(sentence))
 
     def step(state: Column, n: Column) -> Column:
         full = (state["used"] + n > size) & (F.size(state["window"]) > 0)
@@ -301,14 +303,17 @@ def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = C
             s["at"] > 1,
             F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))),
         ).otherwise(s["spans"])
-        spans = F.aggregate(F.transform(parts, count), start, step, last)
-        return F.transform(
-            spans, lambda s: F.array_join(F.slice(parts, s["first"], s["last"] - s["first"] + 1), " ")
-        )
+        spans = F.aggregate(F.transform(parts, lambda p: p["n"]), start, step, last)
+
+        def joined(s: Column) -> Column:
+            run = F.slice(parts, s["first"], s["last"] - s["first"] + 1)
+            return F.array_join(F.transform(run, lambda p: p["text"]), " ")
+
+        return F.transform(spans, joined)
 
     sentences = F.regexp_extract_all(text, F.lit(f"[^{marks}]*[{marks}]+|[^{marks}]+"), F.lit(0))
     solid = F.filter(F.transform(sentences, strip), lambda s: s != "")
-    return let(F.transform(F.flatten(F.transform(solid, cut)), strip), pack)
+    return let(F.flatten(F.transform(F.transform(solid, counted), cut)), pack)
 
 
 def auto_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -16,7 +16,7 @@ def sold_parts(spark, sf):
     """Quantity, amount and profit per part, summed before the join with ``part``."""
     price = F.col("l_extendedprice")
     per_part = an.totals_by(
-        load(spark, sf, "lineitem"),
+        spread(load(spark, sf, "lineitem"), "l_partkey"),
         ["l_partkey"],
         {
             "quantity": an.exact(F.col("l_quantity")),
