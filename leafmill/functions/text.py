@@ -13,11 +13,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as regex classes, written so that Java and RE2 read them alike; BLANK
-# leaves out the line feed.
+# The same set as a regex class, written so that Java and RE2 read it alike.
 _WIDE = "\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[\t-\r{_WIDE}]"
-BLANK = f"[\t\x0b-\r{_WIDE}]"
 
 # The seven marks of Markdown text.
 MARKDOWN_MARKS = (
@@ -32,7 +30,7 @@ MARKDOWN_MARKS = (
 
 # The four Markdown clean-up rewrites, applied in this order.
 NORMALIZE_RULES = (
-    (rf"\n(?:{BLANK}*\n){{2,}}", r"\n\n"),
+    (rf"\n{WS}*\n{WS}*\n", r"\n\n"),
     (rf"(?m)^({WS}*)(#{{1,6}}){WS}*", r"\1\2 "),
     (rf"(?m)^({WS}*)([-*+]){WS}*", r"\1\2 "),
     (rf"```{WS}*\n", r"```\n"),

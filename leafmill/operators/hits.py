@@ -22,6 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.frames import broadcast_if_small
+from leafmill.session import checkpointed
+
 QUERY_LIMIT = 2_000
 BLOCK_ROWS = 20_000
 SLICE = 256
@@ -111,25 +114,27 @@ def blocked_hits(
     of all rows becomes many groups of bounded size instead of one.
     """
     schema = _schema(corpus, queries)
+    if keys:  # blocks per key value, for values that both sides hold
+        sizes = [
+            side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+            for side, name in ((corpus, "_corpus_n"), (queries, "_query_n"))
+        ]
+        blocks = broadcast_if_small(checkpointed(sizes[0].join(sizes[1], list(keys))))
+        corpus, queries = (side.join(blocks, list(keys)) for side in (corpus, queries))
+    else:
+        counts = {"_corpus_n": F.lit(_blocks(corpus.count())), "_query_n": F.lit(_blocks(queries.count()))}
+        corpus, queries = (side.withColumns(counts) for side in (corpus, queries))
 
-    def sized(side: DataFrame, id_col: str, block: str, other: DataFrame, other_block: str) -> DataFrame:
-        if keys:
-            own = side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_own"))
-            facing = other.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_facing"))
-            side = side.join(own.join(facing, list(keys)), list(keys))
-        else:
-            side = side.withColumns(
-                {"_own": F.lit(_blocks(side.count())), "_facing": F.lit(_blocks(other.count()))}
-            )
+    def cut(side: DataFrame, id_col: str, own: str, facing: str) -> DataFrame:
+        every = F.sequence(F.lit(0), F.col(f"{facing}_n") - 1)
         return (
-            side.withColumn(block, F.pmod(F.xxhash64(id_col), F.col("_own")).cast("int"))
-            .withColumn(other_block, F.explode(F.sequence(F.lit(0), (F.col("_facing") - 1).cast("int"))))
-            .drop("_own", "_facing")
+            side.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(f"{own}_n")).cast("int"))
+            .withColumn(facing, F.explode(every))
+            .drop("_corpus_n", "_query_n")
         )
 
-    group = [*keys, "_corpus_block", "_query_block"]
-    left = sized(corpus, "id", "_corpus_block", queries, "_query_block")
-    right = sized(queries, "query_id", "_query_block", corpus, "_corpus_block")
+    group = [*keys, "_corpus", "_query"]
+    left, right = cut(corpus, "id", "_corpus", "_query"), cut(queries, "query_id", "_query", "_corpus")
 
     def meet(block: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         return _local_hits(block, batch, kernel, k)

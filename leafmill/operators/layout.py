@@ -30,18 +30,25 @@ def assemble_blocks(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     ``keys`` name a block; the other columns are ``line_no``, ``span_no``, ``text``,
     ``size``, ``flags`` and ``block_type``. Blank lines go, and so do blocks that
-    are not text (type 0). Both levels share one shuffle on ``keys``.
+    are not text (type 0). One shuffle brings stretches of lines together, a second
+    one the finished stretches of a block.
     """
     styled = spans.where("block_type = 0").select(
-        *keys, "line_no", "span_no", span_markdown(F.col("text"), F.col("size"), F.col("flags")).alias("text")
+        *keys,
+        F.floor(F.col("line_no") / STRETCH).alias("_stretch"),
+        "line_no",
+        "span_no",
+        span_markdown(F.col("text"), F.col("size"), F.col("flags")).alias("text"),
     )
+    stretch = [*keys, "_stretch"]
     lines = (
-        styled.repartition(*keys)
-        .groupBy(*keys, "line_no")
+        styled.repartition(*stretch)
+        .groupBy(*stretch, "line_no")
         .agg(_joined("text", "", "span_no"))
         .where(~is_blank(F.col("text")))
     )
-    return lines.groupBy(*keys).agg(_joined("text", "\n", "line_no"))
+    stretches = lines.groupBy(*stretch).agg(_joined("text", "\n", "line_no"))
+    return stretches.groupBy(*keys).agg(_joined("text", "\n", "_stretch"))
 
 
 def assemble_document(

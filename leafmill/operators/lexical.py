@@ -12,11 +12,12 @@ from leafmill.operators.frames import unnest
 from leafmill.operators.hits import QUERY_LIMIT, blocked_hits, rank_hits, sparse_product, top_hits
 from leafmill.session import checkpointed
 
-# BM25 and rank-fusion constants, and the vocabulary size up to which
-# query terms travel as a filter.
+# BM25 and rank-fusion constants.
 K1, B = 1.2, 0.75
 RRF = 60
-VOCABULARY_LIMIT = 50_000
+
+# Up to this many terms in all questions the terms travel to every task.
+TERM_LIMIT = 50_000
 
 
 def _bm25_kernel(k1: float, b: float):
@@ -64,7 +65,7 @@ def bm25(
     """The best k documents per question by BM25: ``query_id, id, score, rank``.
 
     Documents keep only terms that occur in some question, by a hash lookup in the
-    row where the vocabulary is small. Document frequencies are one pre-aggregated
+    row where the questions are few and short. Document frequencies are one pre-aggregated
     count per term; scores never leave the task that holds the document.
     """
     spark = documents.sparkSession
@@ -72,8 +73,10 @@ def bm25(
         F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.col(text))).alias("terms")
     )
     words = unnest(asked, [], F.col("terms"), "term").distinct()
-    vocabulary = [r["term"] for r in words.limit(VOCABULARY_LIMIT + 1).collect()]  # bounded
-    small = len(vocabulary) <= VOCABULARY_LIMIT
+    size = asked.agg(F.count(F.lit(1)).alias("questions"), F.sum(F.size("terms")).alias("terms")).first()
+    small = size["questions"] <= query_limit and (size["terms"] or 0) <= TERM_LIMIT
+    if small:
+        vocabulary = [r["term"] for r in words.collect()]  # at most TERM_LIMIT
 
     docs = documents.select(F.col(doc_id).alias("id"), tokens(F.col(text)).alias("terms")).select(
         "id", F.size("terms").alias("length"), "terms"

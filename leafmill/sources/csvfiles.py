@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.frames import broadcast_if_small
 from leafmill.operators.tables import NULL_TOKENS, map_null_tokens
+from leafmill.session import checkpointed
 
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin1")
@@ -88,7 +90,7 @@ def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
     def decode(raw: pd.Series, encoding: pd.Series) -> pd.Series:
         return pd.Series([r.decode(e) for r, e in zip(raw, encoding, strict=True)], dtype=object)
 
-    known = lines.join(encodings, "path")
+    known = lines.join(broadcast_if_small(checkpointed(encodings)), "path")
     plain = known.where(F.col("encoding") == ENCODINGS[0])
     other = known.where(F.col("encoding") != ENCODINGS[0])
     return plain.unionByName(
@@ -117,10 +119,11 @@ def read_csv_any_encoding(spark: SparkSession, path: str, sep: str = ",") -> Dat
     tops = decoded.where("first_block").groupBy("path").agg(
         F.min("line_no").alias("top_no"), F.min_by("line", "line_no").alias("top")
     )
+    tops = checkpointed(tops)  # a row per file
     headers = [r["top"] for r in tops.select("top").distinct().limit(2).collect()]
     if len(headers) != 1:
         raise ValueError("the files do not share one header")
-    body = decoded.join(tops, "path").where((F.col("line_no") != F.col("top_no")) & (F.trim("line") != ""))
+    body = decoded.join(broadcast_if_small(tops), "path").where((F.col("line_no") != F.col("top_no")) & (F.trim("line") != ""))
     header = next(csv.reader(headers, delimiter=sep))
     rows = parse_cells(body, sep)
     return map_null_tokens(rows.select(*(F.get("cells", i).alias(name) for i, name in enumerate(header))))

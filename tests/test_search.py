@@ -112,11 +112,11 @@ def bm25_brute(docs, questions, k):
     return out
 
 
-@pytest.mark.parametrize(("limit", "vocabulary"), [(2000, 50_000), (3, 50_000), (2000, 5)])
-def test_bm25_equals_brute_force_on_all_routes(spark, corpus, limit, vocabulary, monkeypatch):
+@pytest.mark.parametrize(("limit", "terms"), [(2000, 50_000), (3, 50_000), (2000, 5)])
+def test_bm25_equals_brute_force_on_all_routes(spark, corpus, limit, terms, monkeypatch):
     docs, questions = corpus
     monkeypatch.setattr(hits, "BLOCK_ROWS", 70)
-    monkeypatch.setattr(lexical, "VOCABULARY_LIMIT", vocabulary)
+    monkeypatch.setattr(lexical, "TERM_LIMIT", terms)
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
     q = spark.createDataFrame(list(enumerate(questions)), "query_id long, text string")
     assert triples(lexical.bm25(d, q, 4, query_limit=limit)) == bm25_brute(docs, questions, 4)
