@@ -54,15 +54,17 @@ def embed_with_cache(
 ) -> DataFrame:
     """One row per distinct text ``(text_hash, embedding, cached)``.
 
-    Only misses go through the embedder. Rows with ``cached`` false are what a
-    caller appends to the cache.
+    The embedder gets a null in the place of a cached text and must answer it with
+    null, so hits cost it nothing and the texts are read once. Rows with ``cached``
+    false are what a caller appends to the cache.
     """
     found = cache_lookup(df, cache, now, text, expire_days)
-    hits = found.where("embedding is not null").select("text_hash", "embedding", F.lit(True).alias("cached"))
-    misses = found.where("embedding is null").select(
-        "text_hash", embedder(F.col("text")).alias("embedding"), F.lit(False).alias("cached")
+    miss = F.col("embedding").isNull()
+    return found.select(
+        "text_hash",
+        F.coalesce("embedding", embedder(F.when(miss, F.col("text")))).alias("embedding"),
+        (~miss).alias("cached"),
     )
-    return hits.unionByName(misses)
 
 
 def attach_embeddings(df: DataFrame, embedded: DataFrame, text: str = "text") -> DataFrame:
