@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The layout of a snippet and of the reference list.
+SNIPPET = ("[片段", "] 来源：", "\n")
+REFERENCES = "\n\n---\n**引用：** "
+NO_SOURCE = "-"
+
 
 def _source(source: str) -> Column:
-    return F.coalesce(F.col(source), F.lit("-"))
+    return F.coalesce(F.col(source), F.lit(NO_SOURCE))
 
 
 def _per_query(hits: DataFrame, query: str, line: Column, sep: str, name: str) -> DataFrame:
@@ -21,7 +26,8 @@ def assemble_context(
     hits: DataFrame, query: str = "query_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
     """Numbered snippets with their sources, one text per query."""
-    line = F.concat(F.lit("[片段"), F.col("rank"), F.lit("] 来源："), _source(source), F.lit("\n"), F.col(text))
+    opening, named, body = (F.lit(s) for s in SNIPPET)
+    line = F.concat(opening, F.col("rank"), named, _source(source), body, F.col(text))
     return _per_query(hits, query, line, "\n\n", "context")
 
 
@@ -29,4 +35,4 @@ def reference_footer(hits: DataFrame, query: str = "query_id", source: str = "so
     """The list of all cited sources that closes an answer."""
     line = F.concat(F.lit("["), F.col("rank"), F.lit("] "), _source(source))
     footers = _per_query(hits, query, line, "; ", "footer")
-    return footers.withColumn("footer", F.concat(F.lit("\n\n---\n**引用：** "), F.col("footer")))
+    return footers.withColumn("footer", F.concat(F.lit(REFERENCES), F.col("footer")))

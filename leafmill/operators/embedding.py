@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.vectors import hash_embedding, is_valid
+from leafmill.functions.vectors import hash_embedding
+from leafmill.operators.store import append_rows
 
 # Fixed value: days until a cache entry expires.
 EXPIRE_DAYS = 30
@@ -85,6 +86,16 @@ def new_cache_entries(embedded: DataFrame, now: Column) -> DataFrame:
     return embedded.where("not cached").select("text_hash", "embedding", now.alias("cached_at"))
 
 
+def save_cache(embedded: DataFrame, root: str, now: Column) -> None:
+    """Append what an embedding run added to the cache; ``store.reset_store`` clears it."""
+    append_rows(new_cache_entries(embedded, now), root)
+
+
+def prune_cache(cache: DataFrame, now: Column, expire_days: int = EXPIRE_DAYS) -> DataFrame:
+    """The cache without expired and superseded entries."""
+    return fresh_entries(cache, now, expire_days)
+
+
 def cache_info(cache: DataFrame, expire_days: int = EXPIRE_DAYS) -> DataFrame:
     """Entry count and size of the stored vectors (four bytes per number)."""
     size = F.coalesce(F.sum(F.size("embedding") * 4), F.lit(0))
@@ -94,14 +105,3 @@ def cache_info(cache: DataFrame, expire_days: int = EXPIRE_DAYS) -> DataFrame:
         F.round(F.col("total_bytes") / (1024 * 1024), 6).alias("total_mb"),
         F.lit(expire_days).alias("expire_days"),
     )
-
-
-def guard_dimension(rows: DataFrame, store: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Mark rows whose vector fits the store: ``accepted`` and a ``reason``.
-
-    An empty store accepts any valid vector.
-    """
-    stored = store.agg(F.max(F.size(vector))).scalar()
-    bad, wrong = ~is_valid(F.col(vector)), F.size(vector) != stored
-    reason = F.when(bad, "invalid vector").when(wrong, "dimension mismatch")
-    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import document_title, is_blank, span_markdown
 
+# Fixed value: the heading of a page.
+PAGE_HEADING = "## 第 %d 页\n"
+
 STRETCH = 1000
 
 
@@ -59,7 +62,7 @@ def assemble_document(
     A page keeps its heading even where its text is blank.
     """
     body = F.when(is_blank(F.col(text)), F.lit(None)).otherwise(F.col(text))
-    heading = F.format_string("## 第 %d 页\n", F.col(page_no).cast("long"))
+    heading = F.format_string(PAGE_HEADING, F.col(page_no).cast("long"))
     parts = pages.select(
         doc,
         F.floor(F.col(page_no) / STRETCH).alias("_stretch"),

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from leafmill.session import checkpointed
 
+# The layout of a table description.
+DESCRIPTION = "表格文件: {name}\n行数: {rows}\n列数: {columns}\n列名: {names}\n\n数据预览（前3行）:\n{preview}"
+
 # Null tokens of the reader (its own and the usual set of CSV readers),
 # the filler for a text column without values, and the name of a scalar result.
 NULL_TOKENS = (
@@ -379,10 +382,11 @@ def table_description(df: DataFrame, file_name: str, *order: str) -> DataFrame:
     names = ", ".join(df.columns[:5]) + ("..." if len(df.columns) > 5 else "")
     rows = head(df, *order, n=3).toPandas()  # three rows
     shown = rows.to_string(max_cols=5, max_colwidth=20)
+    before, after = DESCRIPTION.split("{rows}")
     text = F.concat(
-        F.lit(f"表格文件: {file_name}\n行数: "),
+        F.lit(before.format(name=file_name)),
         F.col("rows").cast("string"),
-        F.lit(f"\n列数: {len(df.columns)}\n列名: {names}\n\n数据预览（前3行）:\n{shown}"),
+        F.lit(after.format(columns=len(df.columns), names=names, preview=shown)),
     )
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(file_name).alias("file_name"), text.alias("description")

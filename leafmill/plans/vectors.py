@@ -130,7 +130,7 @@ def vector_valid(spark, sf):
     """
 )
 def dim_guard(spark, sf):
-    return embedding.guard_dimension(_mixed(spark, sf), load(spark, sf, "embeddings")).drop("embedding")
+    return store.guard_dimension(_mixed(spark, sf), load(spark, sf, "embeddings")).drop("embedding")
 
 
 @query(

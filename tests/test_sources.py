@@ -69,7 +69,7 @@ def test_retention_and_usage(spark):
 
 
 def test_records(spark):
-    sheet = [["学号", "姓名", "班级"], ["20250101", "赵博", "高一(2)班"], ["20250102", "钱娟"], ["3", "x", "y", "tail"]]
+    sheet = [["id", "名", "class"], ["1", "甲", "A(2)"], ["2", "乙"], ["3", "x", "y", "tail"]]
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(sheet[1:])], "i int, cells array<string>")
     got = [json.loads(r.record) for r in records.rows_to_records(rows, sheet[0]).orderBy("i").collect()]
     assert got == [dict(zip(sheet[0], r, strict=False)) for r in sheet[1:]]

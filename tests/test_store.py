@@ -84,6 +84,13 @@ def test_cache_embeds_each_new_text_once(spark):
     assert em.attach_embeddings(docs, merged).where("embedding is null").count() == 0
     assert em.new_cache_entries(merged, now).count() == 2
     assert em.cache_info(cache).first().total_bytes == 12
+    root = scratch(spark, "t-cache")
+    store.write_snapshot(cache, root)
+    em.save_cache(merged, root, now)
+    assert {r.text_hash: r.embedding for r in em.prune_cache(store.read_store(spark, root), now).collect()} == {
+        h("old"): [9.0], h("stale"): [5.0], h("new"): [3.0]}
+    store.reset_store(spark, root)
+    assert em.cache_info(store.read_store(spark, root)).first().entries == 0
 
 
 def test_ingest_twice_adds_nothing(spark, sf):
@@ -115,5 +122,5 @@ def test_table_chunks(spark):
 
 def test_dimension_guard_on_an_empty_store(spark):
     vectors = rows(spark, [("a", [1.0], "s"), ("b", [], "s")])
-    got = {r.text: r.reason for r in em.guard_dimension(vectors, vectors.where("false")).collect()}
+    got = {r.text: r.reason for r in store.guard_dimension(vectors, vectors.where("false")).collect()}
     assert got == {"a": None, "b": "invalid vector"}
