@@ -38,25 +38,18 @@ def ingest(
     embedder: Callable[[Column], Column] = hash_embedding,
     **options,
 ) -> DataFrame:
-    """Add the chunks of the documents to the store; returns the ids added.
+    """Add the chunks of the documents to the store; returns the ids added."""
+    return ingest_chunks(spark, prepare_chunks(documents, metadata, **options), root, embedder)
+
+
+def ingest_chunks(
+    spark: SparkSession, chunks: DataFrame, root: str, embedder: Callable[[Column], Column] = hash_embedding
+) -> DataFrame:
+    """Add identified chunks to the store; returns the ids added.
 
     Copies and known chunks leave before the embedder, the dearest step, sees them.
     """
     store = known_store(spark, root)
-    fresh = new_rows(prepare_chunks(documents, metadata, **options), store)
+    fresh = new_rows(chunks, store)
     embedded = embed_rows(fresh, embedder=lambda c: embedder(truncate_to_budget(c)))
     return append_batch(spark, valid_documents(embedded, store), root)
-
-
-def table_chunks(description: DataFrame, rows: int, columns: list[str], metadata: list[str], **options) -> DataFrame:
-    """A table's description as chunks that also carry its shape."""
-    shaped = description.withColumns(
-        {
-            "table_rows": F.lit(rows),
-            "table_columns": F.lit(len(columns)),
-            "table_columns_list": F.lit(", ".join(columns)),
-        }
-    )
-    return prepare_chunks(
-        shaped, metadata, "description", content_type="table_description", stage="table_to_text", **options
-    )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators.chunking import chunk_table
+from leafmill.operators.store import read_store
 from leafmill.plans import sql
+from leafmill.plans.directory import ingest_directory
 from leafmill.plans.registry import query
 from leafmill.plans.text import documents
 from leafmill.session import load, scratch, spread
@@ -127,6 +129,28 @@ def ingest_ledger(spark, sf):
     )
 
 
+@query(
+    """
+    SELECT source, true AS success, count(*) AS table_rows, 3 AS table_columns, 'doc_id, lang, n_chars' AS table_columns_list
+    FROM documents GROUP BY source
+    """
+)
+def directory_ingest(spark, sf):
+    folder, root = scratch(spark, "tables"), scratch(spark, "store")
+    rows = load(spark, sf, "documents").select("source", "doc_id", "lang", "n_chars")
+    rows.write.partitionBy("source").csv(folder, header=True)
+    ledger = ingest_directory(spark, f"{folder}/source=*", root)
+    named = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+    outcome = ledger.groupBy(named).agg(F.bool_and("success").alias("success"))
+    stored = read_store(spark, root)
+    tables = stored.select(
+        F.regexp_extract("source", "source=([^/]+)/", 1).alias("source"),
+        F.col("source").alias("path"), "table_rows", "table_columns", "table_columns_list",
+    ).distinct()
+    sums = tables.groupBy("source", "table_columns", "table_columns_list").agg(F.sum("table_rows").alias("table_rows"))
+    return outcome.join(sums, "source")
+
+
 @query(
     """
     SELECT c_custkey, CASE WHEN c_nationkey % 7 = 0 THEN '{"key":"' || c_custkey || '","name":"' || c_name || '"}'

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import csv
+import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.frames import broadcast_if_small
-from leafmill.operators.tables import NULL_TOKENS, map_null_tokens
+from leafmill.operators.tables import DESCRIPTION, NULL_TOKENS, map_null_tokens
 from leafmill.session import checkpointed
 
 # Encodings in the order they are tried.
@@ -108,22 +109,81 @@ def parse_cells(decoded: DataFrame, sep: str = ",") -> DataFrame:
     return decoded.withColumn("cells", cells("line"))
 
 
+def decode_files(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of the files as text, whatever their encoding."""
+    lines = read_lines(spark, path)
+    return decode_lines(lines, detect_encodings(lines))
+
+
+def header_lines(decoded: DataFrame) -> DataFrame:
+    """The first line of each file: ``(path, header_no, header)``."""
+    tops = decoded.where("first_block").groupBy("path").agg(
+        F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("header")
+    )
+    return checkpointed(tops)  # a row per file
+
+
+def body_lines(decoded: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines that are neither a header nor blank."""
+    body = decoded.join(broadcast_if_small(headers), "path")
+    return body.where((F.col("line_no") != F.col("header_no")) & (F.trim("line") != ""))
+
+
+def describe_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Each CSV file as a short text: ``path, table_rows, table_columns,
+    table_columns_list, text``.
+
+    All files are described at once. Rows are counted on the map side, and a file
+    brings only its first three rows together for the preview, which shows the
+    values as they stand in the file.
+    """
+    decoded = decode_files(spark, path)
+    headers = header_lines(decoded)
+    body = body_lines(decoded, headers)
+    counts = body.groupBy("path").agg(F.count(F.lit(1)).alias("table_rows"))
+    order = Window.partitionBy("path").orderBy("line_no")
+    first = body.where("first_block").withColumn("_n", F.row_number().over(order)).where("_n <= 3")
+    shown = first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("_rows"))
+    files = headers.join(counts, "path", "left").join(shown, "path", "left")
+    no_rows = F.array().cast("array<string>")
+    described = _describe(sep)(
+        "path", "header", F.coalesce("table_rows", F.lit(0)), F.coalesce("_rows.line", no_rows)
+    )
+    return files.where(F.trim("header") != "").select("path", described.alias("d")).select("path", "d.*")
+
+
+def _describe(sep: str):
+    @F.pandas_udf("table_rows long, table_columns int, table_columns_list string, text string")
+    def describe(path: pd.Series, header: pd.Series, rows: pd.Series, first: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, h, n, lines in zip(path, header, rows, first, strict=True):
+            names = next(csv.reader([h], delimiter=sep))
+            shown = pd.read_csv(io.StringIO("\n".join([h, *lines])), sep=sep)
+            text = DESCRIPTION.format(
+                name=p.rsplit("/", 1)[-1],
+                rows=n,
+                columns=len(names),
+                names=", ".join(names[:5]) + ("..." if len(names) > 5 else ""),
+                preview=shown.to_string(max_cols=5, max_colwidth=20),
+            )
+            out.append((n, len(names), ", ".join(names), text))
+        return pd.DataFrame(out, columns=["table_rows", "table_columns", "table_columns_list", "text"])
+
+    return describe
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Tables of one header in any of the known encodings, as one frame of text columns.
 
     Each file opens with the header. Records must not span lines; use
     ``read_csv(multi_line=True)`` for such files.
     """
-    lines = read_lines(spark, path)
-    decoded = decode_lines(lines, detect_encodings(lines))
-    tops = decoded.where("first_block").groupBy("path").agg(
-        F.min("line_no").alias("top_no"), F.min_by("line", "line_no").alias("top")
-    )
-    tops = checkpointed(tops)  # a row per file
-    headers = [r["top"] for r in tops.select("top").distinct().limit(2).collect()]
+    decoded = decode_files(spark, path)
+    tops = header_lines(decoded)
+    headers = [r["header"] for r in tops.select("header").distinct().limit(2).collect()]
     if len(headers) != 1:
         raise ValueError("the files do not share one header")
-    body = decoded.join(broadcast_if_small(tops), "path").where((F.col("line_no") != F.col("top_no")) & (F.trim("line") != ""))
+    body = body_lines(decoded, tops)
     header = next(csv.reader(headers, delimiter=sep))
     rows = parse_cells(body, sep)
     return map_null_tokens(rows.select(*(F.get("cells", i).alias(name) for i, name in enumerate(header))))

@@ -18,7 +18,8 @@ MEGABYTE = 1024 * 1024
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """Files of a folder as ``path, modificationTime, length`` and ``content``.
 
-    A caller that does not select ``content`` never reads it.
+    A caller that does not select ``content`` never reads it. Files of no bytes are
+    not listed.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     return reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)

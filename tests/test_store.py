@@ -1,11 +1,13 @@
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmill.operators import embedding as em
 from leafmill.operators import store
-from leafmill.plans.ingest import ingest, prepare_chunks, table_chunks
+from leafmill.plans.directory import ingest_directory
+from leafmill.plans.ingest import ingest, prepare_chunks
 from leafmill.session import load, scratch
 from leafmill.streaming.ingest_stream import document_stream, start_ingest
 
@@ -114,10 +116,37 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, sf):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_table_chunks(spark):
-    description = spark.createDataFrame([("t.csv", "表格文件: t.csv\n\n行数: 2")], "source string, description string")
-    [row] = table_chunks(description, 2, ["a", "b"], META).collect()
-    assert (row.table_rows, row.table_columns, row.table_columns_list, row.content_type) == (2, 2, "a, b", "table_description")
+def test_directory_gives_every_file_an_outcome(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("名,n\n甲,1\n乙,22\n丙,3\n丁,4\n".encode("gbk"))
+    (tmp_path / "b.csv").write_text("x,y\n")
+    (tmp_path / "big.csv").write_text("x\n" * 5000)
+    (tmp_path / "empty.csv").write_text("\n")
+    (tmp_path / "c.pdf").write_text("%PDF")
+    (tmp_path / "d.doc").write_text("?")
+    root = scratch(spark, "t-store")
+    for _ in range(2):  # the second run stores nothing new
+        ledger = ingest_directory(spark, str(tmp_path), root, max_mb=0.005)
+        got = {r.path.rsplit("/", 1)[1]: (r.chunks_count, r.error_message) for r in ledger.collect()}
+        assert got == {
+            "a.csv": (1, None), "b.csv": (1, None), "big.csv": (0, "file too large"), "empty.csv": (0, "empty result"),
+            "c.pdf": (0, "unsupported format"), "d.doc": (0, "unsupported format")}
+    rows = {r.file_name: r for r in store.read_store(spark, root).collect()}
+    assert set(rows) == {"a.csv", "b.csv"}
+    preview = pd.DataFrame({"名": ["甲", "乙", "丙"], "n": [1, 22, 3]}).to_string(max_cols=5, max_colwidth=20)
+    assert rows["a.csv"].text == f"表格文件: a.csv\n行数: 4\n列数: 2\n列名: 名, n\n\n数据预览（前3行）:\n{preview}"
+    assert (rows["a.csv"].table_rows, rows["a.csv"].content_type, rows["b.csv"].table_rows) == (4, "table_description", 0)
+    assert rows["a.csv"].file_hash == hashlib.md5((tmp_path / "a.csv").read_bytes()).hexdigest()
+
+
+def test_directory_takes_more_readers(spark, tmp_path):
+    (tmp_path / "c.pdf").write_text("One page. Two.")
+
+    def read_pdf(spark, path):
+        return spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
+
+    root = scratch(spark, "t-store")
+    ledger = ingest_directory(spark, str(tmp_path), root, {".pdf": read_pdf})
+    assert [(r.chunks_count, r.success) for r in ledger.collect()] == [(1, True)]
 
 
 def test_dimension_guard_on_an_empty_store(spark):
