@@ -28,44 +28,64 @@ from leafmill.session import checkpointed
 QUERY_LIMIT = 2_000
 BLOCK_ROWS = 20_000
 SLICE = 256
+DIGITS = 6
 
-# A kernel maps (corpus block, query block) to a score matrix (queries x corpus);
-# -inf marks a pair that is no hit.
+# A kernel maps (corpus block sorted by id, query block) to a score matrix (queries x
+# corpus); -inf marks a pair that is no hit.
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
-def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k highest scores per row; the first column wins a tie."""
-    n = scores.shape[1]
-    if n > k:
-        edge = np.partition(scores, n - k, axis=1)[:, n - k]
-        keep = scores >= edge[:, None]
-        for r in np.flatnonzero(keep.sum(axis=1) > k):  # ties at the edge
-            tied = np.flatnonzero(scores[r] == edge[r])
-            keep[r, tied[k - int((scores[r] > edge[r]).sum()) :]] = False
-    else:
-        keep = np.ones_like(scores, dtype=bool)
-    return np.nonzero(keep & np.isfinite(scores))
-
+def best_per_row(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of up to k entries per row.
 
-def _local_hits(corpus: pd.DataFrame, queries: pd.DataFrame, kernel: Kernel, k: int) -> pd.DataFrame:
-    corpus = corpus.sort_values("id", kind="stable").reset_index(drop=True)
-    found = []
+    The first column wins among equal rounded scores. Entries clearly below the row's
+    ``floor`` are passed over; without any floor the k-th best score serves as one.
+    """
+    n = scores.shape[1]
+    if n > k and not np.isfinite(floor).any():
+        floor = np.partition(scores, n - k, axis=1)[:, n - k]
+    slack = 2 * 10.0**-DIGITS  # rounding may make near scores equal
+    r, c = np.nonzero(scores >= (floor - slack)[:, None])
+    v = scores[r, c]
+    hit = np.isfinite(v)
+    r, c, v = r[hit], c[hit], np.round(v[hit], DIGITS) + 0.0
+    order = np.lexsort((c, -v, r))
+    r, c, v = r[order], c[order], v[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[first], c[first], v[first]
+
+
+def _block_hits(
+    corpus: pd.DataFrame, queries: pd.DataFrame, kernel: Kernel, k: int, floor: np.ndarray
+) -> pd.DataFrame:
+    corpus = corpus.sort_values("id", kind="stable")
+    ids, rows, cols, values = corpus["id"].to_numpy(), [], [], []
     for at in range(0, len(queries), SLICE):
-        part = queries.iloc[at : at + SLICE]
-        scores = np.round(kernel(corpus, part), 6) + 0.0
-        r, c = best_per_row(scores, k)
-        found.append(
-            pd.DataFrame(
-                {"query_id": part["query_id"].to_numpy()[r], "id": corpus["id"].to_numpy()[c], "score": scores[r, c]}
-            )
-        )
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        scores = kernel(corpus, queries.iloc[at : at + SLICE])
+        r, c, v = best_per_row(scores, k, floor[at : at + SLICE])
+        rows.append(r + at)
+        cols.append(c)
+        values.append(v)
+    return pd.DataFrame(
+        {"q": np.concatenate(rows), "id": ids[np.concatenate(cols)], "score": np.concatenate(values)}
+    )
 
 
 def _merge(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
+    ordered = hits.sort_values(["q", "score", "id"], ascending=[True, False, True])
+    return ordered[ordered.groupby("q").cumcount() < k]
+
+
+def _kth_scores(hits: pd.DataFrame, k: int, queries: int) -> np.ndarray:
+    floor = np.full(queries, -np.inf)
+    last = hits[hits.groupby("q").cumcount() == k - 1]
+    floor[last["q"].to_numpy()] = last["score"].to_numpy()
+    return floor
+
+
+def _named(hits: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    query_ids = queries["query_id"].to_numpy()[hits["q"].to_numpy()]
+    return pd.DataFrame({"query_id": query_ids, "id": hits["id"].to_numpy(), "score": hits["score"].to_numpy()})
 
 
 def _schema(corpus: DataFrame, queries: DataFrame) -> str:
@@ -90,13 +110,14 @@ def top_hits(
         return blocked_hits(corpus, queries, kernel, k)
 
     def scan(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best, floor = None, np.full(len(batch), -np.inf)
         for block in blocks:
             if len(block) and len(batch):
-                hits = _local_hits(block, batch, kernel, k)
-                best = hits if best is None else _merge(pd.concat([best, hits]), k)
+                hits = _block_hits(block, batch, kernel, k, floor)
+                best = _merge(hits if best is None else pd.concat([best, hits]), k)
+                floor = _kth_scores(best, k, len(batch))
         if best is not None:
-            yield best
+            yield _named(best, batch)
 
     return rank_hits(corpus.mapInPandas(scan, schema), k)
 
@@ -137,7 +158,9 @@ def blocked_hits(
     left, right = cut(corpus, "id", "_corpus", "_query"), cut(queries, "query_id", "_query", "_corpus")
 
     def meet(block: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        return _local_hits(block, batch, kernel, k)
+        if not len(block) or not len(batch):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return _named(_block_hits(block, batch, kernel, k, np.full(len(batch), -np.inf)), batch)
 
     hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, schema)
     return rank_hits(hits.distinct() if keys else hits, k)

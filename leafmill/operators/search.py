@@ -19,8 +19,12 @@ from leafmill.operators.hits import QUERY_LIMIT, blocked_hits, top_hits
 RESULTS = 5
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit_rows(vectors: pd.Series, dim: int) -> np.ndarray:
+    """The vectors as unit rows; a zero vector stays zero."""
+    flat = np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(-1, dim)
+    norms = np.sqrt(np.einsum("ij,ij->i", flat, flat))
+    norms[norms == 0] = 1.0
+    return flat / norms[:, None]
 
 
 def cosine_kernel(exclude_self: bool = False):
@@ -30,17 +34,24 @@ def cosine_kernel(exclude_self: bool = False):
     """
 
     def score(corpus: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
-        scores = np.full((len(queries), len(corpus)), -np.inf)
         c_dim, q_dim = (side["embedding"].str.len().to_numpy() for side in (corpus, queries))
-        for dim in np.unique(q_dim):
-            rows, cols = np.flatnonzero(q_dim == dim), np.flatnonzero(c_dim == dim)
-            if dim and len(cols):
-                q, c = _matrix(queries["embedding"].iloc[rows]), _matrix(corpus["embedding"].iloc[cols])
-                norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
-                cosine = np.divide(q @ c.T, norms, out=np.zeros_like(norms), where=norms > 0)
-                scores[np.ix_(rows, cols)] = cosine
+        dims = np.union1d(c_dim, q_dim)
+        if len(dims) == 1 and dims[0]:
+            scores = _unit_rows(queries["embedding"], dims[0]) @ _unit_rows(corpus["embedding"], dims[0]).T
+        else:
+            scores = np.full((len(queries), len(corpus)), -np.inf)
+            for dim in dims[dims > 0]:
+                rows, cols = np.flatnonzero(q_dim == dim), np.flatnonzero(c_dim == dim)
+                if len(rows) and len(cols):
+                    q, c = queries["embedding"].iloc[rows], corpus["embedding"].iloc[cols]
+                    scores[np.ix_(rows, cols)] = _unit_rows(q, dim) @ _unit_rows(c, dim).T
         if exclude_self:
-            scores[queries["query_id"].to_numpy()[:, None] == corpus["id"].to_numpy()[None, :]] = -np.inf
+            ids = corpus["id"].to_numpy()  # sorted
+            at = np.searchsorted(ids, queries["query_id"].to_numpy())
+            for row, col in enumerate(at):
+                while col < len(ids) and ids[col] == queries["query_id"].iloc[row]:
+                    scores[row, col] = -np.inf
+                    col += 1
         return scores
 
     return score

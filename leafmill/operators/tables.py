@@ -32,9 +32,9 @@ QUARTILES = (0.25, 0.5, 0.75)
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
 
-# Up to this many rows the exact percentile buffers its values in one aggregate;
-# beyond it the ranks are bracketed first.
-DIRECT_ROWS = 5_000_000
+# Up to this many values, over all columns, the exact percentile buffers them in one
+# aggregate; beyond it the ranks are bracketed first.
+DIRECT_VALUES = 5_000_000
 
 
 def _cols_of(df: DataFrame, kind) -> list[str]:
@@ -190,18 +190,18 @@ def preview(df: DataFrame, *order: str, rows: int = 3, columns: int = 5, width:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], direct_rows: int = DIRECT_ROWS
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], direct_values: int = DIRECT_VALUES
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: rows ``(column, prob, value)``.
 
-    A table of at most ``direct_rows`` rows goes through ``percentile``, which
+    A table of at most ``direct_values`` values goes through ``percentile``, which
     buffers the values in one aggregate. Beyond that no task may hold a column:
     approximate quantiles first bracket each wanted rank, then only the values
     inside the brackets are counted, per distinct value, and ranked.
     """
     numbers = df.select(*(F.col(_q(c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)))
     numbers = numbers.select(*(F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in numbers.columns))
-    if numbers.count() <= direct_rows:
+    if numbers.count() * len(columns) <= direct_values:
         levels = F.array(*(F.lit(float(p)) for p in probs))
         row = numbers.agg(
             *(F.percentile(f"v{i}", levels).alias(f"q_{i}") for i in range(len(columns))),
@@ -277,7 +277,7 @@ def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [r["column"] for r in found.collect()]  # a row per column
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """Fill nulls of numeric columns with the column's median.
 
     A whole-number column with nulls becomes ``double``; one without stays as it is.
@@ -285,7 +285,7 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None, direct_ro
     gaps = columns_with_gaps(df, list(columns or numeric_columns(df)))
     if not gaps:
         return df
-    medians = exact_quantiles(df, gaps, [0.5], direct_rows).collect()  # a row per column
+    medians = exact_quantiles(df, gaps, [0.5], direct_values).collect()  # a row per column
     return df.withColumns(
         {
             r["column"]: F.coalesce(F.col(_q(r["column"])).cast("double"), F.lit(r["value"]))
@@ -332,12 +332,12 @@ def tidy(df: DataFrame) -> DataFrame:
     return df
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles, maximum per numeric column."""
     columns = list(columns or numeric_columns(df))
     numbers = df.select(*(F.col(_q(c)).cast("double").alias(c) for c in columns))
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    direct = numbers.count() <= direct_rows
+    direct = numbers.count() * len(columns) <= direct_values
     if direct:  # one pass for all
         moments["quartiles"] = lambda c: F.percentile(c, F.array(*(F.lit(p) for p in QUARTILES)))
     row = numbers.agg(
@@ -347,7 +347,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, direct_rows: i
     if direct:
         rows = rows.withColumns({f"q{i}": F.get("quartiles", i) for i in range(3)})
     else:
-        ranks = exact_quantiles(numbers, columns, QUARTILES, direct_rows)
+        ranks = exact_quantiles(numbers, columns, QUARTILES, direct_values)
         wide = ranks.groupBy("column").pivot("prob", list(QUARTILES)).agg(F.max("value"))
         rows = rows.join(wide.toDF("column", "q0", "q1", "q2"), "column", "left")
     return rows.select(

@@ -47,11 +47,16 @@ def test_knn_equals_brute_force_on_both_routes(vectors, limit, monkeypatch):
 
 
 def test_best_per_row_breaks_ties_by_position():
-    scores = np.array([[1.0, 2, 2, 2, 0], [3, 3, 3, 3, 3], [0, 0, 0, 0, -np.inf]])
-    r, c = hits.best_per_row(scores, 2)
-    assert list(zip(r, c, strict=True)) == [(0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1)]
-    r, c = hits.best_per_row(scores, 9)
-    assert len(r) == 14
+    scores = np.array([[1.0, 2, 2, 2, 0], [3, 3, 3, 3, 3], [0, 1, 1 - 1e-8, 0, -np.inf]])
+    none = np.full(3, -np.inf)
+
+    def cells(k, floor=none):
+        r, c, _ = hits.best_per_row(scores, k, floor)
+        return list(zip(r.tolist(), c.tolist(), strict=True))
+
+    assert cells(2) == [(0, 1), (0, 2), (1, 0), (1, 1), (2, 1), (2, 2)]
+    assert len(cells(9)) == 14
+    assert cells(2, np.array([2.0, 4.0, 1.0])) == [(0, 1), (0, 2), (2, 1), (2, 2)]
 
 
 def test_other_dimensions_never_match(spark, vectors):

@@ -50,7 +50,7 @@ def test_quantiles_are_exact_on_both_routes(numbers, direct):
 def test_describe(numbers, direct):
     pdf, df = numbers
     want = pdf.describe()
-    for r in tb.describe(df, direct_rows=direct).collect():
+    for r in tb.describe(df, direct_values=direct).collect():
         assert [r["count"], r.mean, r.std, r.min, r.q25, r.q50, r.q75, r.max] == pytest.approx(list(want[r.column]))
 
 
