@@ -353,7 +353,7 @@ def chunk_features(chunks: DataFrame, text: str = "text", order: str = "chunk_in
     return chunks.withColumns(
         {
             "chunk_id": F.col(order),
-            "chunk_size": F.length(col),
+            "chunk_size": F.length(col).cast("long"),
             "chunk_type": F.lit("markdown"),
             "has_headers": col.rlike(rf"(?md)^#{{1,6}}{WS}+"),
             "has_code": col.contains("```"),
@@ -365,7 +365,7 @@ def chunk_features(chunks: DataFrame, text: str = "text", order: str = "chunk_in
 
 def chunk_stats(chunks: DataFrame, text: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
     """One row of totals and size classes; no row where there is no chunk."""
-    n = F.length(text)
+    n = F.length(text).cast("long")
     return chunks.agg(
         F.count(text).alias("total_chunks"),
         F.sum(n).alias("total_characters"),
@@ -383,7 +383,7 @@ def enrich_chunks(chunks: DataFrame, content_type: str, stage: str, text: str =
     return chunks.withColumns(
         {
             "chunk_id": F.col("chunk_index") + 1,
-            "chunk_size": F.length(text),
+            "chunk_size": F.length(text).cast("long"),
             "content_type": F.lit(content_type),
             "processing_stage": F.lit(stage),
         }

@@ -28,6 +28,6 @@ def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str, positio
     """
     if position:
         rows = df.select(*keep, F.posexplode_outer(array).alias(position, name))
-        return rows.where(F.col(position).isNotNull())
+        return rows.where(F.col(position).isNotNull()).withColumn(position, F.col(position).cast("long"))
     rows = df.select(*keep, F.explode_outer(array).alias(name))
     return rows.where(F.col(name).isNotNull())

@@ -97,7 +97,9 @@ def _schema(corpus: DataFrame, queries: DataFrame) -> str:
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """The best k per query with their rank; the smaller id wins a tie."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn(
+        "rank", F.col("rank").cast("long")
+    )
 
 
 def top_hits(

@@ -192,7 +192,7 @@ def count_where(store: DataFrame, condition: dict | Column) -> int:
 
 def store_stats(store: DataFrame, name: str = COLLECTION, metric: str = METRIC) -> DataFrame:
     return store.agg(
-        F.count(F.lit(1)).alias("total_documents"), F.max(F.size("embedding")).alias("vector_dimension")
+        F.count(F.lit(1)).alias("total_documents"), F.max(F.size("embedding")).cast("long").alias("vector_dimension")
     ).select(
         "total_documents",
         "vector_dimension",

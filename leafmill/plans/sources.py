@@ -180,7 +180,7 @@ def export_rows(spark, sf):
     return back.select(
         "vec_id",
         "label",
-        F.size("embedding").alias("dim"),
+        F.size("embedding").cast("long").alias("dim"),
         F.round(F.get("embedding", 0).cast("double"), 6).alias("first_value"),
         envelope.select("total_documents").scalar().alias("total_documents"),
         envelope.select("collection_name").scalar().alias("collection_name"),

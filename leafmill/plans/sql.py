@@ -33,7 +33,7 @@ def sentence_chunks(table: str, key: str, text: str, name: str = "sentence_chunk
     {name}_l AS (SELECT {key}, {pieces(text, '[。！？.!?]')} AS ps FROM {table}),
     {name}_s AS (SELECT {key}, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM {name}_l),
     {name}_f AS (
-      SELECT {key}, pos, p, length(p) + 1 AS used, 1 AS g FROM {name}_s WHERE pos = 1
+      SELECT {key}, pos, p, length(p) + 1 AS used, CAST(1 AS BIGINT) AS g FROM {name}_s WHERE pos = 1
       UNION ALL
       SELECT s.{key}, s.pos, s.p,
              CASE WHEN f.used + length(s.p) > {SIZE} THEN length(s.p) + 1 ELSE f.used + length(s.p) + 1 END,
@@ -99,7 +99,7 @@ def sentence_tokens(table: str, key: str, text: str) -> str:
                AND l.cum - (p.cum - p.n) <= least(20, {SIZE} - t.n)
       GROUP BY ALL),
     st_w AS (
-      SELECT {key}, 0 AS chunk_index, CAST(1 AS BIGINT) AS f FROM st WHERE pos = 1
+      SELECT {key}, CAST(0 AS BIGINT) AS chunk_index, CAST(1 AS BIGINT) AS f FROM st WHERE pos = 1
       UNION ALL SELECT w.{key}, w.chunk_index + 1, x.nf FROM st_w w JOIN st_x x ON x.{key} = w.{key} AND x.f = w.f),
     sentence_tokens AS (
       SELECT w.{key}, w.chunk_index, string_agg(p, ' ' ORDER BY pos) AS text

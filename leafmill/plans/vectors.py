@@ -53,7 +53,7 @@ def truncate_budget(spark, sf):
 @query(
     f"""
     WITH {sql.hashed('documents', 'doc_id', 'text', 'dv')}
-    SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(x, 5) AS weight FROM dv
+    SELECT doc_id, dim, round(x, 5) AS weight FROM dv
     """
 )
 def hash_embed(spark, sf):
@@ -119,7 +119,7 @@ def vector_valid(spark, sf):
         "vec_id",
         vx.is_valid(vector).alias("valid"),
         vx.dimension_class(vector).alias("dimension_class"),
-        F.size(vector).alias("dim"),
+        F.size(vector).cast("long").alias("dim"),
     )
 
 
@@ -257,7 +257,7 @@ def snapshot_roundtrip(spark, sf):
     store.write_snapshot(store.delete_where(store.read_store(spark, root), {"label": {"$lt": 5}}), root)
     store.restore_snapshot(spark, root, first)
     saved = store.read_store(spark, backup).select("vec_id")
-    return store.read_store(spark, root).join(saved, "vec_id").select("vec_id", "label", F.size("embedding").alias("dim"))
+    return store.read_store(spark, root).join(saved, "vec_id").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
 
 STREAMED = f"""
