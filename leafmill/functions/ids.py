@@ -10,38 +10,46 @@ from pyspark.sql import types as T
 VOLATILE = ("created_at",)
 
 
-def _unicode_escape(char: Column) -> Column:
+# The characters JSON writes with a short escape.
+SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _escape(char: Column) -> Column:
     code = F.lower(F.hex(F.encode(char, "UTF-16BE")))
-    return F.when(
-        F.length(code) == 4, F.concat(F.lit("\\u"), code)
-    ).otherwise(  # beyond the basic plane: a surrogate pair
-        F.concat(F.lit("\\u"), F.substring(code, 1, 4), F.lit("\\u"), F.substring(code, 5, 4))
-    )
+    pair = F.concat(F.lit("\\u"), F.substring(code, 1, 4), F.lit("\\u"), F.substring(code, 5, 4))
+    out = F.when(char.rlike(r"^[ !#-\[\]-~]?\z"), char)
+    for plain, short in SHORT_ESCAPES.items():
+        out = out.when(char == F.lit(plain), F.lit(short))
+    # beyond the basic plane: a surrogate pair
+    return out.when(F.length(code) == 4, F.concat(F.lit("\\u"), code)).otherwise(pair)
 
 
 def json_string(value: Column) -> Column:
-    """Text as a JSON string with every non-ASCII character escaped, or ``null``."""
-    quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-    chars = F.transform(
-        F.split(quoted, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7e]?$"), c).otherwise(_unicode_escape(c))
-    )
+    """Text as an ASCII-only JSON string, or ``null``. Plain text is only quoted."""
+    quote = F.lit('"')
+    escaped = F.array_join(F.transform(F.split(value, ""), _escape), "")
     return (
         F.when(value.isNull(), "null")
-        .when(quoted.rlike(r"[^\x00-\x7e]"), F.array_join(chars, ""))
-        .otherwise(quoted)
+        .when(value.rlike(r"^[ !#-\[\]-~]*\z"), F.concat(quote, value, quote))
+        .otherwise(F.concat(quote, escaped, quote))
     )
 
 
+def _json_value(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return json_string(value)
+    if isinstance(kind, T.IntegralType | T.BooleanType):
+        return F.coalesce(value.cast("string"), F.lit("null"))
+    bare = F.regexp_extract(F.to_json(F.array(value)), r"^\[(.*)\]$", 1)
+    return F.when(value.isNull(), "null").otherwise(bare)
+
+
 def canonical_json(columns: dict[str, tuple[Column, T.DataType]]) -> Column:
     """Sorted keys, ``", "`` and ``": "`` separators, ASCII only, numbers bare."""
     parts: list[Column] = []
     for key in sorted(columns):
-        value, kind = columns[key]
-        text = json_string(value) if isinstance(kind, T.StringType) else F.to_json(F.array(value))
-        if not isinstance(kind, T.StringType):
-            text = F.regexp_extract(text, r"^\[(.*)\]$", 1)
         head = (", " if parts else "") + f'"{key}": '
-        parts.append(F.concat(F.lit(head), F.coalesce(text, F.lit("null"))))
+        parts.append(F.concat(F.lit(head), _json_value(*columns[key])))
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafmill.functions.vectors import hash_embedding, truncate_to_budget
 from leafmill.operators.chunking import chunk_table, enrich_chunks

@@ -102,7 +102,7 @@ def test_parse_object(spark, value, expected):
     assert (tuple(got) if got else None) == expected
 
 
-@pytest.mark.parametrize("value", ["plain", 'q"uo\\te', "中文 é", "tab\tnl\n", "😀", "", "\x7f"])
+@pytest.mark.parametrize("value", ["plain", 'q"uo\\te', "中文 é", "tab\tnl\n", "😀", "", "\x7f", "\x1b\x00\x08\x0c\r", "a😀é\"b"])
 def test_json_string_matches_json_dumps(spark, value):
     assert one(spark, value, json_string) == json.dumps(value)
 
