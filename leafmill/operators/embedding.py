@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.vectors import hash_embedding
 from leafmill.operators.store import append_rows
+from leafmill.session import checkpointed
 
 # Fixed value: days until a cache entry expires.
 EXPIRE_DAYS = 30
 
+# A text with at least this many copies gets its vector by broadcast. There is at most
+# one such text per this many rows; beyond HOT_TEXTS of them the plain join is used.
+HOT_COPIES = 1_000_000
+HOT_TEXTS = 10_000
+
 
 def text_hash(text: str | Column) -> Column:
     return F.md5(F.col(text) if isinstance(text, str) else text)
@@ -33,7 +39,9 @@ def fresh_entries(cache: DataFrame, now: Column, expire_days: int = EXPIRE_DAYS)
 def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """Each text once. Copies are merged on the map side, so a text that fills a
     third of the table reaches the shuffle once per task."""
-    return df.groupBy(text_hash(text).alias("text_hash")).agg(F.min(text).alias("text"))
+    return df.groupBy(text_hash(text).alias("text_hash")).agg(
+        F.min(text).alias("text"), F.count(F.lit(1)).alias("copies")
+    )
 
 
 def cache_lookup(
@@ -53,7 +61,7 @@ def embed_with_cache(
     text: str = "text",
     expire_days: int = EXPIRE_DAYS,
 ) -> DataFrame:
-    """One row per distinct text ``(text_hash, embedding, cached)``.
+    """One row per distinct text ``(text_hash, embedding, cached, copies)``.
 
     The embedder gets a null in the place of a cached text and must answer it with
     null, so hits cost it nothing and the texts are read once. Rows with ``cached``
@@ -65,14 +73,28 @@ def embed_with_cache(
         "text_hash",
         F.coalesce("embedding", embedder(F.when(miss, F.col("text")))).alias("embedding"),
         (~miss).alias("cached"),
+        "copies",
     )
 
 
 def attach_embeddings(df: DataFrame, embedded: DataFrame, text: str = "text") -> DataFrame:
-    """Bring the embedding of each text back to the rows that hold it."""
-    return (
-        df.withColumn("text_hash", text_hash(text)).join(embedded, "text_hash", "left").drop("text_hash")
-    )
+    """Bring the embedding of each text back to the rows that hold it.
+
+    The embeddings are checkpointed, so none is computed twice. Rows of a text with
+    very many copies stay where they are and get its vector by broadcast; all other
+    rows meet theirs in a join on the hash.
+    """
+    embedded = checkpointed(embedded)
+    if "copies" not in embedded.columns:
+        embedded = embedded.withColumn("copies", F.lit(1))
+    vectors = embedded.drop("copies")
+    rows = df.withColumn("text_hash", text_hash(text))
+    hot = embedded.where(F.col("copies") >= HOT_COPIES).drop("copies")
+    if not 0 < hot.limit(HOT_TEXTS + 1).count() <= HOT_TEXTS:
+        return rows.join(vectors, "text_hash", "left").drop("text_hash")
+    often = rows.join(F.broadcast(hot), "text_hash")
+    seldom = rows.join(F.broadcast(hot.select("text_hash")), "text_hash", "left_anti")
+    return often.unionByName(seldom.join(vectors, "text_hash", "left")).drop("text_hash")
 
 
 def embed_rows(

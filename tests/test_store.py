@@ -95,6 +95,17 @@ def test_cache_embeds_each_new_text_once(spark):
     assert em.cache_info(store.read_store(spark, root)).first().entries == 0
 
 
+def test_hot_texts_get_the_same_vectors(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(90)] + [(90, None)], "i int, text string")
+    cache = spark.createDataFrame([], "text_hash string, embedding array<float>, cached_at timestamp")
+    merged = em.embed_with_cache(docs, cache, F.current_timestamp())
+    plain = sorted((r.i, r.embedding) for r in em.attach_embeddings(docs, merged).collect())
+    monkeypatch.setattr(em, "HOT_COPIES", 5)
+    split = em.attach_embeddings(docs, merged)
+    assert sorted((r.i, r.embedding) for r in split.collect()) == plain
+    assert [i for i, _ in plain] == list(range(91)) and split.columns == ["i", "text", "embedding", "cached"]
+
+
 def test_ingest_twice_adds_nothing(spark, sf):
     root = scratch(spark, "t-store")
     docs = load(spark, sf, "documents").select("doc_id", "source", "text")
