@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import fingerprints
+from leafmill.llm import bpe, fingerprints, html_crf, ngram_join, toxicity, warc
 from leafmill.plans.registry import query
 from leafmill.session import load
 
@@ -23,3 +24,54 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query()
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    found = ngram_join.classes(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text_id", "copies", "class_id", "links")
+
+
+@query()
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(
+    """
+    with p as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) h from pages),
+    d as (
+      select *, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * i::int, 5))::bigint >> (15 - 5 * j::int)) & 31))::int, 1)
+      ), 'string_agg', '')), 'string_agg', '') digest, min(page_id) over (partition by h) first_id
+      from p)
+    select page_id, octet_length(b) payload_bytes, digest payload_digest,
+      case when page_id = first_id then 'response' else 'revisit' end record_type,
+      case when page_id <> first_id then first_id end refers_to
+    from d
+    """
+)
+def op5_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into web archives and read back from the normalised ones."""
+    rows = warc.archived(load(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as token ids and back."""
+    rows = bpe.encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
