@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, fingerprints, html_crf, ngram_join, toxicity, warc
+from leafmill.llm import bpe, fingerprints, html_crf, line_dedup, ngram_join, toxicity, warc
 from leafmill.plans.registry import query
 from leafmill.session import load
 
@@ -39,6 +39,12 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query()
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones, exactly or up to one word."""
+    return line_dedup.deduplicated(load(spark, sf_dir, "documents")).select("doc_id", "text", "lines", "removed")
+
+
 @query(
     """
     with p as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) h from pages),
