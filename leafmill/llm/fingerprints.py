@@ -26,19 +26,52 @@ def sketch(text: Column, k: int = SKETCH) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def smallest(texts: pa.Array) -> pa.Array:
-        found, sizes = [], [0]
-        for part in slices(texts.to_pylist()):
-            hashes, counts = shingle_hashes(part)
-            hashes = (hashes >> np.uint64(1)).astype(np.int64)
-            for a, b in segments(counts):
-                found.append(np.unique(hashes[a:b])[:k])
-                sizes.append(len(found[-1]))
-        values = np.concatenate(found) if found else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values, pa.int64()))
+        return _listed(_sketches(texts.to_pylist(), k))
 
     return smallest(text)
 
 
+def _sketches(texts: list[str], k: int) -> list[np.ndarray]:
+    found = []
+    for part in slices(texts):
+        hashes, counts = shingle_hashes(part)
+        hashes = (hashes >> np.uint64(1)).astype(np.int64)
+        found += [np.unique(hashes[a:b])[:k] for a, b in segments(counts)]
+    return found
+
+
+def _listed(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)])
+    values = np.concatenate([np.empty(0, np.int64), *found])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
+def edited_text(text: str, following: str) -> str:
+    """The text with its second half replaced by the start of the following one."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def _sketches_in_order(text: Column, following: Column, k: int) -> Column:
+    """Sketches of a text, its edited text and the following text.
+
+    Rows come in order, so the following text is mostly the next row's and its sketch is
+    there already.
+    """
+
+    @F.arrow_udf("struct<sketch: array<bigint>, edited: array<bigint>, following: array<bigint>>")
+    def three(texts: pa.Array, followings: pa.Array) -> pa.Array:
+        own, after = texts.to_pylist(), [t or "" for t in followings.to_pylist()]
+        edited = _sketches([edited_text(a, b) for a, b in zip(own, after, strict=True)], k)
+        found = _sketches(own, k)
+        known = [i + 1 < len(own) and after[i] == own[i + 1] for i in range(len(own))]
+        more = iter(_sketches([t for t, there in zip(after, known, strict=True) if not there], k))
+        nexts = [found[i + 1] if there else next(more) for i, there in enumerate(known)]
+        return pa.StructArray.from_arrays([_listed(found), _listed(edited), _listed(nexts)], ["sketch", "edited", "following"])
+
+    return three(text, following)
+
+
 def _united(a: Column, b: Column, k: int) -> Column:
     return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
 
@@ -84,13 +117,12 @@ def encoded(a: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_factor: int = 4) -> DataFrame:
-    """(doc_id, text, next_text, bucket): each text beside that of the next greater id.
+    """(doc_id, text, next_text, tail): each text beside that of the next greater id.
 
     After the last id comes the first again. The texts move once, into ranges of ids;
     the first row of each range is copied to the end of the range before it. Null ids
     come first, rows of one id in the order of their texts' hashes; null texts are
-    empty. A table of one row is its own successor. ``bucket`` and ``tail`` stay for
-    further windows; rows with ``tail`` are the copies.
+    empty. A table of one row is its own successor. Rows with ``tail`` are the copies.
     """
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("at"))
@@ -116,17 +148,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             F.struct(F.col("before").alias("bucket"), F.lit(True).alias("tail")),
         ),
     ).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("tail"))))
+    at_end = Window.partitionBy("bucket").orderBy("tail", "at", F.xxhash64("text"))
     placed = (
         rows.join(F.broadcast(heads_df), "at", "left")
         .select("doc_id", "at", "text", F.explode(places).alias("place"))
         .select("doc_id", "at", "text", F.col("place.bucket").alias("bucket"), F.col("place.tail").alias("tail"))
         .repartition(parts, "bucket")
     )
-    return placed.withColumn("next_text", F.lead("text").over(in_order()))
-
-
-def in_order() -> Window:
-    return Window.partitionBy("bucket").orderBy("tail", "at", F.xxhash64("text"))
+    return placed.withColumn("next_text", F.lead("text").over(at_end))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH) -> DataFrame:
@@ -138,20 +167,31 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives none; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    rows = with_next(docs, id_col, text_col)
     length = F.length("text")
     half = F.floor(length / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), length - half),
         F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half),
     )
-    rows = rows.withColumns({"edited": edited, "n_chars": length.cast("long")})
-    rows = rows.withColumns({"sketch": sketch(F.col("text"), k), "edited_sketch": sketch(F.col("edited"), k)})
-    rows = rows.withColumn("next_sketch", F.lead("sketch").over(in_order())).where(~F.col("tail"))
+    rows = with_next(docs, id_col, text_col).where(~F.col("tail"))
+    rows = rows.select(
+        "doc_id",
+        length.cast("long").alias("n_chars"),
+        F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),
+        _sketches_in_order(F.col("text"), F.col("next_text"), k).alias("s"),
+    )
+    rows = rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.col("s.sketch").alias("sketch"),
+        F.col("s.edited").alias("edited_sketch"),
+        F.col("s.following").alias("next_sketch"),
+    )
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "edited_sha256",
         "sketch",
         "edited_sketch",
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
