@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, fingerprints, html_crf, line_dedup, ngram_join, toxicity, warc
+from leafmill.llm import bpe, fingerprints, html_crf, line_dedup, ngram_join, sharding, toxicity, warc
 from leafmill.plans.registry import query
 from leafmill.session import load
 
@@ -65,6 +65,16 @@ def op5_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    docs = load(spark, sf_dir, "documents")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
+    return sharding.sharded(docs.withColumn("text_crc32", crc)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
