@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, fingerprints, html_crf, line_dedup, ngram_join, sharding, toxicity, warc
+from leafmill.llm import bpe, decontamination, fingerprints, html_crf, line_dedup, ngram_join, sharding, toxicity, warc
 from leafmill.plans.registry import query
 from leafmill.session import load
 
@@ -75,6 +75,12 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the same or with other parameters."""
+    return decontamination.found_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
