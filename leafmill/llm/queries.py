@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontamination, fingerprints, html_crf, line_dedup, ngram_join, sharding, toxicity, warc
+from leafmill.llm import bpe, decontamination, fingerprints, html_crf, line_dedup, ngram_join, quotations, sharding, toxicity, warc
 from leafmill.plans.registry import query
 from leafmill.session import load
 
@@ -97,3 +97,9 @@ def op9_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in reply order, without their quotes."""
+    return quotations.conversations(load(spark, sf_dir, "conversations"))
