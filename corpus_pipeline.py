@@ -1,18 +1,61 @@
-"""A pipeline that prepares the documents as a training corpus."""
+"""A pipeline that prepares the documents as a training corpus.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their
+columns; the last one returns token ids instead. What a stage returns is written and
+read again before the next one starts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafmill.llm import bpe, decontamination, line_dedup, ngram_join, toxicity
 from leafmill.session import load, scratch
 
-STAGES = []
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under 0.5."""
+    return toxicity.without_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; those that consisted of such lines only go."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal or similar ones."""
+    return ngram_join.one_per_class(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_items(docs, load(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers), their number, and the text decoded from them."""
+    rows = bpe.encode_decode(docs, VOCABULARY)
+    return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("byte_pairs", tokens),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # the learnt scores and the similarity join have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; each stage reads what the last one wrote."""
+    """Apply all stages to the documents."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, name)
