@@ -79,6 +79,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 done += len(part)
                 first, second = found.whole(), found.second()
                 use = np.flatnonzero(found.counts >= LEAST_WORDS)
+                if not len(use):
+                    continue
                 order = use[np.lexsort((number[use], second[use], first[use], owner[use]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (owner[order[1:]] != owner[order[:-1]]) | (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
