@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.filters import where
-from leafmill.functions.vectors import hash_embedding
+from leafmill.functions.vectors import hash_embedding, is_valid
 from leafmill.operators.hits import QUERY_LIMIT, blocked_hits, top_hits
 
 # Fixed value: default number of results.
@@ -58,7 +58,9 @@ def cosine_kernel(exclude_self: bool = False):
 
 
 def _vectors(df: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(name), F.col(vector).alias("embedding"))
+    """Ids and vectors; a null or empty vector and one with a NaN or null match nothing."""
+    rows = df.select(F.col(id_col).alias(name), F.col(vector).alias("embedding"))
+    return rows.where(is_valid(F.col("embedding")))
 
 
 def knn(

@@ -1,14 +1,19 @@
 """The chunk table: a folder of numbered Parquet snapshots.
 
-Adding appends files to the newest snapshot; every other change writes the next
-one, so a job never overwrites what it reads and a failed job leaves the last
-finished snapshot in place.
+A snapshot is a file with its schema and one folder per batch. Adding writes a new
+batch folder in the newest snapshot, which readers see when it is finished; every other
+change writes the next snapshot, so a job never overwrites what it reads and a failed
+job leaves the last finished state in place. Many small batches are merged by writing
+the next snapshot from what is read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.filters import where
 from leafmill.functions.ids import chunk_id
@@ -18,52 +23,123 @@ from leafmill.functions.vectors import is_valid
 COLLECTION = "document_chunks"
 METRIC = "cosine"
 
+SCHEMA = "schema.json"
+DIMENSION = "dimension-"
+MEGABYTE = 1024 * 1024
+
 
 def _folder(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def _names(spark: SparkSession, root: str) -> list[str]:
+    fs, path = _folder(spark, root)
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target = _folder(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _folder(spark, path)
+    return fs.exists(target)
+
+
 def snapshots(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the finished snapshots, oldest first."""
-    fs, path = _folder(spark, root)
-    if not fs.exists(path):
-        return []
-    done = []
-    for status in fs.listStatus(path):  # one entry per snapshot
-        name = status.getPath().getName()
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("snapshot-") and fs.exists(marker):
-            done.append(int(name.split("-")[1]))
-    return sorted(done)
+    found = [n for n in _names(spark, root) if n.startswith("snapshot-")]  # one entry per snapshot
+    return sorted(int(n.split("-")[1]) for n in found if _exists(spark, f"{root}/{n}/{SCHEMA}"))
 
 
 def _at(root: str, number: int) -> str:
     return f"{root}/snapshot-{number:08d}"
 
 
-def _writer(df: DataFrame, mode: str):
-    writer = df.write.mode(mode)
-    return writer.partitionBy("batch") if "batch" in df.columns else writer
+def batches(spark: SparkSession, root: str, number: int) -> list[int]:
+    """Numbers of the finished batches of a snapshot, oldest first."""
+    at = _at(root, number)
+    found = [n for n in _names(spark, at) if n.startswith("batch-")]  # one entry per batch
+    return sorted(int(n.split("-")[1]) for n in found if _exists(spark, f"{at}/{n}/_SUCCESS"))
+
+
+def _batch(root: str, number: int, batch: int) -> str:
+    return f"{_at(root, number)}/batch-{batch:08d}"
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
-    """Write the next snapshot and return its number."""
-    number = max(snapshots(df.sparkSession, root), default=0) + 1
-    _writer(df, "overwrite").parquet(_at(root, number))
+    """Write the next snapshot as one batch and return its number."""
+    spark = df.sparkSession
+    number = max(snapshots(spark, root), default=0) + 1
+    df.write.mode("overwrite").parquet(_batch(root, number, 1))
+    _write_text(spark, f"{_at(root, number)}/{SCHEMA}", df.schema.json())
     return number
 
 
-def read_store(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
-    """The newest snapshot, or the one asked for."""
+def store_schema(spark: SparkSession, root: str, number: int) -> T.StructType:
+    fs, path = _folder(spark, f"{_at(root, number)}/{SCHEMA}")
+    stream = fs.open(path)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return T.StructType.fromJson(json.loads(text))
+
+
+def read_store(spark: SparkSession, root: str, number: int | None = None, batch: int | None = None) -> DataFrame:
+    """The newest snapshot, or the one asked for; optionally one batch of it.
+
+    The schema lies with the snapshot, so one without rows is read like any other.
+    """
     if number is None:
         number = max(snapshots(spark, root))
-    return spark.read.parquet(_at(root, number))
+    schema = store_schema(spark, root, number)
+    found = [batch] if batch else batches(spark, root, number)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(_batch(root, number, b) for b in found))
 
 
-def append_rows(df: DataFrame, root: str) -> None:
-    number = max(snapshots(df.sparkSession, root), default=1)
-    _writer(df, "append").parquet(_at(root, number))
+def append_rows(df: DataFrame, root: str) -> tuple[int, int]:
+    """Add rows to the newest snapshot as a batch of their own: its snapshot and number.
+
+    Readers see the batch when it is finished. Columns that the store lacks are
+    dropped and missing ones are null, so all batches have one schema.
+    """
+    spark = df.sparkSession
+    known = snapshots(spark, root)
+    if not known:
+        return write_snapshot(df, root), 1
+    schema = store_schema(spark, root, known[-1])
+    rows = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+    batch = max(batches(spark, root, known[-1]), default=0) + 1
+    rows.write.mode("overwrite").parquet(_batch(root, known[-1], batch))
+    return known[-1], batch
+
+
+def stored_dimension(spark: SparkSession, root: str, vector: str = "embedding") -> int | None:
+    """The dimension of the store's vectors, kept beside the newest snapshot.
+
+    It is written when it is first asked for and vectors are there; a store takes
+    vectors of one dimension only, so any of them tells.
+    """
+    known = snapshots(spark, root)
+    if not known:
+        return None
+    at = _at(root, known[-1])
+    kept = [n for n in _names(spark, at) if n.startswith(DIMENSION)]
+    if kept:
+        return int(kept[0].removeprefix(DIMENSION))
+    rows = read_store(spark, root)
+    if vector not in rows.columns:
+        return None
+    one = rows.where(is_valid(F.col(vector))).select(F.size(vector).alias("n")).limit(1).collect()
+    if not one:
+        return None
+    _write_text(spark, f"{at}/{DIMENSION}{one[0]['n']}", "")
+    return one[0]["n"]
 
 
 def restore_snapshot(spark: SparkSession, root: str, number: int) -> int:
@@ -89,32 +165,48 @@ def with_chunk_id(df: DataFrame, metadata: list[str], text: str = "text", volati
 def new_rows(batch: DataFrame, store: DataFrame | None, key: str = "id") -> DataFrame:
     """Each key once, and none that the store holds.
 
-    Copies within the batch merge before the join, so its keys are unique on both
-    sides; of the store only the key column is read.
+    Of rows with one key that differ otherwise, the one with the least hash of all
+    columns stays, whatever the order they come in. Copies merge on the map side before
+    the join, so its keys are unique on both sides; of the store only the key is read.
     """
-    fresh = batch.dropDuplicates([key])
+    rest = [c for c in batch.columns if c != key]
+    if not rest:
+        fresh = batch.distinct()
+    else:
+        whole = F.struct(*(F.col(c) for c in rest))
+        one = batch.groupBy(key).agg(F.min_by(whole, F.xxhash64(*rest)).alias("_row"))
+        fresh = one.select(*(F.col(c) if c == key else F.col("_row")[c].alias(c) for c in batch.columns))
     if store is None:
         return fresh
     return fresh.join(store.select(key), key, "left_anti")
 
 
-def guard_dimension(rows: DataFrame, store: DataFrame, vector: str = "embedding") -> DataFrame:
+def common_dimension(rows: DataFrame, vector: str = "embedding") -> int | None:
+    """The dimension that most valid vectors have, the smallest on ties."""
+    counts = rows.where(is_valid(F.col(vector))).groupBy(F.size(vector).alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    first = counts.orderBy(F.desc("c"), "n").limit(1).collect()
+    return first[0]["n"] if first else None
+
+
+def guard_dimension(rows: DataFrame, store: DataFrame | None, vector: str = "embedding", dimension: int | None = None) -> DataFrame:
     """Mark rows whose vector fits the store: ``accepted`` and a ``reason``.
 
-    An empty store accepts any valid vector.
+    ``dimension`` spares the look into the store. An empty store takes the dimension
+    that most vectors of the batch have.
     """
-    stored = store.agg(F.max(F.size(vector))).scalar()
-    bad, wrong = ~is_valid(F.col(vector)), F.size(vector) != stored
+    if dimension is None and store is not None:
+        dimension = store.agg(F.max(F.size(vector))).first()[0]
+    if dimension is None:
+        dimension = common_dimension(rows, vector)
+    bad, wrong = ~is_valid(F.col(vector)), F.size(vector) != dimension
     reason = F.when(bad, "invalid vector").when(wrong, "dimension mismatch")
     return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
-def valid_documents(rows: DataFrame, store: DataFrame | None = None) -> DataFrame:
+def valid_documents(rows: DataFrame, store: DataFrame | None = None, dimension: int | None = None) -> DataFrame:
     """Rows that have a text and a usable vector of the store's dimension."""
     whole = rows.where(F.col("text").isNotNull() & is_valid(F.col("embedding")))
-    if store is None:
-        return whole
-    return guard_dimension(whole, store).where("accepted").drop("accepted", "reason")
+    return guard_dimension(whole, store, dimension=dimension).where("accepted").drop("accepted", "reason")
 
 
 def known_store(spark: SparkSession, root: str) -> DataFrame | None:
@@ -123,29 +215,19 @@ def known_store(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def append_batch(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
-    """Append rows as a ``batch`` partition of their own and return their ids.
+    """Append rows as a batch of their own and return their ids.
 
-    The ids come from reading that partition back, so nothing is computed twice.
+    The ids come from reading that batch back, so nothing is computed twice.
     """
-    number = _next_batch(spark, root)
-    append_rows(rows.withColumn("batch", F.lit(number)), root)
-    return read_store(spark, root).where(F.col("batch") == number).select("id")
+    number, batch = append_rows(rows, root)
+    return read_store(spark, root, number, batch).select("id")
 
 
 def add_documents(spark: SparkSession, rows: DataFrame, root: str, metadata: list[str]) -> DataFrame:
     """Add valid, new rows that bring their embedding; returns the ids added."""
     store = known_store(spark, root)
-    fresh = new_rows(with_chunk_id(valid_documents(rows, store), metadata), store)
-    return append_batch(spark, fresh, root)
-
-
-def _next_batch(spark: SparkSession, root: str) -> int:
-    known = snapshots(spark, root)
-    if not known:
-        return 1
-    fs, path = _folder(spark, _at(root, known[-1]))
-    names = [s.getPath().getName() for s in fs.listStatus(path)]  # one per batch
-    return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=0) + 1
+    fitting = valid_documents(rows, None, stored_dimension(spark, root))
+    return append_batch(spark, new_rows(with_chunk_id(fitting, metadata), store), root)
 
 
 def get_by_ids(store: DataFrame, ids: DataFrame | list, key: str = "id") -> DataFrame:
@@ -155,14 +237,33 @@ def get_by_ids(store: DataFrame, ids: DataFrame | list, key: str = "id") -> Data
     return store.where(F.col(key).isin(list(ids)))
 
 
-def partial_update(store: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """Replace the fields a patch gives; a null in the patch keeps the old value."""
-    fields = [c for c in patch.columns if c != key]
-    new = patch.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields), F.lit(True).alias("_hit"))
-    joined = store.join(new, key, "left")
-    out = [
-        F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in store.columns
-    ]
+def partial_update(
+    store: DataFrame, patch: DataFrame, key: str = "id", order: str | None = None, vector: str = "embedding"
+) -> DataFrame:
+    """Replace the fields a patch gives; a null in the patch keeps the old value.
+
+    Patches of one id merge field by field: the value with the greatest ``order`` wins,
+    without an order the one with the greatest hash. A new vector must be valid and of
+    the old one's dimension, otherwise the old one stays.
+    """
+    fields = [c for c in patch.columns if c not in (key, order)]
+    merged = patch.groupBy(F.col(key)).agg(
+        F.lit(True).alias("_hit"),
+        *(
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order) if order else F.xxhash64(F.col(c)))).alias(f"_new_{c}")
+            for c in fields
+        ),
+    )
+    joined = store.join(merged, key, "left")
+
+    def new(c: str) -> Column:
+        value = F.col(f"_new_{c}")
+        if c != vector:
+            return value
+        fits = is_valid(value) & (F.col(c).isNull() | (F.size(value) == F.size(c)))
+        return F.when(fits, value)
+
+    out = [F.coalesce(new(c), F.col(c)).alias(c) if c in fields else F.col(c) for c in store.columns]
     return joined.select(*out, F.coalesce("_hit", F.lit(False)).alias("updated"))
 
 
@@ -199,3 +300,13 @@ def store_stats(store: DataFrame, name: str = COLLECTION, metric: str = METRIC)
         F.lit(name).alias("collection_name"),
         F.lit(metric).alias("distance_metric"),
     )
+
+
+def storage_stats(spark: SparkSession, root: str, name: str = COLLECTION, metric: str = METRIC) -> DataFrame:
+    """``store_stats`` of the newest snapshot, and its size in bytes and megabytes on disk."""
+    number = max(snapshots(spark, root))
+    fs, path = _folder(spark, _at(root, number))
+    size = fs.getContentSummary(path).getLength()
+    return store_stats(read_store(spark, root, number), name, metric).withColumns(
+        {"storage_bytes": F.lit(size).cast("long"), "storage_mb": F.round(F.lit(size / MEGABYTE), 2)}
+    )

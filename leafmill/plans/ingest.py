@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from leafmill.functions.vectors import hash_embedding, truncate_to_budget
 from leafmill.operators.chunking import chunk_table, enrich_chunks
 from leafmill.operators.embedding import embed_rows
-from leafmill.operators.store import append_batch, known_store, new_rows, valid_documents, with_chunk_id
-from leafmill.session import spread
+from leafmill.operators.store import append_batch, known_store, new_rows, stored_dimension, valid_documents, with_chunk_id
+from leafmill.session import checkpointed, spread
 
 STAGE = "text_to_chunks"
 
@@ -35,20 +35,34 @@ def ingest(
     root: str,
     metadata: list[str],
     embedder: Callable[[Column], Column] = hash_embedding,
+    budget: int | None = None,
     **options,
 ) -> DataFrame:
     """Add the chunks of the documents to the store; returns the ids added."""
-    return ingest_chunks(spark, prepare_chunks(documents, metadata, **options), root, embedder)
+    return ingest_chunks(spark, prepare_chunks(documents, metadata, **options), root, embedder, budget)
 
 
 def ingest_chunks(
-    spark: SparkSession, chunks: DataFrame, root: str, embedder: Callable[[Column], Column] = hash_embedding
+    spark: SparkSession,
+    chunks: DataFrame,
+    root: str,
+    embedder: Callable[[Column], Column] = hash_embedding,
+    budget: int | None = None,
 ) -> DataFrame:
     """Add identified chunks to the store; returns the ids added.
 
-    Copies and known chunks leave before the embedder, the dearest step, sees them.
+    Copies and known chunks leave before the embedder, the dearest step, sees them. An
+    embedder with a token limit gets it as ``budget``, and longer texts are cut for it;
+    the default one has no limit and reads whole texts.
     """
     store = known_store(spark, root)
     fresh = new_rows(chunks, store)
-    embedded = embed_rows(fresh, embedder=lambda c: embedder(truncate_to_budget(c)))
-    return append_batch(spark, valid_documents(embedded, store), root)
+
+    def embed(text: Column) -> Column:
+        return embedder(text if budget is None else truncate_to_budget(text, budget))
+
+    embedded = embed_rows(fresh, embedder=embed)
+    dimension = stored_dimension(spark, root)
+    if dimension is None:  # the first rows: look at their vectors once, then store them
+        embedded = checkpointed(embedded)
+    return append_batch(spark, valid_documents(embedded, None, dimension), root)
