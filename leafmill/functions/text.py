@@ -41,9 +41,11 @@ HTML_RULES = (
     (r"(?is)<!--.*?-->", ""),
     (r"(?is)<script\b.*?</script>", ""),
     (r"(?is)<style\b.*?</style>", ""),
+    (r"(?is)<head\b.*?<title\b[^>]*>(.*?)</title>.*?</head>", r"# \1\n\n"),
     (r"(?is)<head\b.*?</head>", ""),
     *((rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}>", r"\n\n" + "#" * n + r" \1\n\n") for n in range(1, 7)),
-    (r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"),
+    (r'(?is)<a\b[^>]*href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"),
+    (r"(?is)<a\b[^>]*href\s*=\s*'([^']*)'[^>]*>(.*?)</a>", r"[\2](\1)"),
     (r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", r"**\1**"),
     (r"(?is)<(?:i|em)>(.*?)</(?:i|em)>", r"*\1*"),
     (r"(?is)<li\b[^>]*>", r"\n* "),
@@ -53,8 +55,16 @@ HTML_RULES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
+    ("&(?:#39|#x27|apos|rsquo|lsquo|#8217|#8216);", "'"),
+    ("&(?:ldquo|rdquo|#8220|#8221|#34);", '"'),
+    ("&(?:nbsp|#160|#xa0);", " "),
+    ("&(?:ndash|#8211);", "–"),
+    ("&(?:mdash|#8212);", "—"),
+    ("&(?:hellip|#8230);", "…"),
+    ("&(?:middot|#183);", "·"),
+    ("&(?:copy|#169);", "©"),
+    ("&(?:reg|#174);", "®"),
+    ("&(?:euro|#8364);", "€"),
     ("&amp;", "&"),
 )
 

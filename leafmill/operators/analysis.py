@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from typing import Any
 from uuid import uuid4
@@ -18,8 +19,9 @@ def as_frame(df: DataFrame, result: Any) -> DataFrame:
     """Any result as a table.
 
     A DataFrame stays as it is; an aggregate Column is evaluated over ``df``; a
-    ``{"type": ..., "value": ...}`` dict gives its value; a list of pairs gives
-    ``(index, 值)``; a scalar gives the one column 结果.
+    ``{"type": ..., "value": ...}`` dict gives its value, with ``"index"`` as the name
+    of a series' index; a dict or a list of pairs gives ``(index, 值)``, any other list
+    one column 值; a scalar gives the one column 结果. Empty results are empty tables.
     """
     spark = df.sparkSession
     if isinstance(result, DataFrame):
@@ -27,12 +29,21 @@ def as_frame(df: DataFrame, result: Any) -> DataFrame:
     if isinstance(result, Column):
         return df.agg(result.alias(RESULT))
     if isinstance(result, dict) and "type" in result:
-        return as_frame(df, result["value"])
+        value, index = result["value"], result.get("index", "index")
+        if index != "index" and isinstance(value, dict | list | tuple):
+            return as_frame(df, value).withColumnRenamed("index", index)
+        return as_frame(df, value)
     if isinstance(result, Row):
         return spark.createDataFrame([result])
     if isinstance(result, dict):
-        return spark.createDataFrame(list(result.items()), ["index", VALUE])
+        result = list(result.items())
+        if not result:
+            return spark.createDataFrame([], f"index string, `{VALUE}` string")
     if isinstance(result, list | tuple):
+        if not result:
+            return spark.createDataFrame([], f"`{VALUE}` string")
+        if all(isinstance(v, tuple | list) and len(v) == 2 for v in result):
+            return spark.createDataFrame([tuple(v) for v in result], ["index", VALUE])
         return spark.createDataFrame([(v,) for v in result], [VALUE])
     if result is None:
         return spark.createDataFrame([(None,)], T.StructType([T.StructField(RESULT, T.StringType())]))
@@ -48,7 +59,13 @@ def analyze(df: DataFrame, question: str | Callable[[DataFrame], Any], **params)
         return as_frame(df, question(df, **params))
     view = f"analysis_{uuid4().hex}"
     df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"with df as (select * from {view}) {question}", args=params)
+    own = re.match(r"\s*with\s+(recursive\s+)?", question, re.I)  # the question's own named parts follow ours
+    begin = f"with {own[1] or ''}" if own else "with "
+    rest = f", {question[own.end() :]}" if own else f" {question}"
+    try:
+        return df.sparkSession.sql(f"{begin}df as (select * from {view}){rest}", args=params)
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
 
 
 def exact(value: Column) -> Column:

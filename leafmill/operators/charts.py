@@ -33,6 +33,8 @@ CHART_KEYS = {
     "district_map": ("district", "value"),
     "venn": ("sets", "size"),
 }
+# Keys that may be left out.
+OPTIONAL_KEYS = {"line": ("group",), "column": ("group", "stack")}
 NUMBER_KEYS = ("value", "value1", "value2", "x", "y", "lng", "lat", "size")
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -49,8 +51,9 @@ def chart_frame(df: DataFrame, kind: str, mapping: dict[str, str]) -> DataFrame:
     """Project the mapped columns under the names a chart kind needs.
 
     Times become text, number keys become doubles (null where they do not parse),
-    other keys text. A missing column gives nulls; a row with a null goes. The
-    frame must already be at the grain of the chart.
+    other keys text. A missing column gives nulls; a row with a null goes. Optional
+    keys are there if they are mapped to a column, and may be null. The frame must
+    already be at the grain of the chart.
     """
     fields = {f.name: f for f in df.schema.fields}
     out = []
@@ -58,7 +61,10 @@ def chart_frame(df: DataFrame, kind: str, mapping: dict[str, str]) -> DataFrame:
         source = mapping.get(key, "")
         column = F.col(f"`{source}`") if source in fields else F.lit(None).cast("string")
         out.append(_cast(key, column).alias(key))
-    return df.select(*out).na.drop()
+    for key in OPTIONAL_KEYS.get(kind, ()):
+        if mapping.get(key, "") in fields:
+            out.append(F.col(f"`{mapping[key]}`").cast("string").alias(key))
+    return df.select(*out).na.drop(subset=list(CHART_KEYS[kind]))
 
 
 def repair_mapping(proposals: DataFrame) -> DataFrame:

@@ -165,7 +165,9 @@ def blocked_hits(
         return _named(_block_hits(block, batch, kernel, k, np.full(len(batch), -np.inf)), batch)
 
     hits = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, schema)
-    return rank_hits(hits.distinct() if keys else hits, k)
+    if keys:  # a pair may meet in several groups; its scores agree up to rounding
+        hits = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return rank_hits(hits, k)
 
 
 def sparse_product(

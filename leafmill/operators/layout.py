@@ -17,17 +17,6 @@ def _joined(text: str, sep: str, order: str) -> Column:
     return F.expr(f"listagg({text}, '{sep}') within group (order by {order})").alias(text)
 
 
-def ordered_text(df: DataFrame, keys: list[str], order: str, text: str, sep: str) -> DataFrame:
-    """Join ``text`` per group in ``order``.
-
-    Stretches of positions are joined first, so a very long group is sorted in
-    pieces by many tasks and only its finished stretches meet at the end.
-    """
-    parts = df.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
-    inner = parts.groupBy(*keys, "_stretch").agg(_joined(text, sep, order))
-    return inner.groupBy(*keys).agg(_joined(text, sep, "_stretch"))
-
-
 def assemble_blocks(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans to one Markdown text per text block.
 

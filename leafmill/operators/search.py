@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.filters import where
 from leafmill.functions.vectors import hash_embedding, is_valid
+from leafmill.operators.frames import broadcast_if_small
 from leafmill.operators.hits import QUERY_LIMIT, blocked_hits, top_hits
+from leafmill.session import checkpointed
 
 # Fixed value: default number of results.
 RESULTS = 5
@@ -147,5 +149,11 @@ def knn_lsh(
 
 
 def with_documents(hits: DataFrame, documents: DataFrame, doc_id: str, *columns: str) -> DataFrame:
-    """Hits with the text and metadata of the rows they name."""
-    return hits.join(documents.select(F.col(doc_id).alias("id"), *columns), "id")
+    """Hits with the text and metadata of the rows they name.
+
+    The hits, a few per query, are materialised and counted; where they are few enough
+    they travel to the documents, which then stay in place.
+    """
+    named = documents.select(F.col(doc_id).alias("id"), *columns)
+    found = broadcast_if_small(checkpointed(hits))
+    return named.join(found, "id").select(*hits.columns, *columns)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ VALUE = "值"
 QUARTILES = (0.25, 0.5, 0.75)
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
 
 # Up to this many values, over all columns, the exact percentile buffers them in one
 # aggregate; beyond it the ranks are bracketed first.
@@ -53,18 +53,29 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _value(df: DataFrame, name: str) -> Column:
+    """A column in which NaN is missing like null: the one rule for all profiles."""
+    column = F.col(_q(name))
+    if isinstance(df.schema[name].dataType, T.DoubleType | T.FloatType):
+        return F.nanvl(column, F.lit(None))
+    return column
+
+
 def clean_names(df: DataFrame) -> DataFrame:
     """Trimmed single-spaced names; a blank one becomes ``Column_<position>``.
 
-    Only the schema is touched. A repeated name gets a running suffix.
+    Only the schema is touched. A name that is taken, in any case, gets the first free
+    running suffix.
     """
-    seen: dict[str, int] = {}
-    names = []
-    for position, name in enumerate(df.columns, 1):
-        name = " ".join(name.split()) or f"Column_{position}"
-        count = seen.get(name, 0)
-        seen[name] = count + 1
-        names.append(f"{name}.{count}" if count else name)
+    plain = [" ".join(name.split()) or f"Column_{position}" for position, name in enumerate(df.columns, 1)]
+    taken, names = set(), []
+    for name in plain:
+        own, count = name, 0
+        while own.lower() in taken or count and own in plain:
+            count += 1
+            own = f"{name}.{count}"
+        taken.add(own.lower())
+        names.append(own)
     return df.toDF(*names)
 
 
@@ -77,8 +88,8 @@ def map_null_tokens(df: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) ->
 def inferred_types(df: DataFrame) -> DataFrame:
     """One row per text column: how many values fit each type, and the type to use.
 
-    All values numeric: a number (``bigint`` only when all are whole and none is
-    missing); else all timestamps: ``timestamp``; else ``string``.
+    All values numeric: a number (``bigint`` only when all are whole, fit it and none is
+    missing; whole numbers beyond it stay text, which keeps their digits); else all timestamps: ``timestamp``; else ``string``.
     """
     names = text_columns(df)
     stats = []
@@ -88,7 +99,8 @@ def inferred_types(df: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias(f"rows_{i}"),
             F.count(c).alias(f"present_{i}"),
             F.count_if(c.rlike(NUMBER)).alias(f"numbers_{i}"),
-            F.count_if(c.rlike(NUMBER) & c.rlike(INTEGER)).alias(f"integers_{i}"),
+            F.count_if(c.rlike(INTEGER) & F.trim(c).try_cast("bigint").isNotNull()).alias(f"integers_{i}"),
+            F.count_if(c.rlike(INTEGER) & F.trim(c).try_cast("bigint").isNull()).alias(f"beyond_{i}"),
             F.count(F.try_to_timestamp(c)).alias(f"times_{i}"),
         ]
     row = df.agg(*stats)
@@ -97,7 +109,7 @@ def inferred_types(df: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(name).alias("column"),
-                *(F.col(f"{k}_{i}").alias(k) for k in ("rows", "present", "numbers", "integers", "times")),
+                *(F.col(f"{k}_{i}").alias(k) for k in ("rows", "present", "numbers", "integers", "beyond", "times")),
             )
             for i, name in enumerate(names)
         )
@@ -107,7 +119,7 @@ def inferred_types(df: DataFrame) -> DataFrame:
         row.select(F.inline(entries))
         .withColumn(
             "type",
-            F.when(F.col("numbers") == F.col("present"), number)
+            F.when((F.col("numbers") == F.col("present")) & (F.col("beyond") == 0), number)
             .when(F.col("times") == F.col("present"), "timestamp")
             .otherwise("string"),
         )
@@ -142,7 +154,7 @@ def _as_rows(row: DataFrame, names: Sequence[str], fields: dict[str, str]) -> Da
 
 def missing_counts(df: DataFrame) -> DataFrame:
     names = df.columns
-    row = df.agg(*(F.count_if(F.col(_q(n)).isNull()).alias(f"m_{i}") for i, n in enumerate(names)))
+    row = df.agg(*(F.count_if(_value(df, n).isNull()).alias(f"m_{i}") for i, n in enumerate(names)))
     return _as_rows(row, names, {"missing": "m"})
 
 
@@ -151,18 +163,22 @@ def column_info(df: DataFrame) -> DataFrame:
     names = df.columns
     kinds = [f.dataType.simpleString() for f in df.schema.fields]
     row = df.agg(
-        *(F.count(F.col(_q(n))).alias(f"n_{i}") for i, n in enumerate(names)),
+        *(F.count(_value(df, n)).alias(f"n_{i}") for i, n in enumerate(names)),
         *(F.max(F.lit(k)).alias(f"t_{i}") for i, k in enumerate(kinds)),
     )
     return _as_rows(row, names, {"non_null": "n", "type": "t"})
 
 
-def table_info(df: DataFrame) -> DataFrame:
-    """Table size, and the type and missing count of each column."""
+def table_info(df: DataFrame, *order: str, sample: int = 5) -> DataFrame:
+    """Table size, and the type and missing count of each column.
+
+    With an order each column also has a ``sample``, its first values as text.
+    """
     names = df.columns
+    shown = head(df, *order, n=sample).select(*(F.col(_q(n)).cast("string").alias(n) for n in names)).collect() if order else []
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *(F.count_if(F.col(_q(n)).isNull()).alias(f"m_{i}") for i, n in enumerate(names)),
+        *(F.count_if(_value(df, n).isNull()).alias(f"m_{i}") for i, n in enumerate(names)),
     )
     entries = F.array(
         *(
@@ -170,6 +186,7 @@ def table_info(df: DataFrame) -> DataFrame:
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 F.col(f"m_{i}").alias("missing"),
+                *([F.array(*(F.lit(r[i]) for r in shown)).cast("array<string>").alias("sample")] if order else []),
             )
             for i, f in enumerate(df.schema.fields)
         )
@@ -280,7 +297,7 @@ def columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """Fill nulls of numeric columns with the column's median.
 
-    A whole-number column with nulls becomes ``double``; one without stays as it is.
+    NaN is filled like null. A whole-number column with nulls becomes ``double``; one without stays as it is.
     """
     gaps = columns_with_gaps(df, list(columns or numeric_columns(df)))
     if not gaps:
@@ -288,7 +305,7 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None, direct_va
     medians = exact_quantiles(df, gaps, [0.5], direct_values).collect()  # a row per column
     return df.withColumns(
         {
-            r["column"]: F.coalesce(F.col(_q(r["column"])).cast("double"), F.lit(r["value"]))
+            r["column"]: F.coalesce(_value(df, r["column"]).cast("double"), F.lit(r["value"]))
             for r in medians
             if r["value"] is not None
         }
@@ -333,9 +350,12 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, direct_values: int = DIRECT_VALUES) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles, maximum per numeric column."""
+    """Count, mean, sample deviation, minimum, exact quartiles, maximum per numeric column.
+
+    NaN counts as missing, on every route.
+    """
     columns = list(columns or numeric_columns(df))
-    numbers = df.select(*(F.col(_q(c)).cast("double").alias(c) for c in columns))
+    numbers = df.select(*(_value(df, c).cast("double").alias(c) for c in columns))
     moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     direct = numbers.count() * len(columns) <= direct_values
     if direct:  # one pass for all

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     is, so a large input never pays for the extra shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Exchange|Join|Aggregate|Window|Sort", plan):  # its exchanges deal the rows out; asking would run them
+        return df
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)

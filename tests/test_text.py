@@ -52,7 +52,7 @@ def test_html_to_markdown(spark):
         "<html><head><title>t</title></head><body><script>var a='<p>'</script><!-- c --><h2 class='x'>Head</h2>"
         '<p>See <a href="/u">this &amp; that</a> <b>now</b><br>next</p><ul><li>one</li><li><em>two</em></li></ul></body></html>'
     )
-    assert one(spark, html, tx.html_to_markdown) == "## Head\n\nSee [this & that](/u) **now**\nnext\n\n* one\n* *two*"
+    assert one(spark, html, tx.html_to_markdown) == "# t\n\n## Head\n\nSee [this & that](/u) **now**\nnext\n\n* one\n* *two*"
 
 
 @pytest.mark.parametrize(
