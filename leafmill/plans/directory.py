@@ -13,8 +13,9 @@ from leafmill.plans.ingest import ingest_chunks, prepare_chunks
 from leafmill.session import checkpointed
 from leafmill.sources import csvfiles, files
 
-# A reader turns the files of one extension into rows ``(path, text, ...)``.
-Reader = Callable[[SparkSession, str], DataFrame]
+# A reader turns files of one extension, given by their paths, into rows ``(path, text,
+# ...)``; a row with an ``error`` and no text tells why a file could not be read.
+Reader = Callable[[SparkSession, list[str]], DataFrame]
 
 READERS: dict[str, Reader] = {".csv": csvfiles.describe_files}
 BASE = ["source", "file_name", "file_type", "file_size", "file_hash"]
@@ -50,7 +51,11 @@ def ingest_directory(
         max_mb,
         list(readers),
     )
-    # the bytes of files beyond the limit are never read
+    # only accepted files are read, by their paths; the listing itself is of this size
+    checked = checkpointed(checked)
+    accepted: dict[str, list[str]] = {}
+    for row in checked.where("accepted and size > 0").select("path", "file_type").collect():
+        accepted.setdefault(row["file_type"], []).append(files.plain_path(row["path"]))
     small = files.file_facts(listed.where(F.col("length") <= int(max_mb * files.MEGABYTE)), with_hash=True)
     base = small.select(
         "path",
@@ -60,11 +65,15 @@ def ingest_directory(
         F.col("size").alias("file_size"),
         F.col("hash").alias("file_hash"),
     )
-    suffixes = [s for s in readers if not listed.where(files.extension(F.col("path")) == s).isEmpty()]
-    if not suffixes:
+    if not accepted:
         return files.ingest_ledger(checked, spark.createDataFrame([], "path string"), "path")
-    texts = [readers[s](spark, f"{folder}/*{s}").withColumn("path", same_path(F.col("path"))) for s in suffixes]
+    texts = [readers[s](spark, paths).withColumn("path", same_path(F.col("path"))) for s, paths in accepted.items()]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texts).join(base, "path")
+    if "error" in rows.columns:
+        rows = checkpointed(rows)  # a row per file
+        failed = rows.where("text is null").select("path", F.col("error").alias("_error"))
+        checked = checked.join(failed, "path", "left").withColumn("reason", F.coalesce("reason", "_error")).drop("_error")
+        rows = rows.where("text is not null").drop("error")
     extra = [c for c in rows.columns if c not in ("path", "text", *BASE)]
     chunks = prepare_chunks(
         rows, [*BASE, *CHUNK, *extra], content_type="table_description", stage="table_to_text", **options

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.operators import analysis as an
 from leafmill.operators import tables as tb
 from leafmill.plans.registry import query
 from leafmill.session import load, spread
@@ -197,3 +198,70 @@ def tidy_table(spark, sf):
         F.when(F.col("event_id") % 5 == 0, "nan").otherwise(F.col("event_type")).alias("kind"),
     )
     return tb.tidy(rows).withColumn("value", F.round("value", 6))
+
+
+GAPS = "CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN value END"
+
+
+def _numbers_with_gaps(spark, sf):
+    """Values of which one in seven is NaN and one in eleven null."""
+    value = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 != 0, F.col("value"))
+    return load(spark, sf, "events").select("event_id", value.alias("value"))
+
+
+DESCRIBED = f"""
+    SELECT 'value' AS "column", count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS min,
+           round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75,
+           max(v) AS max FROM (SELECT {GAPS} AS v FROM events)
+"""
+
+
+def _described(spark, sf, **options):
+    out = tb.describe(_numbers_with_gaps(spark, sf), ["value"], **options)
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+@query(DESCRIBED)
+def describe_gaps(spark, sf):
+    return _described(spark, sf)
+
+
+@query(DESCRIBED)
+def describe_bracketed(spark, sf):
+    """The route for large inputs."""
+    return _described(spark, sf, direct_values=0)
+
+
+@query(f"SELECT event_id, round(coalesce({GAPS}, (SELECT quantile_cont({GAPS}, 0.5) FROM events)), 4) AS value FROM events")
+def impute_median_gaps(spark, sf):
+    return tb.impute_median(_numbers_with_gaps(spark, sf), ["value"]).select("event_id", F.round("value", 4).alias("value"))
+
+
+@query(
+    """
+    SELECT 'fits' AS "column", count(*) AS present, count(DISTINCT o_orderkey) AS kept, 'bigint' AS type FROM orders
+    UNION ALL SELECT 'beyond', count(*), count(DISTINCT o_orderkey), 'string' FROM orders
+    """
+)
+def infer_long_ids(spark, sf):
+    """Whole numbers of 19 and of 29 digits; none may merge."""
+    key = F.col("o_orderkey").cast("string")
+    rows = load(spark, sf, "orders").select(
+        (F.lit(9_000_000_000_000_000_000) + F.col("o_orderkey")).cast("string").alias("fits"),
+        F.concat(F.lit("123456789012345678"), F.lpad(key, 11, "0")).alias("beyond"),
+    )
+    kinds = tb.inferred_types(rows).select("column", "present", "type")
+    typed = tb.optimize_types(rows)
+    kept = typed.agg(*(F.count_distinct(c).alias(c) for c in typed.columns)).unpivot([], typed.columns, "column", "kept")
+    return kinds.join(kept, "column").select("column", "present", "kept", "type")
+
+
+@query(
+    """
+    WITH totals AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
+    SELECT p_brand, n FROM totals WHERE n >= 10
+    """
+)
+def analyze_with(spark, sf):
+    question = "WITH totals AS (SELECT p_brand, count(*) AS n FROM df GROUP BY p_brand) SELECT p_brand, n FROM totals WHERE n >= :least"
+    return an.analyze(load(spark, sf, "part"), question, least=10)

@@ -197,6 +197,43 @@ def add_documents(spark, sf):
     return store.read_store(spark, root).select("id")
 
 
+ADDED = """SELECT DISTINCT md5(text || '_' || '{{"lang": "' || lang || '", "source": "' || source || '"}}') AS id
+    FROM documents JOIN embeddings ON doc_id = vec_id WHERE {}"""
+
+
+def with_vectors(spark, sf):
+    docs = load(spark, sf, "documents").join(load(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    return docs.select("doc_id", "text", "lang", "source", "embedding")
+
+
+@query(ADDED.format("true"))
+def add_to_snapshot(spark, sf):
+    """A snapshot of half the rows, then all rows added."""
+    root, rows = scratch(spark, "store"), with_vectors(spark, sf)
+    first = store.with_chunk_id(rows.where("doc_id % 2 = 0"), ["lang", "source"])
+    store.write_snapshot(store.new_rows(first, None), root)
+    store.add_documents(spark, rows, root, ["lang", "source"])
+    return store.read_store(spark, root).select("id")
+
+
+@query(ADDED.format("lang = 'en'"))
+def add_after_reset(spark, sf):
+    root, rows = scratch(spark, "store"), with_vectors(spark, sf)
+    store.add_documents(spark, rows, root, ["lang", "source"])
+    store.reset_store(spark, root)
+    store.add_documents(spark, rows.where("lang = 'en'"), root, ["lang", "source"])
+    return store.read_store(spark, root).select("id")
+
+
+@query(ADDED.format("doc_id % 5 <> 0"))
+def add_mixed_dimensions(spark, sf):
+    """Every fifth vector of the first batch is cut short."""
+    root, rows = scratch(spark, "store"), with_vectors(spark, sf)
+    short = F.when(F.col("doc_id") % 5 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    store.add_documents(spark, rows.withColumn("embedding", short), root, ["lang", "source"])
+    return store.read_store(spark, root).select("id")
+
+
 @query("SELECT vec_id, label FROM embeddings JOIN labels ON vec_id = doc_id")
 def get_by_ids(spark, sf):
     ids = load(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"))
@@ -274,6 +311,16 @@ def ingest_batch(spark, sf):
     return store.read_store(spark, root).select("id", "text", "source")
 
 
+@query(STREAMED)
+def ingest_after_blanks(spark, sf):
+    """The first documents are blank; the real ones come next."""
+    root = scratch(spark, "store")
+    rows = documents(spark, sf).select("doc_id", "lang", "source", "text")
+    ingest(spark, rows.withColumn("text", F.lit(" ")), root, METADATA, separator="\n")
+    ingest(spark, rows, root, METADATA, separator="\n")
+    return store.read_store(spark, root).select("id", "text", "source")
+
+
 @query(STREAMED)
 def stream_ingest(spark, sf):
     root = scratch(spark, "store")
@@ -318,6 +365,30 @@ def knn_filtered(spark, sf):
     return all_neighbours(spark, sf, filter_metadata={"$or": [{"label": {"$in": [1, 3]}}, {"label": {"$gte": 8}}]})
 
 
+@query(f"WITH {sql.KNN_HITS} SELECT query_id, id, score, round(1 - score, 6) AS distance, rank FROM knn_hits")
+def knn_blocked(spark, sf):
+    """The layout for many queries."""
+    return all_neighbours(spark, sf, query_limit=10)
+
+
+@query(
+    f"""
+    WITH {sql.KNN_HITS}, f AS (SELECT * FROM knn_all WHERE id % 7 <> 0 AND query_id % 11 <> 0),
+    best AS ({sql.ranked('f')})
+    SELECT query_id, id, score, round(1 - score, 6) AS distance, rank FROM best
+    """
+)
+def knn_unusable(spark, sf):
+    """One corpus vector in seven is null or holds a NaN, one query vector in eleven is empty."""
+    rows = spread(load(spark, sf, "embeddings"), "vec_id")
+    nan = F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x).cast("float"))
+    broken = F.when(F.col("vec_id") % 14 == 0, nan).when(F.col("vec_id") % 7 != 0, F.col("embedding"))
+    empty = F.when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 0)).otherwise(F.col("embedding"))
+    return search.knn(
+        rows.withColumn("embedding", broken), rows.withColumn("embedding", empty), corpus_id="vec_id", query_id="vec_id", exclude_self=True
+    )
+
+
 @query("SELECT CAST(0 AS BIGINT) AS hits, count(*) AS queries FROM embeddings")
 def knn_dim_mismatch(spark, sf):
     rows = load(spark, sf, "embeddings")
@@ -351,6 +422,12 @@ def bm25(spark, sf):
     return bm25_hits(spark, sf)
 
 
+@query(f"WITH {sql.BM25_HITS} SELECT query_id, id, score, rank FROM bm25_hits")
+def bm25_blocked(spark, sf):
+    """The layout for many questions."""
+    return lexical.bm25(documents(spark, sf), load(spark, sf, "benchmark"), 5, query_id="item_id", query_limit=1)
+
+
 @query(
     f"""
     WITH {sql.BM25_HITS.replace('rank <= 5', 'rank <= 20')}, {sql.TEXT_HITS.replace('rank <= 5', 'rank <= 20')},

@@ -36,13 +36,13 @@ def read_csv(
     return map_null_tokens(df, null_tokens)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines ``(path, line)`` of all files, their bytes left as they are.
 
     ``first_block`` and ``line_no`` (rising within a task) tell where a file begins.
     """
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"),
         (F.col("_metadata.file_block_start") == 0).alias("first_block"),
         F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("line"),
@@ -99,17 +99,7 @@ def decode_lines(lines: DataFrame, encodings: DataFrame) -> DataFrame:
     )
 
 
-def parse_cells(decoded: DataFrame, sep: str = ",") -> DataFrame:
-    """CSV lines as ``cells``, an array of text."""
-
-    @F.pandas_udf("array<string>")
-    def cells(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: next(csv.reader([t], delimiter=sep), []))
-
-    return decoded.withColumn("cells", cells("line"))
-
-
-def decode_files(spark: SparkSession, path: str) -> DataFrame:
+def decode_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All lines of the files as text, whatever their encoding."""
     lines = read_lines(spark, path)
     return decode_lines(lines, detect_encodings(lines))
@@ -129,9 +119,9 @@ def body_lines(decoded: DataFrame, headers: DataFrame) -> DataFrame:
     return body.where((F.col("line_no") != F.col("header_no")) & (F.trim("line") != ""))
 
 
-def describe_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def describe_files(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """Each CSV file as a short text: ``path, table_rows, table_columns,
-    table_columns_list, text``.
+    table_columns_list, text, error``. A file that can't be read has an error and no text.
 
     All files are described at once. Rows are counted on the map side, and a file
     brings only its first three rows together for the preview, which shows the
@@ -153,21 +143,27 @@ def describe_files(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def _describe(sep: str):
-    @F.pandas_udf("table_rows long, table_columns int, table_columns_list string, text string")
+    names = ["table_rows", "table_columns", "table_columns_list", "text", "error"]
+
+    @F.pandas_udf("table_rows long, table_columns int, table_columns_list string, text string, error string")
     def describe(path: pd.Series, header: pd.Series, rows: pd.Series, first: pd.Series) -> pd.DataFrame:
         out = []
         for p, h, n, lines in zip(path, header, rows, first, strict=True):
-            names = next(csv.reader([h], delimiter=sep))
-            shown = pd.read_csv(io.StringIO("\n".join([h, *lines])), sep=sep)
+            try:
+                columns = next(csv.reader([h], delimiter=sep))
+                shown = pd.read_csv(io.StringIO("\n".join([h, *lines])), sep=sep)
+            except (ValueError, csv.Error) as error:  # of this file only; pandas' parser errors are values errors
+                out.append((None, None, None, None, f"unreadable: {error}".strip()))
+                continue
             text = DESCRIPTION.format(
                 name=p.rsplit("/", 1)[-1],
                 rows=n,
-                columns=len(names),
-                names=", ".join(names[:5]) + ("..." if len(names) > 5 else ""),
+                columns=len(columns),
+                names=", ".join(columns[:5]) + ("..." if len(columns) > 5 else ""),
                 preview=shown.to_string(max_cols=5, max_colwidth=20),
             )
-            out.append((n, len(names), ", ".join(names), text))
-        return pd.DataFrame(out, columns=["table_rows", "table_columns", "table_columns_list", "text"])
+            out.append((n, len(columns), ", ".join(columns), text, None))
+        return pd.DataFrame(out, columns=names)
 
     return describe
 
@@ -185,5 +181,7 @@ def read_csv_any_encoding(spark: SparkSession, path: str, sep: str = ",") -> Dat
         raise ValueError("the files do not share one header")
     body = body_lines(decoded, tops)
     header = next(csv.reader(headers, delimiter=sep))
-    rows = parse_cells(body, sep)
-    return map_null_tokens(rows.select(*(F.get("cells", i).alias(name) for i, name in enumerate(header))))
+    kinds = ", ".join(f"c{i} string" for i in range(len(header)))
+    cells = F.from_csv("line", F.lit(kinds), {"sep": sep, "quote": '"', "escape": '"'})
+    rows = body.select(cells.alias("cells"))
+    return map_null_tokens(rows.select(*(F.col(f"cells.c{i}").alias(name) for i, name in enumerate(header))))

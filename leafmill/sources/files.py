@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +20,42 @@ MEGABYTE = 1024 * 1024
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """Files of a folder as ``path, modificationTime, length`` and ``content``.
 
-    A caller that does not select ``content`` never reads it. Files of no bytes are
-    not listed.
+    A caller that does not select ``content`` never reads it. The reader passes over
+    files of no bytes, so these are listed through the file system and added.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    found = reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    empty = empty_files(spark, folder, pattern, recursive)
+    if not empty:
+        return found
+    return found.unionByName(spark.createDataFrame(empty, "path string, modificationTime timestamp, length long, content binary"))
+
+
+def empty_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> list[tuple]:
+    """The files of no bytes in a folder or glob; hidden ones are left out, as by the readers."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    accepts = hadoop.GlobFilter(pattern)
+    found, waiting = [], list(fs.globStatus(root) or [])
+    top = len(waiting)
+    while waiting:
+        status = waiting.pop(0)
+        name = status.getPath().getName()
+        inside = top <= 0
+        top -= 1
+        if status.isDirectory():
+            if not inside or recursive and not name.startswith(("_", ".")):
+                waiting += list(fs.listStatus(status.getPath()))
+        elif not status.getLen() and not name.startswith(("_", ".")) and accepts.accept(status.getPath()):
+            time = datetime.datetime.fromtimestamp(status.getModificationTime() / 1000, datetime.timezone.utc)
+            found.append((status.getPath().toString(), time, 0, bytearray()))
+    return found
+
+
+def plain_path(path: str) -> str:
+    """A path for a reader that takes globs, which finds this one file only."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)
 
 
 def scan_directory(
@@ -77,8 +110,8 @@ def check_files(
 def ingest_ledger(inputs: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """One outcome per input row: ``chunks_count``, ``success`` and ``error_message``.
 
-    ``inputs`` carries the ``reason`` of ``check_files``. A file without chunks is a
-    failure of its own and never stops the others.
+    ``inputs`` carries the ``reason`` of ``check_files`` or of a reader that failed. A
+    file without chunks is a failure of its own and never stops the others.
     """
     made = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_made"))
     count = F.when(F.col("reason").isNull(), F.coalesce("_made", F.lit(0))).otherwise(0)

@@ -134,21 +134,72 @@ def test_directory_gives_every_file_an_outcome(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("\n")
     (tmp_path / "c.pdf").write_text("%PDF")
     (tmp_path / "d.doc").write_text("?")
+    (tmp_path / "zero.csv").write_bytes(b"")
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3,4,5\n6\n")
+    (tmp_path / "odd[1]{x}.csv").write_text("a\n1\n")
     root = scratch(spark, "t-store")
     for _ in range(2):  # the second run stores nothing new
         ledger = ingest_directory(spark, str(tmp_path), root, max_mb=0.005)
         got = {r.path.rsplit("/", 1)[1]: (r.chunks_count, r.error_message) for r in ledger.collect()}
         assert got == {
             "a.csv": (1, None), "b.csv": (1, None), "big.csv": (0, "file too large"), "empty.csv": (0, "empty result"),
-            "c.pdf": (0, "unsupported format"), "d.doc": (0, "unsupported format")}
+            "c.pdf": (0, "unsupported format"), "d.doc": (0, "unsupported format"), "zero.csv": (0, "empty result"),
+            "odd[1]{x}.csv": (1, None), "ragged.csv": (0, got["ragged.csv"][1])}
+        assert got["ragged.csv"][1].startswith("unreadable")
     rows = {r.file_name: r for r in store.read_store(spark, root).collect()}
-    assert set(rows) == {"a.csv", "b.csv"}
+    assert set(rows) == {"a.csv", "b.csv", "odd[1]{x}.csv"}
     preview = pd.DataFrame({"名": ["甲", "乙", "丙"], "n": [1, 22, 3]}).to_string(max_cols=5, max_colwidth=20)
     assert rows["a.csv"].text == f"表格文件: a.csv\n行数: 4\n列数: 2\n列名: 名, n\n\n数据预览（前3行）:\n{preview}"
     assert (rows["a.csv"].table_rows, rows["a.csv"].content_type, rows["b.csv"].table_rows) == (4, "table_description", 0)
     assert rows["a.csv"].file_hash == hashlib.md5((tmp_path / "a.csv").read_bytes()).hexdigest()
 
 
+def test_snapshots_and_batches_read_as_one(spark):
+    root = scratch(spark, "t-store")
+    base = store.with_chunk_id(rows(spark, [("a", [1.0, 2.0], "s"), ("b", [1.0, 2.0], "s")]), ["source"])
+    store.write_snapshot(base, root)
+    assert store.add_documents(spark, rows(spark, [("c", [1.0, 2.0], "s"), ("a", [1.0, 2.0], "s")]), root, ["source"]).count() == 1
+    assert {r.text for r in store.read_store(spark, root).collect()} == {"a", "b", "c"}
+    unfinished = f"{root}/snapshot-00000001/batch-00000003"
+    base.write.parquet(unfinished)
+    fs, path = store._folder(spark, f"{unfinished}/_SUCCESS")
+    fs.delete(path, False)
+    assert store.read_store(spark, root).count() == 3
+    store.reset_store(spark, root)
+    assert store.read_store(spark, root).count() == 0
+    assert store.add_documents(spark, rows(spark, [("z", [1.0], "s")]), root, ["source"]).count() == 1
+    assert store.storage_stats(spark, root).first().storage_bytes > 0
+
+
+def test_first_batch_of_mixed_dimensions(spark):
+    root = scratch(spark, "t-store")
+    mixed = rows(spark, [("a", [1.0, 2.0], "s"), ("b", [1.0], "s"), ("c", [3.0, 4.0], "s"), ("d", [1.0, 2.0, 3.0], "s")])
+    store.add_documents(spark, mixed, root, ["source"])
+    assert {r.text for r in store.read_store(spark, root).collect()} == {"a", "c"}
+
+
+def test_blank_first_batch(spark, sf):
+    root = scratch(spark, "t-store")
+    docs = load(spark, sf, "documents").select("source", "text").limit(20)
+    assert ingest(spark, docs.withColumn("text", F.lit("  ")), root, META, separator="\n").count() == 0
+    assert ingest(spark, docs, root, META, separator="\n").count() > 0
+
+
+def test_repeated_patches_merge(spark):
+    base = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [1.0, 2.0])], "id long, text string, embedding array<float>")
+    patch = spark.createDataFrame(
+        [(1, "x", None, 1), (1, "y", None, 2), (1, None, [5.0, 6.0], 3), (2, None, [9.0], 1)], "id long, text string, embedding array<float>, at int"
+    )
+    got = {r.id: (r.text, r.embedding) for r in store.partial_update(base, patch, order="at").collect()}
+    assert got == {1: ("y", [5.0, 6.0]), 2: ("b", [1.0, 2.0])}
+
+
+def test_the_same_row_stays_in_any_order(spark):
+    values = [("k", i) for i in range(50)]
+    kept = {store.new_rows(spark.createDataFrame(v, "id string, n int").repartition(4), None).first().n for v in (values, values[::-1])}
+    assert len(kept) == 1
+
+
 def test_directory_takes_more_readers(spark, tmp_path):
     (tmp_path / "c.pdf").write_text("One page. Two.")
 
