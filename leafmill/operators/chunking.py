@@ -50,11 +50,40 @@ def _ints() -> Column:
     return F.array().cast("array<int>")
 
 
+STRETCH = 256
+
+
+def _fold(values: Column, start: dict[str, Column], step, grown: str, finish) -> Column:
+    """``aggregate`` for a state with a list that grows with the text.
+
+    Each step would copy the whole list. So the values are folded in stretches of about
+    their number's square root: a step copies the list of its stretch only, and the
+    stretches' lists are joined once each.
+    """
+    names = [n for n in start if n != grown]
+
+    def whole(bound: Column) -> Column:
+        stretch = F.greatest(F.lit(STRETCH), F.ceil(F.sqrt(F.size(bound))).cast("int"))
+        last = F.greatest(F.lit(0), F.ceil(F.size(bound) / stretch).cast("int") - 1)
+
+        def one(state: Column, k: Column) -> Column:
+            begin = F.struct(*((F.slice(start[grown], 1, 0) if n == grown else state[n]).alias(n) for n in start))
+            return let(
+                F.aggregate(F.slice(bound, k * stretch + 1, stretch), begin, step),
+                lambda end: F.struct(*(end[n].alias(n) for n in names), F.concat(state[grown], end[grown]).alias(grown)),
+            )
+
+        first = F.struct(*(start[n].alias(n) for n in names), start[grown].alias(grown))
+        return F.aggregate(F.sequence(F.lit(0), last), first, one, finish)
+
+    return let(values, whole)
+
+
 def _cut_points(lengths: Column, size: int, gap: int) -> Column:
     """Start positions (1-based) of greedily packed runs, and the end position."""
 
     def step(state: Column, n: Column) -> Column:
-        opens = (F.size(state["cuts"]) == 0) | (state["used"] + n > size)
+        opens = (state["at"] == 1) | (state["used"] + n > size)
         return F.struct(
             F.when(opens, n + gap).otherwise(state["used"] + n + gap).alias("used"),
             (state["at"] + 1).alias("at"),
@@ -63,8 +92,8 @@ def _cut_points(lengths: Column, size: int, gap: int) -> Column:
             .alias("cuts"),
         )
 
-    start = F.struct(F.lit(0).alias("used"), F.lit(1).alias("at"), _ints().alias("cuts"))
-    return F.aggregate(lengths, start, step, lambda s: F.concat(s["cuts"], F.array(s["at"])))
+    start = {"used": F.lit(0), "at": F.lit(1), "cuts": _ints()}
+    return _fold(lengths, start, step, "cuts", lambda s: F.concat(s["cuts"], F.array(s["at"])))
 
 
 def _runs(parts: Column, cuts: Column, joined) -> Column:
@@ -112,13 +141,9 @@ def basic_chunks(text: Column, size: int = CHUNK_SIZE, separator: str = SEPARATO
         )
 
     def pack(paragraphs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("used"), F.lit(1).alias("at"), _ints().alias("cuts"))
-        cuts = F.aggregate(
-            F.transform(paragraphs, F.length),
-            start,
-            step,
-            lambda s: F.concat(s["cuts"], F.array(s["at"])),
-        )
+        start = {"used": F.lit(0), "at": F.lit(1), "cuts": _ints()}
+        lengths = F.transform(paragraphs, F.length)
+        cuts = _fold(lengths, start, step, "cuts", lambda s: F.concat(s["cuts"], F.array(s["at"])))
         return F.flatten(let(cuts, lambda c: _runs(paragraphs, c, chunk)))
 
     return let(pieces(text, re.escape(separator)), pack)
@@ -168,13 +193,13 @@ def markdown_sections(text: Column) -> Column:
 
     def cut(lines: Column) -> Column:
         path_type = "array<struct<level:int,name:string>>"
-        start = F.struct(
-            F.lit(False).alias("fenced"),
-            F.lit(1).alias("at"),
-            F.array().cast(path_type).alias("path"),
-            F.array(F.struct(F.lit(0).alias("at"), F.array().cast(path_type).alias("path"))).alias("heads"),
-        )
-        folded = F.aggregate(lines, start, step, lambda s: s["heads"])
+        start = {
+            "fenced": F.lit(False),
+            "at": F.lit(1),
+            "path": F.array().cast(path_type),
+            "heads": F.array(F.struct(F.lit(0).alias("at"), F.array().cast(path_type).alias("path"))),
+        }
+        folded = _fold(lines, start, step, "heads", lambda s: s["heads"])
 
         def body(heads: Column) -> Column:
             def section(head: Column, k: Column) -> Column:
@@ -292,18 +317,18 @@ def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = C
         return let(F.when(full, trimmed).otherwise(kept), advance)
 
     def pack(parts: Column) -> Column:
-        start = F.struct(
-            _ints().alias("window"),
-            F.lit(0).alias("used"),
-            F.lit(1).alias("first"),
-            F.lit(1).alias("at"),
-            F.array().cast("array<struct<first:int,last:int>>").alias("spans"),
-        )
+        start = {
+            "window": _ints(),
+            "used": F.lit(0),
+            "first": F.lit(1),
+            "at": F.lit(1),
+            "spans": F.array().cast("array<struct<first:int,last:int>>"),
+        }
         last = lambda s: F.when(
             s["at"] > 1,
             F.concat(s["spans"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))),
         ).otherwise(s["spans"])
-        spans = F.aggregate(F.transform(parts, lambda p: p["n"]), start, step, last)
+        spans = _fold(F.transform(parts, lambda p: p["n"]), start, step, "spans", last)
 
         def joined(s: Column) -> Column:
             run = F.slice(parts, s["first"], s["last"] - s["first"] + 1)
