@@ -117,11 +117,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def close_lines(distinct: DataFrame) -> DataFrame:
-    """(k1, k2): lines that share a half with another distinct line."""
-    halves = distinct.where(F.col("n") >= NEAR_WORDS).select("k1", "k2", F.explode(F.array("h1", "h2", "h3", "h4")).alias("half"))
+    """(close_key): first keys of lines that share a half with another distinct line."""
+    halves = distinct.where(F.col("n") >= NEAR_WORDS).select("k1", F.explode(F.array("h1", "h2", "h3", "h4")).alias("half"))
     halves = halves.where("half is not null")
     shared = halves.groupBy("half").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("half")
-    return halves.join(shared, "half").select(*_KEYS).distinct()
+    return halves.join(shared, "half").select(F.col("k1").alias("close_key")).distinct()
 
 
 def with_words(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,9 +148,12 @@ def with_words(places: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(v, i, n, at, line, k1, k2): hashes of each line (i = -1) and of the line without word i."""
-    kinds = "v long, i int, n int, at long, line int, k1 long, k2 long"
-    names = [k.split()[0] for k in kinds.split(", ")]
+    """(v, form, at, line): hashes of each line and of the line without each word.
+
+    ``form`` is the number of words that the hash covers, for the line itself, and that
+    number and the place of the missing word, for the others.
+    """
+    kinds = "v long, form long, at long, line int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +164,10 @@ def variants(lines: DataFrame) -> DataFrame:
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power)))
                 dropped = mix(sums[:-1] + (sums[-1] - sums[1:]) * _BACK + np.uint64(n - 1))
                 whole = mix(sums[-1:] + np.uint64(n))
-                v = np.concatenate((whole, dropped)).view(np.int64)
-                columns = [v, np.arange(-1, n), *(np.full(n + 1, x) for x in (n, row["at"], row["line"], row["k1"], row["k2"]))]
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                form = np.concatenate(([n << 32], ((n - 1) << 32) + np.arange(1, n + 1)))
+                columns = [np.concatenate((whole, dropped)).view(np.int64), form, np.full(n + 1, row["at"]), np.full(n + 1, row["line"])]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["v", "form", "at", "line"])
 
     return lines.mapInArrow(run, kinds)
 
@@ -183,23 +186,22 @@ def near_repeats(lines: DataFrame) -> DataFrame:
     """(k1, k2): lines with an earlier line one edit away. Earlier: lesser id, then lesser line number."""
     emitted = stored(variants(lines), "variants")
     place = F.struct("at", "line")
-    dropped = emitted.where("i >= 0")
-    earliest = dropped.groupBy("v", "i", "n").agg(F.min(place).alias("e"), F.count("*").alias("c")).where("c > 1").select("v", "i", "n", "e")
-    replaced = dropped.join(earliest, ["v", "i", "n"]).where(place > F.col("e")).select("k1", "k2", F.col("e.at").alias("e_at"), F.col("e.line").alias("e_line"))
-    whole = emitted.where("i = -1").select("v", (F.col("n") + 1).alias("n"), *(F.col(c).alias(f"w_{c}") for c in ("at", "line", "k1", "k2")))
-    met = dropped.join(whole, ["v", "n"])
+    covered, missing = F.shiftright("form", 32), F.col("form").bitwiseAND(0xFFFFFFFF)
+    dropped = emitted.where(missing > 0)
+    earliest = dropped.groupBy("v", "form").agg(F.min(place).alias("e"), F.count("*").alias("c")).where("c > 1").select("v", "form", "e")
+    replaced = dropped.join(earliest, ["v", "form"]).where(place > F.col("e")).select("at", "line", F.col("e.at").alias("e_at"), F.col("e.line").alias("e_line"))
+    whole = emitted.where(missing == 0).select("v", covered.alias("covered"), F.col("at").alias("w_at"), F.col("line").alias("w_line"))
+    met = dropped.select("v", covered.alias("covered"), "at", "line").join(whole, ["v", "covered"])
     longer_goes = place > F.struct("w_at", "w_line")
 
     def of(longer: str, shorter: str) -> Column:
         return F.when(longer_goes, F.col(longer)).otherwise(F.col(shorter))
 
-    inserted = met.select(
-        of("k1", "w_k1").alias("k1"), of("k2", "w_k2").alias("k2"), of("w_at", "at").alias("e_at"), of("w_line", "line").alias("e_line")
-    )
+    inserted = met.select(of("at", "w_at").alias("at"), of("line", "w_line").alias("line"), of("w_at", "at").alias("e_at"), of("w_line", "line").alias("e_line"))
     pairs = replaced.union(inserted).distinct()
-    later = lines.select("k1", "k2", F.col("words").alias("a"))
+    later = lines.select("at", "line", "k1", "k2", F.col("words").alias("a"))
     earlier = lines.select(F.col("at").alias("e_at"), F.col("line").alias("e_line"), F.col("words").alias("b"))
-    both = pairs.join(later, _KEYS).join(earlier, ["e_at", "e_line"]).select("k1", "k2", "a", "b")
+    both = pairs.join(later, ["at", "line"]).join(earlier, ["e_at", "e_line"]).select("k1", "k2", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,9 +228,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "distinct-lines",
     )
     own = F.concat(F.array("line"), "again").alias("gone")
-    exact = lines.join(distinct.where("first < last").select(*_KEYS, "first"), _KEYS).where("at > first").select("at", "mark", own)
-    close = close_lines(distinct).join(distinct.select(*_KEYS, "first"), _KEYS)
-    firsts = stored(lines.select("at", "mark", "line", "again", *_KEYS).join(close, _KEYS).where("at = first"), "close-lines")
+    close = distinct.join(close_lines(distinct), F.col("k1") == F.col("close_key"), "left")
+    known = close.select(*_KEYS, "first", "last", F.col("close_key").isNotNull().alias("close")).where("first < last or close")
+    met = stored(lines.select("at", "mark", "line", "again", *_KEYS).join(known, _KEYS).where("at > first or close"), "met-lines")
+    exact = met.where("at > first").select("at", "mark", own)
+    firsts = met.where("close and at = first")
     worded = stored(with_words(firsts.select("at", "mark", "line", *_KEYS), rows), "line-words")
     near = firsts.join(near_repeats(worded), _KEYS).select("at", "mark", own)
     inside = lines.where(F.size("again") > 0).select("at", "mark", F.col("again").alias("gone"))

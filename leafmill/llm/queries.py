@@ -99,7 +99,62 @@ def op9_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+REPLIES = r"""
+    with recursive m as (
+      select distinct conv_id, turn, text, regexp_matches(text, '(?m)^\s*>') as quoting from conversations
+      where turn is not null and text is not null),
+    l as (
+      select conv_id, turn, text, i as pos, string_split_regex(text, '\r?\n')[i] as line
+      from m, unnest(range(1, len(string_split_regex(text, '\r?\n')) + 1)) as t(i) where quoting),
+    v as (
+      select *, length(regexp_replace(regexp_extract(line, '^(?:\s*>)+'), '[^>]', '', 'g')) as lvl,
+        regexp_replace(line, '^(?:\s*>)+', '') as body from l),
+    w as (
+      select *, lag(lvl) over (partition by conv_id, turn, text order by pos) as before,
+        lead(lvl, 1, 0) over (partition by conv_id, turn, text order by pos) as after from v),
+    r as (
+      select *, sum((before is distinct from lvl)::int) over (partition by conv_id, turn, text order by pos) as run from w),
+    passages as (
+      select conv_id, turn, lvl, string_agg(body, ' ' order by pos) as t from r where lvl > 0 group by conv_id, turn, text, run, lvl
+      union all select conv_id, turn, lvl, body from r where lvl > 0),
+    quoted as (
+      select distinct conv_id, turn, lvl, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) as key from passages),
+    kept as (
+      select conv_id, turn, text, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) order by pos) filter (
+          where lvl = 0 and not (after > 0 and regexp_matches(line, '(?i)(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$'))), ''),
+        '^\s+', ''), '\s+$', '') as own
+      from r group by conv_id, turn, text),
+    owned as (select conv_id, turn, text, own from kept union all select conv_id, turn, text, text from m where not quoting),
+    own_keys as (
+      select distinct conv_id, turn, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) as key
+      from owned, unnest([own] || string_split_regex(own, '\n\s*\n') || string_split_regex(own, '\r?\n')) as u(t)),
+    firsts as (select conv_id, key, min(turn) as origin from own_keys where key <> '' group by conv_id, key),
+    links as (
+      select q.conv_id, q.turn, q.lvl, f.origin from quoted q
+      join firsts f on q.conv_id is not distinct from f.conv_id and q.key = f.key and f.origin < q.turn),
+    parents as (
+      select conv_id, turn, max(origin) as parent from (
+        select *, min(lvl) over (partition by conv_id, turn) as outermost from links) where lvl = outermost group by conv_id, turn),
+    up as (
+      select conv_id, turn, parent, parent as root, 1 as depth from parents
+      union all select up.conv_id, up.turn, up.parent, p.parent, up.depth + 1 from up
+      join parents p on p.conv_id is not distinct from up.conv_id and p.turn = up.root),
+    threads as (select conv_id, turn, parent, arg_max(root, depth) as root, max(depth) as depth from up group by conv_id, turn, parent)
+    select c.conv_id, c.turn, c.role,
+      case when regexp_matches(c.text, '(?m)^\s*>') then (
+        select regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) order by pos) filter (
+            where lvl = 0 and not (after > 0 and regexp_matches(line, '(?i)(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$'))), ''),
+          '^\s+', ''), '\s+$', '')
+        from (select *, lead(lvl, 1, 0) over (order by pos) as after from (
+          select i as pos, s[i] as line, length(regexp_replace(regexp_extract(s[i], '^(?:\s*>)+'), '[^>]', '', 'g')) as lvl
+          from (select string_split_regex(c.text, '\r?\n') as s), unnest(range(1, len(s) + 1)) as t(i))))
+        else c.text end as text,
+      t.parent as parent_turn, coalesce(t.root, c.turn) as thread, coalesce(t.depth, 0)::bigint as depth
+    from conversations c left join threads t on c.conv_id is not distinct from t.conv_id and c.turn = t.turn
+"""
+
+
+@query(REPLIES)
 def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages in reply order, without their quotes."""
     return quotations.conversations(load(spark, sf_dir, "conversations"))

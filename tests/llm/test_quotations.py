@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 
 from leafmill.llm import quotations
+from leafmill.llm.queries import REPLIES
 
 MESSAGES = [
     (1, 0, "a", "Hello there.\n\nHow are  you doing\ntoday?\n\nBye"),
@@ -49,6 +51,15 @@ def test_replies_follow_what_they_quote(messages):
     assert [(r.conv_id, r.turn, r.text, r.parent_turn, r.thread, r.depth) for r in got] == EXPECTED
 
 
+def test_sql_says_the_same(messages):
+    con = duckdb.connect()
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    for row in MESSAGES:
+        con.execute("insert into conversations values (?, ?, ?, ?)", list(row))
+    got = con.sql(REPLIES).fetchall()
+    assert sorted(map(repr, [(c, t, x, p, th, d) for c, t, _, x, p, th, d in got])) == sorted(map(repr, EXPECTED))
+
+
 def test_long_thread(spark):
     rows = [(1, i, "a", f"> my message {i - 1}\nmy message {i}") for i in range(60)]
     got = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
