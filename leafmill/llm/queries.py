@@ -75,7 +75,63 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _template_sql(text: str) -> dict[str, str]:
+    """SQL for the template words of a text and for what its placeholders stand for."""
+    d = decontamination
+    names, marked = d.NAMES.replace("'", "''"), f"regexp_replace({text}, '{d.NAMES}', '\\1{d.NAME}', 'g')"
+    numbered = f"regexp_replace({marked}, '{d.NUMBERS}', ' {d.NUMBER} ', 'g')"
+    measured = f"regexp_replace({numbered}, '{d.MEASURED}', '{d.NUMBER} {d.UNIT}', 'g')"
+    return {
+        "words": f"list_filter(string_split_regex(lower({measured}), '{d.BETWEEN}'), lambda x: x <> '')",
+        "numbers": f"regexp_extract_all({marked}, '{d.NUMBERS}')",
+        "units": f"list_transform(regexp_extract_all({numbered}, '{d.MEASURED}', 1), lambda x: lower(x))",
+        "names": f"list_transform(regexp_extract_all({text}, '{names}', 2), lambda x: lower(x))",
+    }
+
+
+_TEMPLATE = ", ".join(f"{sql} as {name}" for name, sql in _template_sql("text").items())
+_MARKS = f"('{decontamination.NUMBER}', '{decontamination.UNIT}', '{decontamination.NAME}')"
+LEAKS = f"""
+    with docs as (select *, {_TEMPLATE} from (select distinct doc_id, coalesce(text, '') as text from documents)),
+    items as (select *, {_TEMPLATE} from (select distinct text from benchmark where text is not null)),
+    sizes as (select distinct least({decontamination.WINDOW}, len(words)) as size from items where len(words) > 0),
+    item_windows as (
+      select text as item, size, i, array_to_string(words[i : i + size - 1], ' ') as w, len(words) - size + 1 as whole
+      from items, sizes, unnest(range(1, len(words) - size + 2)) as t(i)
+      where size = least({decontamination.WINDOW}, len(words))
+        and len(list_filter(words[i : i + size - 1], lambda x: x not in {_MARKS})) >= least({decontamination.LITERAL}, (size + 1) // 2)),
+    doc_windows as (
+      select doc_id, text, size, i, array_to_string(words[i : i + size - 1], ' ') as w
+      from docs, sizes, unnest(range(1, len(words) - size + 2)) as t(i)),
+    passages as (
+      select d.doc_id, d.text, w.item, w.whole, d.i - w.i as shift, count(distinct w.i) as windows, min(w.i) as first, max(w.i) + w.size - 1 as last
+      from doc_windows d join item_windows w using (size, w) group by d.doc_id, d.text, w.item, w.whole, w.size, shift
+      having count(distinct w.i) >= least(w.whole, {decontamination.PASSAGE - decontamination.WINDOW + 1})),
+    slots as (
+      select p.*, i.words[pl] as kind,
+        len(list_filter(i.words[1 : pl], lambda x: x = i.words[pl])) as i_nth,
+        len(list_filter(d.words[1 : pl + shift], lambda x: x = i.words[pl])) as d_nth,
+        i.numbers as i_numbers, i.units as i_units, i.names as i_names, d.numbers as d_numbers, d.units as d_units, d.names as d_names
+      from passages p join docs d on d.doc_id is not distinct from p.doc_id and d.text = p.text join items i on i.text = p.item,
+        unnest(range(first, last + 1)) as t(pl)
+      where i.words[pl] in {_MARKS} and i.words[pl] = d.words[pl + shift]),
+    held as (
+      select *, case kind when '{decontamination.NUMBER}' then i_numbers[i_nth] when '{decontamination.UNIT}' then i_units[i_nth] else i_names[i_nth] end as i_value,
+        case kind when '{decontamination.NUMBER}' then d_numbers[d_nth] when '{decontamination.UNIT}' then d_units[d_nth] else d_names[d_nth] end as d_value
+      from slots),
+    judged as (
+      select doc_id, text, item, shift, count(distinct (kind, i_value, d_value)) as pairs, count(distinct (kind, i_value)) as ours,
+        count(distinct (kind, d_value)) as theirs, bool_or(i_value <> d_value) as changed from held group by doc_id, text, item, shift),
+    found as (
+      select p.doc_id, p.text, p.item, max(windows) as windows, max(whole) as whole, bool_and(coalesce(changed, false)) as changed
+      from passages p left join judged j on j.doc_id is not distinct from p.doc_id and j.text = p.text and j.item = p.item and j.shift = p.shift
+      where j.item is null or (pairs = ours and pairs = theirs) group by p.doc_id, p.text, p.item)
+    select doc_id, item_id, windows, windows / whole as share, changed
+    from found join (select distinct item_id, text as item from benchmark) b using (item)
+"""
+
+
+@query(LEAKS)
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, with the same or with other parameters."""
     return decontamination.found_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

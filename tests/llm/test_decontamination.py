@@ -1,8 +1,10 @@
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontamination as dec
+from leafmill.llm.queries import LEAKS
 from tests.llm import brute
 
 QUESTION = "once Tom has 12 apples and gives 5 apples to Anna, and how many kilograms does Tom carry over 3.5 km of road in all?"
@@ -44,6 +46,16 @@ def test_same_and_changed_items(frames):
     assert got == FOUND
 
 
+def test_sql_says_the_same(frames):
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.sql("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [list(r) for r in DOCS])
+    con.executemany("insert into benchmark values (?, ?)", [list(r) for r in ITEMS])
+    got = [tuple(r) for r in dec.found_items(*frames).select("doc_id", "item_id", "windows", "share", "changed").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, con.sql(LEAKS).fetchall()))
+
+
 def test_rows_without_items_stay(frames):
     kept = dec.without_items(*frames)
     assert kept.columns == frames[0].columns
