@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,9 @@ from leafmill.session import checkpointed
 # Fixed value: default number of results.
 RESULTS = 5
 
+TABLES = 32  # of the approximate search
+BUCKET_ROWS = 64  # rows per bucket that it aims at
+
 
 def _unit_rows(vectors: pd.Series, dim: int) -> np.ndarray:
     """The vectors as unit rows; a zero vector stays zero."""
@@ -106,6 +109,41 @@ def best_match(corpus: DataFrame, queries: DataFrame, **options) -> DataFrame:
     )
 
 
+def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
+    """One random direction of +1 and -1 per table and bit: (dim, tables * bits).
+
+    The signs come from md5, so that any other engine can make the same ones.
+    """
+    names = (f"{t}:{j}:{d}" for d in range(dim) for t in range(tables) for j in range(bits))
+    signs = [1.0 if hashlib.md5(n.encode()).hexdigest() < "8" else -1.0 for n in names]
+    return np.array(signs).reshape(dim, tables * bits)
+
+
+def hash_bits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """How many bits make buckets of about ``bucket_rows`` rows."""
+    return max(1, ceil(log2(max(1, rows) / bucket_rows)))
+
+
+def _buckets(df: DataFrame, name: str, tables: int, bits: int) -> DataFrame:
+    @F.pandas_udf("array<int>")
+    def hashed(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        sizes = vectors.str.len()
+        for dim in sizes.unique():
+            at = np.flatnonzero(sizes == dim)
+            rows = np.concatenate(vectors.iloc[at].to_numpy()).astype(np.float64).reshape(-1, dim)
+            if dim not in planes:
+                planes[dim] = hyperplanes(dim, tables, bits)
+            sides = (rows @ planes[dim] > 0).reshape(len(at), tables, bits)
+            codes = (sides << np.arange(bits)).sum(2).astype(np.int32)
+            for i, code in zip(at.tolist(), codes, strict=True):
+                out.iat[i] = code
+        return out
+
+    planes: dict[int, np.ndarray] = {}
+    return df.select(name, "embedding", F.size("embedding").alias("_dim"), F.posexplode(hashed("embedding")).alias("_table", "_bucket"))
+
+
 def knn_lsh(
     corpus: DataFrame,
     queries: DataFrame,
@@ -113,37 +151,26 @@ def knn_lsh(
     corpus_id: str = "id",
     query_id: str = "query_id",
     vector: str = "embedding",
-    bucket_length: float = 1.0,
-    tables: int = 8,
+    tables: int = TABLES,
+    bits: int | None = None,
     exclude_self: bool = False,
 ) -> DataFrame:
-    """Approximate neighbours: exact cosine among rows that share a hash bucket.
+    """Approximate neighbours: exact cosine among rows that share a bucket in some table.
 
-    Unit vectors are hashed by random projections. Buckets are cut into blocks of
-    bounded size, so a bucket that holds much of the corpus is shared out.
+    A bucket holds the vectors on the same side of ``bits`` random hyperplanes; their
+    number follows from the size of the corpus, so a query meets about as many rows per
+    table whatever that size. A pair at angle a shares a bucket of a table with chance
+    (1 - a / pi) ** bits. Buckets are cut into blocks of bounded size, so one that holds
+    much of the corpus is shared out.
     """
-
-    def unit(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        rows = _vectors(df, id_col, vector, name)
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-        return rows.withColumn("_n", norm).where("_n > 0").select(
-            name,
-            "embedding",
-            array_to_vector(F.transform("embedding", lambda x: x / F.col("_n"))).alias("_unit"),
-        )
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=7
-    )
-    rows, asked = unit(corpus, corpus_id, "id"), unit(queries, query_id, "query_id")
-    model = lsh.fit(rows)
-
-    def buckets(df: DataFrame, name: str) -> DataFrame:
-        hashes = F.transform("_hashes", lambda h: F.get(vector_to_array(h), 0))
-        return model.transform(df).select(name, "embedding", F.posexplode(hashes).alias("_table", "_bucket"))
-
+    rows, asked = _vectors(corpus, corpus_id, vector, "id"), _vectors(queries, query_id, vector, "query_id")
+    bits = bits or hash_bits(rows.count())
     hits = blocked_hits(
-        buckets(rows, "id"), buckets(asked, "query_id"), cosine_kernel(exclude_self), k, ["_table", "_bucket"]
+        _buckets(rows, "id", tables, bits),
+        _buckets(asked, "query_id", tables, bits),
+        cosine_kernel(exclude_self),
+        k,
+        ["_dim", "_table", "_bucket"],
     )
     return hits.withColumn("distance", F.round(1 - F.col("score"), 6))
 

@@ -474,7 +474,24 @@ def reference_footer(spark, sf):
     return context.reference_footer(cited(spark, sf))
 
 
-@query()
+@query(
+    f"""
+    WITH {sql.KNN_HITS},
+    bits AS (SELECT greatest(1, ceil(log2(count(*) / {search.BUCKET_ROWS})))::int AS b FROM embeddings),
+    planes AS (
+      SELECT t, j, d, CASE WHEN md5(t || ':' || j || ':' || d) < '8' THEN 1.0::double ELSE -1.0::double END AS sign
+      FROM bits, range({search.TABLES}) AS x(t), unnest(range(b)) AS y(j), range(64) AS z(d)),
+    sides AS (
+      SELECT vec_id, t, j, sum(embedding[d + 1]::double * sign) > 0 AS side FROM embeddings, planes GROUP BY vec_id, t, j),
+    buckets AS (SELECT vec_id, t, sum(CASE WHEN side THEN 1 << j::int ELSE 0 END) AS bucket FROM sides GROUP BY vec_id, t),
+    met AS (
+      SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS id
+      FROM buckets q JOIN buckets c ON q.t = c.t AND q.bucket = c.bucket AND q.vec_id <> c.vec_id),
+    near AS (SELECT * FROM knn_all JOIN met USING (query_id, id)),
+    best AS ({sql.ranked('near')})
+    SELECT query_id, id, score, round(1 - score, 6) AS distance, rank FROM best
+    """
+)
 def knn_lsh(spark, sf):
     rows = load(spark, sf, "embeddings")
     return search.knn_lsh(spread(rows, "vec_id"), rows, corpus_id="vec_id", query_id="vec_id", exclude_self=True)

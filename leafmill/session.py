@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def get_session(cores: int | str = "*", app: str = "leafmill") -> SparkSession:
@@ -68,7 +69,22 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to its scratch paths; how many there were.
+
+    Frames that read them can't be used any more.
+    """
+    paths = list(_SCRATCH)
+    _SCRATCH.clear()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def test_lsh_recall_and_hot_bucket(vectors, monkeypatch):
     monkeypatch.setattr(hits, "BLOCK_ROWS", 50)
     queries = df.where("id < 40 and id <> 5").withColumnRenamed("id", "query_id")
     exact = triples(search.knn(df, queries, 5))
-    near = search.knn_lsh(df, queries, 5, bucket_length=1.0, tables=10)
+    near = search.knn_lsh(df, queries, 5)
     assert len(exact & triples(near)) / len(exact) > 0.8
 
 

@@ -13,6 +13,38 @@ def test_clean_names(spark):
     assert tb.clean_names(df).columns == ["x y", "Column_2", "x y.1", "ok"]
 
 
+def test_clean_names_are_free_in_any_case(spark):
+    def named(*names):
+        return tb.clean_names(spark.createDataFrame([tuple(range(len(names)))], [f"c{i}" for i in range(len(names))]).toDF(*names)).columns
+
+    assert named("a", "a", "a.1") == ["a", "a.2", "a.1"]
+    assert named("ID", "id", "Id") == ["ID", "id.1", "Id.2"]
+    assert named("Column_2", " ") == ["Column_2", "Column_2.1"]
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("1234567890123456789", "12345678901234567890"), ("1234567890123456788", "1")], "a string, b string")
+    got = tb.optimize_types(df)
+    assert dict(got.dtypes) == {"a": "bigint", "b": "string"}
+    assert got.select("a").distinct().count() == 2
+
+
+def test_nan_is_missing_on_every_route(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, nan, nan, None)], "v double")
+    for direct in (0, 10**6):
+        row = tb.describe(df, direct_values=direct).first()
+        assert (row["count"], row["mean"], row.q25, row.q50, row.q75, row["max"]) == (3, 2.0, 1.5, 2.0, 2.5, 3.0)
+        assert sorted(r.v for r in tb.impute_median(df, direct_values=direct).collect()) == [1.0, 2.0, 2.0, 2.0, 2.0, 3.0]
+    assert tb.missing_counts(df).first().missing == 3
+
+
+def test_table_info_shows_first_values(spark):
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(9)], "k int, n string")
+    got = {r.column: r.sample for r in tb.table_info(df, "k").collect()}
+    assert got == {"k": ["0", "1", "2", "3", "4"], "n": ["n0", "n1", "n2", "n3", "n4"]}
+
+
 def test_types_follow_the_values(spark):
     rows = [("1", "1.5", "2024-01-02", "x", None, "7", "1e3"), ("2", None, "2024-01-02 03:04:05", "2", None, None, "-.5")]
     df = spark.createDataFrame(rows, "i string, f string, t string, s string, n string, g string, e string")
@@ -108,6 +140,12 @@ def test_analyze_shapes(spark):
     assert an.analyze(df, lambda d: {"x": 1, "y": 2}).columns == ["index", "值"]
     assert an.analyze(df, lambda d: [1, 2, 3]).count() == 3
     assert an.analyze(df, lambda d: None).first()["结果"] is None
+    assert an.analyze(df, lambda d: []).columns == ["值"] and an.analyze(df, lambda d: {}).columns == ["index", "值"]
+    assert an.analyze(df, lambda d: [("x", 1), ("y", 2)]).columns == ["index", "值"]
+    assert an.analyze(df, lambda d: {"type": "series", "index": "city", "value": {"x": 1}}).columns == ["city", "值"]
+    named = "with t as (select k, v + 1 as w from df), u as (select max(w) as m from t) select m from u"
+    assert an.analyze(df, named).first().m == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("analysis_")]
 
 
 def test_chart_frame(spark):
@@ -115,6 +153,8 @@ def test_chart_frame(spark):
     got = chart_frame(df, "line", {"time": "d", "value": "v"}).collect()
     assert [tuple(r) for r in got] == [("2024-01-02 00:00:00", 3.0), ("2024-01-04 00:00:00", 5.0)]
     assert [r.category for r in chart_frame(df, "pie", {"category": "s", "value": "v"}).collect()] == ["a", "b"]
+    grouped = chart_frame(df, "line", {"time": "d", "value": "v", "group": "s"})
+    assert grouped.columns == ["time", "value", "group"] and [r.group for r in grouped.collect()] == ["a", None]
     assert chart_frame(df, "pie", {"category": "s"}).count() == 0  # a missing column leaves nothing
     for kind, keys in CHART_KEYS.items():
         assert chart_frame(df, kind, {}).columns == list(keys)

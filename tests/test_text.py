@@ -47,6 +47,11 @@ def test_is_markdown(spark, value, expected):
     assert one(spark, value, tx.is_markdown) is expected
 
 
+def test_links_and_entities(spark):
+    page = "<a class='x' href='/u'>a</a> <a href = \"/v\">b</a> &copy; &mdash; &#8217;x&rsquo; &#160;"
+    assert one(spark, page, tx.html_to_markdown) == "[a](/u) [b](/v) © — 'x'"
+
+
 def test_html_to_markdown(spark):
     html = (
         "<html><head><title>t</title></head><body><script>var a='<p>'</script><!-- c --><h2 class='x'>Head</h2>"
