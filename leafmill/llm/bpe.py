@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,29 @@ from leafmill.llm.words import slices
 
 # The split pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 300_000  # strings kept per cache; a full cache starts anew, results don't change
+CACHED = 120_000  # strings kept per cache; a full cache starts anew, results don't change
+
+
+# White space other than a blank and a line break, and line breaks beside blanks.
+_BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", " \n", "\n ")
+_WIDE = regex.compile(r"[^\S\x00-\x7f]").search
+
+
+def _has_wide_blank(text: str) -> bool:
+    return not text.isascii() and _WIDE(text) is not None
+
+
+class Cache(dict):
+    """Results by string; a full cache starts anew."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        made = self[text] = self.make(text)
+        return made
 
 
 def byte_alphabet() -> list[str]:
@@ -69,8 +92,9 @@ class Codec:
         self.shorter = functools.lru_cache(CACHED)(self._shorter)
         self.find = regex.compile(PIECES).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else lambda t: [t]
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces = Cache(self.merged_ids)
+        self.after_space = Cache(lambda w: self.stretch_ids(" " + w))
+        self.sizes = {i: len(s) for i, s in self.raw.items()}
         size = max([*self.raw, *self.added.values()]) + 1
         spans = [b""] * size
         for i, s in self.raw.items():
@@ -117,52 +141,40 @@ class Codec:
         s = self.raw[token]
         return next((self.usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.usable), None)
 
-    def piece(self, text: str) -> bytes:
+    def merged_ids(self, text: str) -> bytes:
         """The ids of one piece as little-endian unsigned 32-bit integers."""
-        known = self.pieces.get(text)
+        s = text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("latin-1")
+        known = self.usable.get(s)
         if known is not None:
-            return known
-        s = text.encode("utf-8", "surrogatepass").decode("latin-1")
+            return known.to_bytes(4, "little")
         n = len(s)
-        if s in self.usable:
-            ids = [self.usable[s]]
-        else:
-            longest = [0] * n
-            for end, (token, size) in self.automaton.iter(s):
-                longest[end - size + 1] = token  # longer tokens end later
-            dead = bytearray(n + 1)
-            ids, at, token = [], 0, longest[0]
-            while True:
-                end = at + len(self.raw[token])
-                if not dead[end] and (not ids or self.compatible(ids[-1], token)):
-                    ids.append(token)
-                    at = end
-                    if at == n:
-                        break
-                    token = longest[at]
-                    continue
-                fewer = self.shorter(token)
-                while fewer is None:
-                    dead[at] = 1
-                    token = ids.pop()
-                    at -= len(self.raw[token])
-                    fewer = self.shorter(token)
-                token = fewer
-        packed = np.array(ids, "<u4").tobytes()
-        if len(self.pieces) >= CACHED:
-            self.pieces.clear()
-        self.pieces[text] = packed
-        return packed
-
-    def chunk(self, text: str) -> bytes:
+        longest = [0] * n
+        for end, (token, size) in self.automaton.iter(s):
+            longest[end - size + 1] = token  # longer tokens end later
+        dead, sizes, compatible, shorter = bytearray(n + 1), self.sizes, self.compatible, self.shorter
+        ids, at, token = [], 0, longest[0]
+        while True:
+            end = at + sizes[token]
+            if not dead[end] and (not ids or compatible(ids[-1], token)):
+                ids.append(token)
+                at = end
+                if at == n:
+                    return struct.pack(f"<{len(ids)}I", *ids)
+                token = longest[at]
+                continue
+            fewer = shorter(token)
+            while fewer is None:
+                dead[at] = 1
+                token = ids.pop()
+                at -= sizes[token]
+                fewer = shorter(token)
+            token = fewer
+
+    def stretch_ids(self, text: str) -> bytes:
         """The ids of a stretch that neither starts nor ends inside a run of white space."""
-        known = self.chunks.get(text)
-        if known is None:
-            known = b"".join(map(self.piece, self.find(text)))
-            if len(self.chunks) >= CACHED:
-                self.chunks.clear()
-            self.chunks[text] = known
-        return known
+        if text.removeprefix(" ").isalpha():  # one piece of letters
+            return self.merged_ids(text)
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers.
@@ -176,14 +188,19 @@ class Codec:
                 out.append(self.added[part].to_bytes(4, "little"))
             elif part:
                 words = part.split(" ")
-                if "" in words or len(words) == 1 or any(w[0].isspace() or w[-1].isspace() for w in words):
+                if "" in words or _has_wide_blank(part) or any(x in part for x in _BLANKS):
                     words = self._rejoined(words)
-                head, chunk = words[0], self.chunk
-                if head:
-                    out.append(chunk(head))
-                out.extend([chunk(" " + w) for w in words[1:]])
+                if words[0]:
+                    out.append(self.stretch_ids(words[0]))
+                out.extend(map(self.after_space.__getitem__, words[1:]))
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empty the caches; workers live on between tasks."""
+        self.pieces.clear()
+        self.after_space.clear()
+        self.compatible.cache_clear()
+
     @staticmethod
     def _rejoined(words: list[str]) -> list[str]:
         """Put back together what was cut inside a run of white space."""
@@ -223,14 +240,17 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for batch in batches:
-            done = 0
-            for part in slices(batch.column(1).to_pylist()):
-                ids = [tool.encode(t) for t in part]
-                names = batch.column(0).slice(done, len(part))
-                done += len(part)
-                texts = [tool.decode(i) for i in ids]
-                yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                done = 0
+                for part in slices(batch.column(1).to_pylist()):
+                    ids = [tool.encode(t) for t in part]
+                    names = batch.column(0).slice(done, len(part))
+                    done += len(part)
+                    texts = [tool.decode(i) for i in ids]
+                    yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            tool.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

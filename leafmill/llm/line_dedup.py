@@ -262,7 +262,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = docs.join(gone, here, "left")
     changed = F.col("g_removed").isNotNull()
-    found = found.withColumn("g_text", rest(F.when(changed, F.col(text_col)), F.col("g_removed")))
+    # computed once, wherever filters and projections move
+    found = found.withColumn("g_text", rest.asNondeterministic()(F.when(changed, F.col(text_col)), F.col("g_removed")))
     breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     own = {
         "lines": F.coalesce(breaks + 1, F.lit(0)).cast("int"),
