@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.session import scratch
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 LEAST_ID = -(1 << 63)
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 5
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
@@ -50,6 +51,7 @@ def slices(texts: Iterable[str | None], limit: int = BATCH_CHARS) -> Iterator[li
             part, size = [], 0
     if part:
         yield part
+    pa.default_memory_pool().release_unused()  # what earlier batches held goes back
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
