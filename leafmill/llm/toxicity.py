@@ -5,12 +5,14 @@ space), and runs of four symbols are counted: in toxic and in ordinary labelled
 and in all texts. The counts of all texts, labelled or not, give one Kneser-Ney model
 with the usual continuation counts below the highest order. Either class discounts its
 own counts and backs off to that shared model, so an expression that is rare in both
-classes gets nearly the same probability from both. The tables have 32^4 cells
-whatever the input, which bounds what travels to the tasks.
+classes gets nearly the same probability from both. This model of spelling has 32^4
+cells whatever the input; words and expressions are not among them.
 
 A text is judged by two length-normalised log-likelihood ratios, that of the whole text
-and that of its most toxic stretch of ``WINDOW`` symbols. A logistic function, fitted on
-labelled texts that the class models have not seen, turns them into a score.
+and that of its most toxic stretch of ``WINDOW`` symbols, and by what its words and pairs of words
+say, on average and at most (``expressions``): those are rows that grow with the corpus
+and know every script. A logistic function, fitted on labelled texts that the class
+models have not seen, turns the four into a score.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.spark import bounded_batches
+from leafmill.llm.expressions import Evidence, gather
+from leafmill.llm.spark import bounded_batches, stored
 from leafmill.llm.words import segments, slices
 from leafmill.operators.frames import broadcast_if_small
 
@@ -40,6 +43,7 @@ TOXIC_WEIGHT = 3.0  # of a toxic text in that fit; they are the fewer
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 4
+FEATURES = ["mean", "peak", "words", "expression"]
 
 
 def _symbol(char: str) -> int:
@@ -195,21 +199,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
 
 @dataclass
 class Model:
-    """The broadcast table of log ratios and the logistic function's three numbers."""
+    """The broadcast table of log ratios, the evidence of expressions and the logistic function's numbers."""
 
     table: Broadcast
-    beta: list[float] | None
-
-    def score(self, text: Column) -> Column:
-        """0 to 1; null and empty texts are scored as texts without any evidence."""
+    evidence: Evidence
+    beta: list[float] | None = None
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """The columns of (text, ...) but the text, with ``FEATURES``; null texts are as empty ones."""
+        own = [c for c in rows.columns if c != "text"]
+        mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+        found = rows.select(*own, mark, ratios(F.col("text"), self.table).alias("r"), self.evidence.lookup(F.col("text")).alias("said"))
+        joined = self.evidence.joined(found.select(*own, "mark", "r.mean", "r.peak", "said"))
+        said = F.sqrt(F.col("total") / F.greatest("n", F.lit(1)))
+        return joined.select(*own, "mark", "mean", "peak", said.alias("words"), F.col("top").alias("expression"))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """The columns of (text, ...) but the text, with mark and score, 0 to 1.
+
+        Null and empty texts are scored as texts without any evidence.
+        """
         if self.beta is None:
-            return F.lit(0.0)
-        found = ratios(text, self.table)
-        return self.of(found["mean"], found["peak"])
-
-    def of(self, mean: Column, peak: Column) -> Column:
-        start, by_mean, by_peak = self.beta
-        return 1 / (1 + F.exp(-(start + by_mean * mean + by_peak * peak)))
+            mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+            return rows.select(*(c for c in rows.columns if c != "text"), mark, F.lit(0.0).alias("score"))
+        start, *slopes = self.beta
+        found = self.features(rows)
+        power = sum((b * F.col(c) for b, c in zip(slopes, FEATURES, strict=True)), F.lit(start))
+        return found.withColumn("score", 1 / (1 + F.exp(-power))).drop(*FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -227,19 +243,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, name in enumerate(("ordinary", "toxic", "every")):
         tables[i, found["cell"].to_numpy()] = found[name].to_numpy()
     table = spark.sparkContext.broadcast(log_ratios(*tables))
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    trained = broadcast_if_small(labels.where(fold(F.col("label_id")) != CALIBRATION))
+    model = Model(table, gather(rows.join(trained, "label_id", "left").select("text", "label")))
     some = broadcast_if_small(
         labels.where(fold(F.col("label_id")) == CALIBRATION)
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(CALIBRATION_ROWS)
     )
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(some, "label_id")
-    seen = texts.select("label", ratios(F.col("text"), table).alias("r")).select("label", "r.mean", "r.peak").toPandas()
+    seen = model.features(rows.join(some, "label_id").select("label", "text")).select("label", *FEATURES).toPandas()
     y = seen["label"].to_numpy(dtype=float)
     if len(set(y)) < 2 or not tables[0].any() or not tables[1].any():
-        return Model(table, None)
-    order = np.lexsort((seen["peak"], seen["mean"], y))
-    x = seen[["mean", "peak"]].to_numpy()[order]
-    return Model(table, _logistic(x, y[order], np.where(y[order] > 0, TOXIC_WEIGHT, 1.0)))
+        return model
+    order = np.lexsort((*(seen[c] for c in reversed(FEATURES)), y))
+    x = seen[FEATURES].to_numpy()[order]
+    model.beta = _logistic(x, y[order], np.where(y[order] > 0, TOXIC_WEIGHT, 1.0))
+    return model
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,14 +267,13 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Repeated rows each give a row, an empty table gives none, other columns are not read.
     """
     model = fit(docs, labels, id_col, text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (fold(F.col(id_col)) == HELD_OUT).alias("held_out"),
-        model.score(F.col(text_col)).alias("score"),
-    )
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col)) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    return model.scored(rows).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return docs.where(fit(docs, labels, id_col, text_col).score(F.col(text_col)) < 0.5)
+    found = fit(docs, labels, id_col, text_col).scored(docs.select(F.col(text_col).alias("text")))
+    marks = stored(found.where("score >= 0.5").select(F.col("mark").alias("t_mark")).distinct(), "toxic-texts")
+    here = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("t_mark")
+    return docs.join(broadcast_if_small(marks), here, "left_anti")

@@ -66,3 +66,55 @@ def test_odd_rows(spark, odd_docs):
     assert tox.without_toxic(frame, labels).columns == frame.columns
     assert tox.scores(frame.limit(0), labels).count() == 0
     assert {r.score for r in tox.scores(frame, labels.limit(0)).collect()} == {0.0}
+
+
+def made_up(spark, bad, good, between=" ", copies=6):
+    """Texts of common words; toxic ones hold a word that differs from an ordinary one in its letters only."""
+    pick = np.random.default_rng(3)
+    rows = []
+    for i in range(50 * copies):
+        toxic = i % 5 == 0
+        words = [good[k] for k in pick.integers(0, len(good), 30)]
+        words[int(pick.integers(1, 29))] = bad[i // 5 % len(bad)] if toxic else good[i % len(good)]
+        rows.append((i, between.join(words), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+
+
+@pytest.mark.parametrize(
+    ("bad", "good", "between"),
+    [
+        (["дурак", "тупой"], ["слово", "книга", "город", "вечер", "поезд"], " "),
+        (["βλάκα", "χαζός"], ["λόγος", "βιβλί", "πόλις", "δρόμο", "ημέρα"], " "),
+        (["蠢货", "白痴"], ["天气", "城市", "书本", "火车", "晚上"], ""),
+    ],
+)
+@pytest.mark.parametrize("held", [1 << 19, 3])
+def test_toxic_words_in_other_scripts(spark, monkeypatch, bad, good, between, held):
+    monkeypatch.setattr("leafmill.llm.expressions.HELD", held)
+    docs, labels = made_up(spark, bad, good, between)
+    found = tox.scores(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held_out = found[found.held_out]
+    assert held_out.toxic.sum() >= 5
+    assert (held_out.predicted == held_out.toxic).mean() > 0.95
+
+
+def test_expressions_grow_with_the_corpus(spark):
+    from leafmill.llm import expressions
+
+    def size(n):
+        rows = [(" ".join(f"{chr(97 + i % 26)}{i}x{j}" for j in range(20)), 1) for i in range(n) for _ in range(9)] + [("other words", 0)] * 9
+        counts = expressions.pair_counts(spark.createDataFrame(rows, "text string, label int"))
+        return counts.count(), expressions.evidence(counts).count()
+
+    small, large = size(10), size(100)
+    assert small[0] == 202 and large[0] == 2002
+    assert large[1] > 9 * small[1] > 0
+
+
+def test_evidence_held_or_joined_is_the_same(spark, monkeypatch):
+    docs, labels = made_up(spark, ["stupid fool", "idiot"], ["word", "book", "town", "road", "fool", "stupid"])
+    docs = docs.union(docs.limit(7))
+    once = sorted((r.doc_id, round(r.score, 6)) for r in tox.scores(docs, labels).collect())
+    monkeypatch.setattr("leafmill.llm.expressions.HELD", 4)
+    assert once == sorted((r.doc_id, round(r.score, 6)) for r in tox.scores(docs, labels).collect())
