@@ -5,7 +5,9 @@ sentence) give way to typed placeholders, the rest is lower-case words. Windows
 ``WINDOW`` template words of all documents join those of all items by hash. Matches of
 one document and item that lie at the same distance make a passage; it counts if it is
 long enough and if what stands in the placeholders is consistent: each value of the item
-stands for one value of the document and the other way round.
+stands for one value of the document and the other way round. Items with too few windows
+of literal words to make a passage must agree in all their template words, and are also
+found as they stand, by one window of all their words.
 
 All of it is DataFrame functions; each document is read by itself, and only windows that
 an item has too reach an exchange.
@@ -37,6 +39,7 @@ UNITS = (
 NUMBERS = r"\d+(?:[.,:/]\d+)*"
 NAMES = r"([\p{Ll},;:] )(\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*)"
 MEASURED = rf"{NUMBER}\s+((?i:{'|'.join(UNITS)}))\b"
+PLAIN = rf"{NUMBERS}|[\p{{L}}\p{{M}}]+"
 BETWEEN = rf"[^\p{{L}}\p{{M}}{NUMBER}-{NAME}]+"
 
 
@@ -52,6 +55,11 @@ def template(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(measured), BETWEEN), "")
 
 
+def plain_words(text: Column) -> Column:
+    """The words and numbers of a text as they stand, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN), F.lit(0))
+
+
 def values(text: Column) -> Column:
     """struct(numbers, units, names): what the placeholders stand for, in order."""
     named = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, f"$1{NAME}")
@@ -76,15 +84,37 @@ def _literal(size: int) -> Column:
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """(i_mark, i_place, window, whole) of items; ``whole`` is how many windows the item has.
+    """(i_mark, i_place, window, whole, usable) of items; ``whole`` is how many windows the item has.
 
     Items of fewer than ``WINDOW`` words are one window of their own length. Windows of
-    placeholders mostly are left out.
+    placeholders mostly are left out; ``whole_items`` has what that would lose.
     """
     fits = F.size("words") >= WINDOW if size == WINDOW else F.size("words") == size
     rows = items.where(fits)
-    found = windows(rows, size, "i_mark", "words").where(_literal(size) >= min(LITERAL, (size + 1) // 2))
-    return found.select("i_mark", F.col("place").alias("i_place"), "window", (F.size("words") - (size - 1)).alias("whole"))
+    found = windows(rows, size, "i_mark", "words", "usable").where(_literal(size) >= min(LITERAL, (size + 1) // 2))
+    return found.select("i_mark", F.col("place").alias("i_place"), "window", (F.size("words") - (size - 1)).alias("whole"), "usable")
+
+
+def usable_windows() -> Column:
+    """How many windows of the column ``words`` are not placeholders mostly."""
+    size = F.least(F.size("words"), F.lit(WINDOW))
+    literal = F.transform("words", lambda w: (~w.isin(NUMBER, UNIT, NAME)).cast("int"))
+
+    def enough(place: Column) -> Column:
+        return F.aggregate(F.slice(literal, place + 1, size), F.lit(0), lambda n, x: n + x) >= F.least(F.lit(LITERAL), F.floor((size + 1) / 2))
+
+    return F.when(F.size("words") > 0, F.size(F.filter(F.sequence(F.lit(0), F.size("words") - size), enough))).otherwise(0)
+
+
+def whole_items(items: DataFrame) -> DataFrame:
+    """(i_mark, whole, size, words) of items with fewer usable windows than a passage has.
+
+    They are also met by all their words as they stand, numbers included.
+    """
+    whole = F.size("words") - F.least(F.size("words"), F.lit(WINDOW)) + 1
+    rows = items.where(F.size("words") > 0).select("i_mark", "usable", whole.alias("whole"), plain_words(F.col("text")).alias("words"))
+    rows = rows.where((F.col("usable") < F.least("whole", F.lit(PASSAGE - WINDOW + 1))) & (F.size("words") > 0))
+    return rows.select("i_mark", "whole", F.size("words").alias("size"), "words")
 
 
 def _slot_pairs() -> Column:
@@ -124,18 +154,32 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         F.col(item_col).alias("item"), F.xxhash64(item_text).alias("i_mark"), F.col(item_text).alias("text")
     )
     known = stored(
-        asked.dropDuplicates(["i_mark"]).select("i_mark", template(F.col("text")).alias("words"), values(F.col("text")).alias("values")), "items"
+        asked.dropDuplicates(["i_mark"]).select("i_mark", "text", template(F.col("text")).alias("words"), values(F.col("text")).alias("values")).withColumn("usable", usable_windows()),
+        "items",
     )
     short = [r["n"] for r in known.select(F.size("words").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]
 
     def met(size: int) -> DataFrame:
         own = broadcast_if_small(stored(item_windows(known, size), "item-windows"), BROADCAST_WINDOWS)
         shift = (F.col("place") - F.col("i_place")).alias("shift")
-        pairs = windows(worded, size, "at", "mark").join(own, "window").select("at", "mark", "i_mark", "whole", shift, "i_place")
-        passages = pairs.groupBy("at", "mark", "i_mark", "whole", "shift").agg(
+        pairs = windows(worded, size, "at", "mark").join(own, "window").select("at", "mark", "i_mark", "whole", "usable", shift, "i_place")
+        found = pairs.groupBy("at", "mark", "i_mark", "whole", "usable", "shift").agg(
             F.count_distinct("i_place").alias("windows"), F.min("i_place").alias("from"), (F.max("i_place") + (size - 1)).alias("to")
         )
-        return passages.where(F.col("windows") >= F.least(F.col("whole"), F.lit(PASSAGE - WINDOW + 1)))
+        asked_for = F.least(F.col("whole"), F.lit(PASSAGE - WINDOW + 1))
+        found = found.where(F.col("windows") >= F.least("usable", asked_for)).withColumn("all", F.col("usable") < asked_for)
+        # of an item with fewer usable windows all template words are compared
+        return found.select(
+            "at",
+            "mark",
+            "i_mark",
+            "whole",
+            "shift",
+            "all",
+            F.when(F.col("all"), F.col("whole").cast("long")).otherwise(F.col("windows")).alias("windows"),
+            F.when(F.col("all"), 0).otherwise(F.col("from")).alias("from"),
+            F.when(F.col("all"), F.col("whole") + (size - 2)).otherwise(F.col("to")).alias("to"),
+        )
 
     passages = stored(reduce(DataFrame.union, [met(size) for size in sorted({WINDOW, *short})]), "passages")
     wanted = passages.select(F.col("at").alias("w_at"), F.col("mark").alias("w_mark")).distinct()
@@ -143,7 +187,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     texts = rows.join(broadcast_if_small(wanted), here).select("at", "mark", "text").dropDuplicates(["at", "mark"])
     texts = texts.select("at", "mark", template(F.col("text")).alias("d_words"), values(F.col("text")).alias("d_values"))
     of_items = known.select("i_mark", F.col("words").alias("i_words"), F.col("values").alias("i_values"))
-    slots = passages.join(texts, ["at", "mark"]).join(of_items, "i_mark")
+    same = F.forall(F.sequence(F.col("from"), F.col("to")), lambda p: F.coalesce(F.get("i_words", p) == F.get("d_words", p + F.col("shift")), F.lit(False)))
+    slots = passages.join(texts, ["at", "mark"]).join(of_items, "i_mark").where(~F.col("all") | same)
     slots = slots.select("at", "mark", "i_mark", "windows", "whole", _slot_pairs().alias("slots"))
 
     def kinds(*fields: str) -> Column:
@@ -151,6 +196,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     consistent = slots.where((kinds("i", "d") == kinds("i")) & (kinds("i", "d") == kinds("d")))
     changed = F.exists("slots", lambda s: s["i"] != s["d"])
+    exact = stored(whole_items(known), "whole-items")
+    sizes = [r["size"] for r in exact.select("size").distinct().collect()]
+    if sizes:
+        plain = rows.select("at", "mark", plain_words(F.col("text")).alias("words"))
+
+        def copied(size: int) -> DataFrame:
+            own = windows(exact.where(F.col("size") == size), size, "i_mark", "whole").drop("place")
+            met = windows(plain, size, "at", "mark").join(broadcast_if_small(stored(own, "whole-windows"), BROADCAST_WINDOWS), "window")
+            return met.select("at", "mark", "i_mark", F.col("whole").cast("long").alias("windows"), "whole", F.lit(False).alias("changed")).distinct()
+
+        consistent = reduce(DataFrame.union, [consistent.select("at", "mark", "i_mark", "windows", "whole", changed.alias("changed")), *map(copied, sizes)])
+        changed = F.col("changed")
     found = consistent.groupBy("at", "mark", "i_mark").agg(
         F.max("windows").alias("windows"), F.max("whole").alias("whole"), F.min(changed).alias("changed")
     )

@@ -91,3 +91,22 @@ def test_test_tables_as_by_brute_force(spark, sf):
     want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if brute.holds(d["text"], i["text"])}
     got = dec.found_items(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
     assert want and want == {(r.doc_id, r.item_id) for r in got}
+
+
+def test_items_of_few_literal_words_are_found(spark):
+    items = [(1, "Add 12, 15, 18, 21 and 24 to get the total sum"), (2, "Compute 3 5 7"), (3, "1 2 3 4 5 6 7 8 9 10 and so on")]
+    docs = [
+        (1, "Then: " + items[0][1] + ". Next"),
+        (2, "compute 3, 5, 7 now"),
+        (3, "compute 3 5 8 now"),
+        (4, "see 1 2 3 4 5 6 7 8 9 10 and so on, then"),
+        (5, "add 12 15 18 21 and 24 to get a total sum"),
+        (6, "nothing at all"),
+        (7, "add 3, 4, 5, 6 and 9 to get the total sum"),
+        (8, "then 4, 5, 6 and 9 to get the total sum"),
+    ]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = dec.found_items(*frames).collect()
+    assert {(r.doc_id, r.item_id, r.share, r.changed) for r in rows} == {(1, 1, 1.0, False), (2, 2, 1.0, False), (4, 3, 1.0, False), (7, 1, 1.0, True)}
+    assert len(rows) == 4
+    assert sorted(r.doc_id for r in dec.without_items(*frames).collect()) == [3, 5, 6, 8]
