@@ -37,7 +37,7 @@ HELD = 1 << 19  # rows of evidence that travel to all tasks, 24 bytes each
 FILTER_WORDS = 1 << 20  # of 64 bits: a filter that spares the join keys it can't know
 # Scripts without blanks between words.
 UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
-WORD = rf"[{UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]+"
+WORD = rf"[a-z0-9ß-öø-ɏ[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]]+|[\p{{L}}\p{{N}}&&[{UNSPACED}]]\p{{M}}*"
 
 
 def words(text: Column) -> Column:
