@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontamination, fingerprints, html_crf, line_dedup, ngram_join, quotations, sharding, toxicity, warc
+from leafmill.llm import (
+    bpe,
+    decontamination,
+    fingerprints,
+    hard_negatives,
+    html_crf,
+    line_dedup,
+    ngram_join,
+    periodic_runs,
+    quality,
+    quotations,
+    sharding,
+    toxicity,
+    warc,
+)
 from leafmill.plans.registry import query
 from leafmill.session import load
 
@@ -214,3 +228,74 @@ REPLIES = r"""
 def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages in reply order, without their quotes."""
     return quotations.conversations(load(spark, sf_dir, "conversations"))
+
+
+def repeated_tail(doc_id: Column, text: Column) -> Column:
+    """The text, of every tenth document by crc32 of its id with words that repeat from some place on."""
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), _tail_repeated(words, g)).otherwise(text)
+
+
+def _tail_repeated(words: Column, g: Column) -> Column:
+    n = F.size(words).cast("long")
+    first = g % n
+    period = 1 + F.floor((n - first) / (3 + g % 8))
+    rest = F.transform(F.sequence(first, n - 1), lambda i: F.get(words, (first + (i - first) % period).cast("int")))
+    return F.array_join(F.concat(F.slice(words, F.lit(1), first.cast("int")), rest), " ")
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, the longest one and the text without repeats."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    rows = periodic_runs.with_runs(docs).select("doc_id", "periodic.runs", "periodic.collapsed")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    written = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), written.alias("written"), "collapsed")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("m.before")).alias("start"),
+        F.col("m.length").alias("length"),
+        (-F.col("m.shorter")).alias("period"),
+        F.expr("1000 * m.length div -m.shorter").alias("exponent_milli"),
+        F.sha2("written", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+NEGATIVES = """
+    with v as (
+      select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as e
+      from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as (
+      select a.id as anchor_id, r.id, a.label = r.label as own, list_inner_product(a.e, r.e)::bigint as score
+      from v a, v r where a.id % 50 = 0 and a.id <> r.id),
+    positives as (
+      select anchor_id, id as positive_id, score as positive_score from pairs where own
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+    select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.id)::int as rank,
+      n.id as negative_id, p.positive_score, n.score as negative_score
+    from positives p join pairs n on n.anchor_id = p.anchor_id and not n.own
+      and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+    qualify rank <= 3
+"""
+
+
+@query(NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on by one."""
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(load(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query()
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
