@@ -19,11 +19,14 @@ Texts are read whole, each by itself; there is no exchange.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.spark import bounded_batches
 from leafmill.llm.words import BATCH_CHARS
@@ -226,35 +229,35 @@ def _found(texts: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans), collapsed], ["n_words", "runs", "collapsed"])
 
 
-def found(text: Column) -> Column:
-    """struct(n_words, runs, collapsed) of a text; null counts as empty.
+def found(texts: pa.Array) -> pa.StructArray:
+    """(n_words, runs, collapsed) of each text; null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    parts, at = [], 0
+    while at < len(texts):  # texts of about BATCH_CHARS bytes together, or one longer text
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right")))
+        parts.append(_found(pa.concat_arrays([texts.slice(at, end - at)])))
+        at = end
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts) if parts else _found(texts)
+
+
+def with_runs(docs: DataFrame, text_col: str = "text", into: str = "periodic", keep: Sequence[str] | None = None) -> DataFrame:
+    """The rows with their columns, or those to ``keep``, and a struct(n_words, runs, collapsed).
 
     Words are what stands between blanks and the control characters 9 to 13, as they are
     written. ``collapsed`` has the words, one blank between each two, without those that a
-    run holds after its first period. A text without words has no runs and is collapsed to
-    an empty one.
+    run holds after its first period. A text without words, or null, has no runs and is
+    collapsed to an empty one. Repeated rows are read like any other, an empty table gives
+    none; a column that is called ``into`` already is replaced.
     """
+    bounded_batches(docs.sparkSession)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != into]
+    rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([rows.schema[c] for c in kept]).add(into, T.DataType.fromDDL(FOUND))
 
-    @F.arrow_udf(FOUND)
-    def of_batch(texts: pa.Array) -> pa.Array:
-        texts = pc.fill_null(texts, "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        parts, at = [], 0
-        while at < len(texts):  # texts of about BATCH_CHARS bytes together, or one longer text
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right")))
-            parts.append(_found(pa.concat_arrays([texts.slice(at, end - at)])))
-            at = end
-        pa.default_memory_pool().release_unused()
-        return pa.concat_arrays(parts) if parts else _found(texts)
-
-    return of_batch(text)
-
-
-def with_runs(docs: DataFrame, text_col: str = "text", into: str = "periodic") -> DataFrame:
-    """The rows with all their columns and what ``found`` gives for the text.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found(batch.columns[-1])], schema.names)
 
-    Repeated rows are read like any other, an empty table gives none; a column that is
-    called ``into`` already is replaced.
-    """
-    bounded_batches(docs.sparkSession)
-    return docs.withColumn(into, found(F.col(text_col)))
+    return rows.mapInArrow(add, schema)

@@ -233,28 +233,33 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_tail(doc_id: Column, text: Column) -> Column:
     """The text, of every tenth document by crc32 of its id with words that repeat from some place on."""
     h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
-    g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), _tail_repeated(words, g)).otherwise(text)
+    # bound as elements of arrays, which are computed once for all that refer to them
+    bound = F.transform(F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g"))), lambda x: _tail_repeated(x["w"], x["g"]))
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.get(bound, F.lit(0))).otherwise(text)
 
 
 def _tail_repeated(words: Column, g: Column) -> Column:
     n = F.size(words).cast("long")
     first = g % n
-    period = 1 + F.floor((n - first) / (3 + g % 8))
-    rest = F.transform(F.sequence(first, n - 1), lambda i: F.get(words, (first + (i - first) % period).cast("int")))
-    return F.array_join(F.concat(F.slice(words, F.lit(1), first.cast("int")), rest), " ")
+    bound = F.array(F.struct(first.alias("first"), (1 + F.floor((n - first) / (3 + g % 8))).alias("period")))
+    rest = F.transform(bound, lambda x: _repeated(words, x["first"], x["period"]))
+    return F.array_join(F.concat(F.slice(words, F.lit(1), first.cast("int")), F.get(rest, F.lit(0))), " ")
+
+
+def _repeated(words: Column, first: Column, period: Column) -> Column:
+    places = F.sequence(first, F.size(words).cast("long") - 1)
+    return F.transform(places, lambda i: F.get(words, (first + (i - first) % period).cast("int")))
 
 
 @query()
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, the longest one and the text without repeats."""
     docs = load(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
-    rows = periodic_runs.with_runs(docs).select("doc_id", "periodic.runs", "periodic.collapsed")
+    rows = periodic_runs.with_runs(docs, keep=["doc_id"]).select("doc_id", "periodic.runs", "periodic.collapsed")
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
-    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
-    written = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
-    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), written.alias("written"), "collapsed")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.array_join(lines, "").alias("written"), "collapsed")
     return rows.select(
         "doc_id",
         "n_runs",
