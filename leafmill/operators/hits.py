@@ -181,4 +181,5 @@ def sparse_product(
     times = hi - lo
     at = np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
     cell = q_row[at] * shape[1] + np.repeat(d_row, times)
-    return np.bincount(cell, np.repeat(d_weight, times) * q_weight[at], shape[0] * shape[1]).reshape(shape)
+    sums = np.bincount(cell, np.repeat(d_weight, times) * q_weight[at], shape[0] * shape[1])
+    return sums.astype(np.float64).reshape(shape)  # of no products at all the sums are integers

@@ -78,9 +78,8 @@ def bm25(
     if small:
         vocabulary = [r["term"] for r in words.collect()]  # at most TERM_LIMIT
 
-    docs = documents.select(F.col(doc_id).alias("id"), tokens(F.col(text)).alias("terms")).select(
-        "id", F.size("terms").alias("length"), "terms"
-    )
+    terms = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))  # a null text has none
+    docs = documents.select(F.col(doc_id).alias("id"), terms.alias("terms")).select("id", F.size("terms").alias("length"), "terms")
     if small:
         listed = ", ".join(f"'{w}'" for w in vocabulary) or "null"  # tokens hold no quotes
         docs = docs.withColumn("terms", F.expr(f"filter(terms, t -> t in ({listed}))"))

@@ -1,15 +1,18 @@
 """The chunk table: a folder of numbered Parquet snapshots.
 
-A snapshot is a file with its schema and one folder per batch. Adding writes a new
-batch folder in the newest snapshot, which readers see when it is finished; every other
-change writes the next snapshot, so a job never overwrites what it reads and a failed
-job leaves the last finished state in place. Many small batches are merged by writing
-the next snapshot from what is read.
+A snapshot is a file with its schema and numbered folders: batches of rows, deleted ids
+and patches. Each change writes a folder of its own in proportion to what it changes,
+numbered after all before it, and readers see it when it is finished. Reading merges: a
+row goes if its id was deleted after the row came, and takes the fields patched after it
+came, the last one of each field. ``store_changes`` has the changes and the compaction that
+writes what is read as the next snapshot. A job never overwrites what it reads and a
+failed job leaves the last finished state in place.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ METRIC = "cosine"
 
 SCHEMA = "schema.json"
 DIMENSION = "dimension-"
+BATCH, DELETED, PATCH = "batch", "deleted", "patch"  # kinds of changes, as folders are called
+CHANGE = "_change"  # column with the number of a row's batch
 MEGABYTE = 1024 * 1024
 
 
@@ -33,42 +38,61 @@ def _folder(spark: SparkSession, root: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _names(spark: SparkSession, root: str) -> list[str]:
+def folder_names(spark: SparkSession, root: str) -> list[str]:
     fs, path = _folder(spark, root)
     return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all."""
     fs, target = _folder(spark, path)
-    out = fs.create(target, True)
+    _, beside = _folder(spark, f"{target.getParent()}/_{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
+    fs.delete(target, False)
+    fs.rename(beside, target)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _folder(spark, path)
     return fs.exists(target)
 
 
 def snapshots(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the finished snapshots, oldest first."""
-    found = [n for n in _names(spark, root) if n.startswith("snapshot-")]  # one entry per snapshot
-    return sorted(int(n.split("-")[1]) for n in found if _exists(spark, f"{root}/{n}/{SCHEMA}"))
+    found = [n for n in folder_names(spark, root) if n.startswith("snapshot-")]  # one entry per snapshot
+    return sorted(int(n.split("-")[1]) for n in found if exists(spark, f"{root}/{n}/{SCHEMA}"))
 
 
-def _at(root: str, number: int) -> str:
+def snapshot_path(root: str, number: int) -> str:
     return f"{root}/snapshot-{number:08d}"
 
 
+def changes(spark: SparkSession, root: str, number: int, kind: str = BATCH) -> list[int]:
+    """Numbers of a snapshot's finished folders of a kind, oldest first."""
+    at = snapshot_path(root, number)
+    found = [n for n in folder_names(spark, at) if n.startswith(f"{kind}-")]  # one entry per change
+    return sorted(int(n.split("-")[1]) for n in found if exists(spark, f"{at}/{n}/_SUCCESS"))
+
+
 def batches(spark: SparkSession, root: str, number: int) -> list[int]:
     """Numbers of the finished batches of a snapshot, oldest first."""
-    at = _at(root, number)
-    found = [n for n in _names(spark, at) if n.startswith("batch-")]  # one entry per batch
-    return sorted(int(n.split("-")[1]) for n in found if _exists(spark, f"{at}/{n}/_SUCCESS"))
+    return changes(spark, root, number, BATCH)
+
+
+def next_change(spark: SparkSession, root: str, number: int) -> int:
+    """The number after those of all changes, finished or not."""
+    kinds = tuple(f"{kind}-" for kind in (BATCH, DELETED, PATCH))
+    return max((int(n.split("-")[1]) for n in folder_names(spark, snapshot_path(root, number)) if n.startswith(kinds)), default=0) + 1
+
+
+def change_path(root: str, number: int, kind: str, change: int) -> str:
+    return f"{snapshot_path(root, number)}/{kind}-{change:08d}"
 
 
 def _batch(root: str, number: int, batch: int) -> str:
-    return f"{_at(root, number)}/batch-{batch:08d}"
+    return change_path(root, number, BATCH, batch)
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
@@ -76,30 +100,66 @@ def write_snapshot(df: DataFrame, root: str) -> int:
     spark = df.sparkSession
     number = max(snapshots(spark, root), default=0) + 1
     df.write.mode("overwrite").parquet(_batch(root, number, 1))
-    _write_text(spark, f"{_at(root, number)}/{SCHEMA}", df.schema.json())
+    _write_text(spark, f"{snapshot_path(root, number)}/{SCHEMA}", df.schema.json())
     return number
 
 
 def store_schema(spark: SparkSession, root: str, number: int) -> T.StructType:
-    fs, path = _folder(spark, f"{_at(root, number)}/{SCHEMA}")
+    fs, path = _folder(spark, f"{snapshot_path(root, number)}/{SCHEMA}")
     stream = fs.open(path)
     text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     stream.close()
     return T.StructType.fromJson(json.loads(text))
 
 
-def read_store(spark: SparkSession, root: str, number: int | None = None, batch: int | None = None) -> DataFrame:
-    """The newest snapshot, or the one asked for; optionally one batch of it.
+def read_store(spark: SparkSession, root: str, number: int | None = None, batch: int | list[int] | None = None, key: str = "id") -> DataFrame:
+    """The newest snapshot, or the one asked for; optionally only some of its batches.
 
     The schema lies with the snapshot, so one without rows is read like any other.
+    Deleted rows are left out and patches are merged in.
     """
+    return read_numbered(spark, root, number, batch, key).drop(CHANGE)
+
+
+def read_numbered(spark: SparkSession, root: str, number: int | None = None, batch: int | list[int] | None = None, key: str = "id") -> DataFrame:
+    """The rows of ``read_store`` with the number of the batch that brought them, where there is more than that."""
     if number is None:
         number = max(snapshots(spark, root))
     schema = store_schema(spark, root, number)
-    found = [batch] if batch else batches(spark, root, number)
+    found = batches(spark, root, number) if batch is None else [batch] if isinstance(batch, int) else batch
     if not found:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*(_batch(root, number, b) for b in found))
+    rows = spark.read.schema(schema).parquet(*(_batch(root, number, b) for b in found))
+    gone, patched = (changes(spark, root, number, kind) for kind in (DELETED, PATCH))
+    if not (gone or patched):
+        return rows
+    rows = rows.withColumn(CHANGE, change_number(BATCH))
+    if gone:
+        ids = spark.read.schema(T.StructType([schema[key]])).parquet(*(change_path(root, number, DELETED, c) for c in gone))
+        last = ids.select(F.col(key).alias("_gone"), change_number(DELETED).alias("_when")).groupBy("_gone").agg(F.max("_when").alias("_when"))
+        rows = rows.join(last, (F.col(key) == F.col("_gone")) & (F.col(CHANGE) < F.col("_when")), "left_anti")
+    if patched:
+        patches = spark.read.schema(schema).parquet(*(change_path(root, number, PATCH, c) for c in patched))
+        rows = _patched(rows, patches.withColumn("_when", change_number(PATCH)), key)
+    return rows
+
+
+def change_number(kind: str) -> Column:
+    """The number of the folder that a row of a change is read from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"/{kind}-(\d+)/[^/]*$", 1).cast("long")
+
+
+def _patched(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """Each field from the last patch of it that came after the row."""
+    fields = [c for c in patches.columns if c not in (key, "_when")]
+    last = {c: F.max_by(F.struct(F.col("_when").alias("w"), F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.col("_when"))) for c in fields}
+    merged = patches.groupBy(F.col(key).alias("_patched")).agg(*(v.alias(f"_new_{c}") for c, v in last.items()))
+
+    def now(c: str) -> Column:
+        return F.when(F.col(f"_new_{c}.w") > F.col(CHANGE), F.col(f"_new_{c}.v")).otherwise(F.col(c)).alias(c)
+
+    joined = rows.join(merged, F.col(key) == F.col("_patched"), "left")
+    return joined.select(*(now(c) if c in fields else F.col(c) for c in rows.columns))
 
 
 def append_rows(df: DataFrame, root: str) -> tuple[int, int]:
@@ -114,7 +174,7 @@ def append_rows(df: DataFrame, root: str) -> tuple[int, int]:
         return write_snapshot(df, root), 1
     schema = store_schema(spark, root, known[-1])
     rows = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
-    batch = max(batches(spark, root, known[-1]), default=0) + 1
+    batch = next_change(spark, root, known[-1])
     rows.write.mode("overwrite").parquet(_batch(root, known[-1], batch))
     return known[-1], batch
 
@@ -128,8 +188,8 @@ def stored_dimension(spark: SparkSession, root: str, vector: str = "embedding")
     known = snapshots(spark, root)
     if not known:
         return None
-    at = _at(root, known[-1])
-    kept = [n for n in _names(spark, at) if n.startswith(DIMENSION)]
+    at = snapshot_path(root, known[-1])
+    kept = [n for n in folder_names(spark, at) if n.startswith(DIMENSION)]
     if kept:
         return int(kept[0].removeprefix(DIMENSION))
     rows = read_store(spark, root)
@@ -223,13 +283,6 @@ def append_batch(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
     return read_store(spark, root, number, batch).select("id")
 
 
-def add_documents(spark: SparkSession, rows: DataFrame, root: str, metadata: list[str]) -> DataFrame:
-    """Add valid, new rows that bring their embedding; returns the ids added."""
-    store = known_store(spark, root)
-    fitting = valid_documents(rows, None, stored_dimension(spark, root))
-    return append_batch(spark, new_rows(with_chunk_id(fitting, metadata), store), root)
-
-
 def get_by_ids(store: DataFrame, ids: DataFrame | list, key: str = "id") -> DataFrame:
     """Rows of the given ids; a list becomes a pushed-down filter, a frame a semi join."""
     if isinstance(ids, DataFrame):
@@ -247,13 +300,8 @@ def partial_update(
     the old one's dimension, otherwise the old one stays.
     """
     fields = [c for c in patch.columns if c not in (key, order)]
-    merged = patch.groupBy(F.col(key)).agg(
-        F.lit(True).alias("_hit"),
-        *(
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order) if order else F.xxhash64(F.col(c)))).alias(f"_new_{c}")
-            for c in fields
-        ),
-    )
+    merged = merged_patch(patch, key, fields, order)
+    merged = merged.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in fields))
     joined = store.join(merged, key, "left")
 
     def new(c: str) -> Column:
@@ -267,6 +315,13 @@ def partial_update(
     return joined.select(*out, F.coalesce("_hit", F.lit(False)).alias("updated"))
 
 
+def merged_patch(patch: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """One row per id, field by field the value with the greatest ``order``, or hash."""
+    by = F.col(order) if order else None
+    merged = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.xxhash64(c) if by is None else by)) for c in fields}
+    return patch.groupBy(F.col(key)).agg(F.lit(True).alias("_given"), *(v.alias(c) for c, v in merged.items())).select(key, *fields)
+
+
 def unknown_ids(store: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
     """Patch keys the store does not hold."""
     return patch.select(key).join(store.select(key), key, "left_anti")
@@ -276,19 +331,20 @@ def delete_ids(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return store.join(ids.select(key), key, "left_anti")
 
 
-def _matches(condition: dict | Column) -> Column:
+def matches(condition: dict | Column) -> Column:
+    """Whether a row matches; one that the filter can't decide does not."""
     predicate = where(condition) if isinstance(condition, dict) else condition
     return F.coalesce(predicate, F.lit(False))
 
 
 def delete_where(store: DataFrame, condition: dict | Column) -> DataFrame:
     """Rows that do not match; a row the filter cannot decide is kept."""
-    return store.where(~_matches(condition))
+    return store.where(~matches(condition))
 
 
 def count_where(store: DataFrame, condition: dict | Column) -> int:
     """How many rows ``delete_where`` removes."""
-    return store.where(_matches(condition)).count()
+    return store.where(matches(condition)).count()
 
 
 def store_stats(store: DataFrame, name: str = COLLECTION, metric: str = METRIC) -> DataFrame:
@@ -305,7 +361,7 @@ def store_stats(store: DataFrame, name: str = COLLECTION, metric: str = METRIC)
 def storage_stats(spark: SparkSession, root: str, name: str = COLLECTION, metric: str = METRIC) -> DataFrame:
     """``store_stats`` of the newest snapshot, and its size in bytes and megabytes on disk."""
     number = max(snapshots(spark, root))
-    fs, path = _folder(spark, _at(root, number))
+    fs, path = _folder(spark, snapshot_path(root, number))
     size = fs.getContentSummary(path).getLength()
     return store_stats(read_store(spark, root, number), name, metric).withColumns(
         {"storage_bytes": F.lit(size).cast("long"), "storage_mb": F.round(F.lit(size / MEGABYTE), 2)}

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from leafmill.functions.vectors import hash_embedding, truncate_to_budget
 from leafmill.operators.chunking import chunk_table, enrich_chunks
 from leafmill.operators.embedding import embed_rows
-from leafmill.operators.store import append_batch, known_store, new_rows, stored_dimension, valid_documents, with_chunk_id
+from leafmill.operators.id_filters import unstored
+from leafmill.operators.store import append_batch, stored_dimension, valid_documents, with_chunk_id
 from leafmill.session import checkpointed, spread
 
 STAGE = "text_to_chunks"
@@ -55,8 +56,7 @@ def ingest_chunks(
     embedder with a token limit gets it as ``budget``, and longer texts are cut for it;
     the default one has no limit and reads whole texts.
     """
-    store = known_store(spark, root)
-    fresh = new_rows(chunks, store)
+    fresh = unstored(spark, chunks, root)
 
     def embed(text: Column) -> Column:
         return embedder(text if budget is None else truncate_to_budget(text, budget))

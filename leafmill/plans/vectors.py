@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import vectors as vx
-from leafmill.operators import context, embedding, lexical, search, store
+from leafmill.operators import context, embedding, lexical, search, store, store_changes
 from leafmill.operators.frames import unnest
 from leafmill.plans import sql
 from leafmill.plans.ingest import ingest, prepare_chunks
@@ -192,8 +192,8 @@ def add_documents(spark, sf):
         F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("text"), "lang", "source", "embedding"
     )
     root = scratch(spark, "store")
-    store.add_documents(spark, rows.where("lang = 'en'"), root, ["lang", "source"])
-    store.add_documents(spark, rows, root, ["lang", "source"])
+    store_changes.add_documents(spark, rows.where("lang = 'en'"), root, ["lang", "source"])
+    store_changes.add_documents(spark, rows, root, ["lang", "source"])
     return store.read_store(spark, root).select("id")
 
 
@@ -212,16 +212,16 @@ def add_to_snapshot(spark, sf):
     root, rows = scratch(spark, "store"), with_vectors(spark, sf)
     first = store.with_chunk_id(rows.where("doc_id % 2 = 0"), ["lang", "source"])
     store.write_snapshot(store.new_rows(first, None), root)
-    store.add_documents(spark, rows, root, ["lang", "source"])
+    store_changes.add_documents(spark, rows, root, ["lang", "source"])
     return store.read_store(spark, root).select("id")
 
 
 @query(ADDED.format("lang = 'en'"))
 def add_after_reset(spark, sf):
     root, rows = scratch(spark, "store"), with_vectors(spark, sf)
-    store.add_documents(spark, rows, root, ["lang", "source"])
+    store_changes.add_documents(spark, rows, root, ["lang", "source"])
     store.reset_store(spark, root)
-    store.add_documents(spark, rows.where("lang = 'en'"), root, ["lang", "source"])
+    store_changes.add_documents(spark, rows.where("lang = 'en'"), root, ["lang", "source"])
     return store.read_store(spark, root).select("id")
 
 
@@ -230,7 +230,7 @@ def add_mixed_dimensions(spark, sf):
     """Every fifth vector of the first batch is cut short."""
     root, rows = scratch(spark, "store"), with_vectors(spark, sf)
     short = F.when(F.col("doc_id") % 5 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
-    store.add_documents(spark, rows.withColumn("embedding", short), root, ["lang", "source"])
+    store_changes.add_documents(spark, rows.withColumn("embedding", short), root, ["lang", "source"])
     return store.read_store(spark, root).select("id")
 
 

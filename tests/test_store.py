@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmill.operators import embedding as em
-from leafmill.operators import store
+from leafmill.operators import store, store_changes
 from leafmill.plans.directory import ingest_directory
 from leafmill.plans.ingest import ingest, prepare_chunks
 from leafmill.session import load, scratch
@@ -29,9 +29,9 @@ def test_ids_match_json_and_md5(spark):
 
 def test_add_validates_and_dedups(spark):
     root = scratch(spark, "t-store")
-    first = store.add_documents(spark, rows(spark, [("a", [1.0, 2.0], "s"), ("a", [1.0, 2.0], "s"), (None, [1.0, 1.0], "s"), ("b", [], "s")]), root, ["source"])
+    first = store_changes.add_documents(spark, rows(spark, [("a", [1.0, 2.0], "s"), ("a", [1.0, 2.0], "s"), (None, [1.0, 1.0], "s"), ("b", [], "s")]), root, ["source"])
     assert first.count() == 1
-    again = store.add_documents(spark, rows(spark, [("a", [1.0, 2.0], "s"), ("c", [1.0, 2.0, 3.0], "s"), ("d", [3.0, 4.0], "s"), ("e", [float("nan"), 1.0], "s")]), root, ["source"])
+    again = store_changes.add_documents(spark, rows(spark, [("a", [1.0, 2.0], "s"), ("c", [1.0, 2.0, 3.0], "s"), ("d", [3.0, 4.0], "s"), ("e", [float("nan"), 1.0], "s")]), root, ["source"])
     assert again.count() == 1
     table = store.read_store(spark, root)
     assert sorted(r.text for r in table.collect()) == ["a", "d"]
@@ -158,7 +158,7 @@ def test_snapshots_and_batches_read_as_one(spark):
     root = scratch(spark, "t-store")
     base = store.with_chunk_id(rows(spark, [("a", [1.0, 2.0], "s"), ("b", [1.0, 2.0], "s")]), ["source"])
     store.write_snapshot(base, root)
-    assert store.add_documents(spark, rows(spark, [("c", [1.0, 2.0], "s"), ("a", [1.0, 2.0], "s")]), root, ["source"]).count() == 1
+    assert store_changes.add_documents(spark, rows(spark, [("c", [1.0, 2.0], "s"), ("a", [1.0, 2.0], "s")]), root, ["source"]).count() == 1
     assert {r.text for r in store.read_store(spark, root).collect()} == {"a", "b", "c"}
     unfinished = f"{root}/snapshot-00000001/batch-00000003"
     base.write.parquet(unfinished)
@@ -167,14 +167,14 @@ def test_snapshots_and_batches_read_as_one(spark):
     assert store.read_store(spark, root).count() == 3
     store.reset_store(spark, root)
     assert store.read_store(spark, root).count() == 0
-    assert store.add_documents(spark, rows(spark, [("z", [1.0], "s")]), root, ["source"]).count() == 1
+    assert store_changes.add_documents(spark, rows(spark, [("z", [1.0], "s")]), root, ["source"]).count() == 1
     assert store.storage_stats(spark, root).first().storage_bytes > 0
 
 
 def test_first_batch_of_mixed_dimensions(spark):
     root = scratch(spark, "t-store")
     mixed = rows(spark, [("a", [1.0, 2.0], "s"), ("b", [1.0], "s"), ("c", [3.0, 4.0], "s"), ("d", [1.0, 2.0, 3.0], "s")])
-    store.add_documents(spark, mixed, root, ["source"])
+    store_changes.add_documents(spark, mixed, root, ["source"])
     assert {r.text for r in store.read_store(spark, root).collect()} == {"a", "c"}
 
 
