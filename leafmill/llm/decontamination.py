@@ -71,11 +71,15 @@ def values(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """(keep..., place, window): hashes of all runs of ``size`` words of the column ``words``."""
-    hashed = rows.where(F.size("words") >= size).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    starts = F.slice("h", 1, F.size("h") - (size - 1))
+    """(keep..., place, window): hashes of all runs of ``size`` words of the column ``words``.
+
+    The outer form of the explosion and no filter before it: either would have the words
+    made a second time, for a filter by their number.
+    """
+    hashed = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    starts = F.when(F.size("h") >= size, F.slice("h", 1, F.size("h") - (size - 1)))
     runs = F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, size))))
-    return hashed.select(*keep, F.posexplode(runs).alias("place", "window"))
+    return hashed.select(*keep, F.posexplode_outer(runs).alias("place", "window")).where(F.col("window").isNotNull())
 
 
 def _literal(size: int) -> Column:
