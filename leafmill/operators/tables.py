@@ -95,12 +95,14 @@ def inferred_types(df: DataFrame) -> DataFrame:
     stats = []
     for i, name in enumerate(names):
         c = F.col(_q(name))
+        # only what looks whole is cast: each text that is no number would cost an exception
+        whole = F.when(c.rlike(INTEGER), F.trim(c)).try_cast("bigint")
         stats += [
             F.count(F.lit(1)).alias(f"rows_{i}"),
             F.count(c).alias(f"present_{i}"),
             F.count_if(c.rlike(NUMBER)).alias(f"numbers_{i}"),
-            F.count_if(c.rlike(INTEGER) & F.trim(c).try_cast("bigint").isNotNull()).alias(f"integers_{i}"),
-            F.count_if(c.rlike(INTEGER) & F.trim(c).try_cast("bigint").isNull()).alias(f"beyond_{i}"),
+            F.count(whole).alias(f"integers_{i}"),
+            F.count_if(c.rlike(INTEGER) & whole.isNull()).alias(f"beyond_{i}"),
             F.count(F.try_to_timestamp(c)).alias(f"times_{i}"),
         ]
     row = df.agg(*stats)
@@ -137,7 +139,7 @@ def optimize_types(df: DataFrame) -> DataFrame:
         if kind == "timestamp":
             casts[name] = F.try_to_timestamp(c)
         elif kind != "string":
-            casts[name] = F.trim(c).try_cast(kind)
+            casts[name] = F.when(c.rlike(NUMBER), F.trim(c)).try_cast(kind)
     return df.withColumns(casts) if casts else df
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import tokens
 from leafmill.operators import analysis as an
+from leafmill.operators import user_functions
 from leafmill.operators.charts import CHART_KEYS, chart_frame, repair_mapping
 from leafmill.operators.frames import unnest
 from leafmill.plans import sql
@@ -328,3 +330,85 @@ def chart_keys(spark, sf):
     )
     fixed = repair_mapping(proposals)
     return fixed.select("id", "kind", F.to_json("mapping").alias("mapping"))
+
+
+# ---- functions of the user's own -------------------------------------------------
+
+
+class Sessions:
+    """Events of one user in order of time; a session ends where half an hour passes without one."""
+
+    def __init__(self):
+        self.first = self.last = None
+        self.events = 0
+
+    def eval(self, row):
+        if self.last is not None and (row["ts"] - self.last).total_seconds() > 1800:
+            yield row["user_id"], self.first, self.events
+            self.first, self.events = None, 0
+        self.user, self.last, self.events = row["user_id"], row["ts"], self.events + 1
+        self.first = self.first or row["ts"]
+
+    def terminate(self):
+        if self.events:
+            yield self.user, self.first, self.events
+
+
+@query(
+    """
+    WITH gaps AS (SELECT user_id, ts, event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000, true) AS opens
+                  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(opens::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM gaps)
+    SELECT user_id, min(ts) AS started, count(*) AS events FROM numbered GROUP BY user_id, n
+    """
+)
+def user_sessions(spark, sf):
+    """A table function over the rows of each user in order."""
+    rows = load(spark, sf, "events").select("user_id", "ts", "event_id")
+    return user_functions.ordered(rows, Sessions, "user_id long, started timestamp_ntz, events long", ["user_id"], ["ts", "event_id"])
+
+
+def largest_events(key, frames):
+    """The three events of a user with the largest values, from frames that need not fit together."""
+    best = None
+    for frame in frames:
+        both = frame if best is None else pd.concat([best, frame])
+        best = both.sort_values(["value", "event_id"], ascending=[False, True]).head(3)
+    if best is not None:
+        yield best.assign(nth=range(1, len(best) + 1))[["user_id", "nth", "event_id", "value"]]
+
+
+@query(
+    """
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS nth, event_id, value
+    FROM events QUALIFY nth <= 3
+    """
+)
+def user_largest_events(spark, sf):
+    """A function of the user's own over each group."""
+    rows = load(spark, sf, "events").where("value IS NOT NULL").select("user_id", "event_id", "value")
+    return user_functions.per_group(rows, ["user_id"], largest_events, "user_id long, nth long, event_id long, value double")
+
+
+def moments(frame):
+    v = frame["value"].dropna()
+    return {"n": len(v), "mean": float(v.mean()) if len(v) else 0.0, "squares": float(((v - v.mean()) ** 2).sum()) if len(v) else 0.0}
+
+
+def merged_moments(states):
+    n = int(states["n"].sum())
+    mean = float((states["n"] * states["mean"]).sum() / n) if n else 0.0
+    return {"n": n, "mean": mean, "squares": float((states["squares"] + states["n"] * (states["mean"] - mean) ** 2).sum())}
+
+
+def spread_of(frame):
+    deviation = (frame["squares"] / frame["n"].where(frame["n"] > 0)) ** 0.5
+    return frame.assign(deviation=deviation.round(6), mean=frame["mean"].round(6))[["event_type", "n", "mean", "deviation"]]
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY event_type")
+def user_moments(spark, sf):
+    """An aggregate of the user's own, by states that merge."""
+    rows = load(spark, sf, "events").select("event_type", "value")
+    schema = "event_type string, n long, mean double, deviation double"
+    return user_functions.aggregated(rows, ["event_type"], moments, merged_moments, "n long, mean double, squares double", spread_of, schema)
