@@ -28,8 +28,9 @@ from leafmill.llm.words import slices
 
 # The split pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 120_000  # strings kept per cache; a full cache starts anew, results don't change
-
+CACHE_BYTES = 40 << 20  # of memory per cache and worker, about; a full cache starts anew, results don't change
+ENTRY_BYTES = 220  # of an entry beside its characters and ids
+CACHED = 300_000  # pairs of tokens whose compatibility is kept
 
 # White space other than a blank and a line break, and line breaks beside blanks.
 _BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", " \n", "\n ")
@@ -45,11 +46,15 @@ class Cache(dict):
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
+        self.size = 0
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= CACHED:
+        made = self.make(text)
+        self.size += ENTRY_BYTES + len(text) + len(made)
+        if self.size > CACHE_BYTES:
             self.clear()
-        made = self[text] = self.make(text)
+            self.size = ENTRY_BYTES + len(text) + len(made)
+        self[text] = made
         return made
 
 
@@ -93,7 +98,7 @@ class Codec:
         self.find = regex.compile(PIECES).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else lambda t: [t]
         self.pieces = Cache(self.merged_ids)
-        self.after_space = Cache(lambda w: self.stretch_ids(" " + w))
+        self.after_space = Cache(lambda w: self.merged_ids(" " + w) if w.isalpha() else self.stretch_ids(" " + w))
         self.sizes = {i: len(s) for i, s in self.raw.items()}
         size = max([*self.raw, *self.added.values()]) + 1
         spans = [b""] * size
@@ -147,6 +152,9 @@ class Codec:
         known = self.usable.get(s)
         if known is not None:
             return known.to_bytes(4, "little")
+        greedy = [token for _, (token, _) in self.automaton.iter_long(s)]  # the longest token at each end of the one before
+        if all(map(self.compatible, greedy, greedy[1:])):
+            return struct.pack(f"<{len(greedy)}I", *greedy)
         n = len(s)
         longest = [0] * n
         for end, (token, size) in self.automaton.iter(s):
@@ -195,22 +203,18 @@ class Codec:
                 out.extend(map(self.after_space.__getitem__, words[1:]))
         return b"".join(out)
 
-    def forget(self) -> None:
-        """Empty the caches; workers live on between tasks."""
-        self.pieces.clear()
-        self.after_space.clear()
-        self.compatible.cache_clear()
-
     @staticmethod
     def _rejoined(words: list[str]) -> list[str]:
         """Put back together what was cut inside a run of white space."""
-        whole = [words[0]]
+        whole, open_words = [], [words[0]]
         for w in words[1:]:
-            last = whole[-1]
+            last = open_words[-1]
             if not w or not last or w[0].isspace() or last[-1].isspace():
-                whole[-1] = f"{last} {w}"
+                open_words.append(w)
             else:
-                whole.append(w)
+                whole.append(" ".join(open_words))
+                open_words = [w]
+        whole.append(" ".join(open_words))
         return whole
 
     def decode(self, ids: bytes) -> str:
@@ -239,18 +243,15 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path)
-        try:
-            for batch in batches:
-                done = 0
-                for part in slices(batch.column(1).to_pylist()):
-                    ids = [tool.encode(t) for t in part]
-                    names = batch.column(0).slice(done, len(part))
-                    done += len(part)
-                    texts = [tool.decode(i) for i in ids]
-                    yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
-        finally:
-            tool.forget()
+        tool = codec(path)  # lives on between the tasks of a worker, with its caches
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(1).to_pylist()):
+                ids = [tool.encode(t) for t in part]
+                names = batch.column(0).slice(done, len(part))
+                done += len(part)
+                texts = [tool.decode(i) for i in ids]
+                yield pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
