@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,39 +217,59 @@ def markdown_sections(text: Column) -> Column:
     return let(F.transform(F.split(text, "\n"), strip), cut)
 
 
-def _recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
-    """Coarse-to-fine splitting of one text, pieces merged up to ``size``."""
-    mark = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(mark) + 1 :] if mark in separators else ()
-    if mark == "":
-        parts = list(text)
-    else:  # a separator opens the piece that follows it
-        head, *rest = text.split(mark)
-        parts = [p for p in (head, *(mark + r for r in rest)) if p]
-
-    out: list[str] = []
-    window: list[str] = []
-    used = 0
-
-    def flush() -> None:
-        merged = "".join(window).strip()
-        if merged:
-            out.append(merged)
-
-    for part in parts:
-        if len(part) >= size:
-            flush()
-            window, used = [], 0
-            out.extend(_recursive_split(part, size, overlap, finer) if finer else [part])
-            continue
-        if used + len(part) > size and window:
-            flush()
-            while window and (used > overlap or used + len(part) > size):
-                used -= len(window.pop(0))
-        window.append(part)
-        used += len(part)
-    flush()
-    return out
+def _merged_parts(parts: Column, size: int, overlap: int) -> Column:
+    """struct(text, open) of parts below ``size`` packed up to it, trailing ones repeated up to ``overlap``; longer parts are open.
+
+    A longer part ends what was packed before it, and nothing of that is repeated after it.
+    """
+
+    def ended(state: Column) -> Column:
+        span = F.struct(state["first"].alias("first"), (state["at"] - 1).alias("last"), F.lit(False).alias("open"))
+        return F.when(F.size(state["window"]) > 0, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+
+    def step(state: Column, n: Column) -> Column:
+        long, full = n >= size, (state["used"] + n > size) & (F.size(state["window"]) > 0)
+        limit = F.least(F.lit(overlap), F.lit(size) - n)
+        start = F.struct(state["used"].alias("left"), F.lit(0).alias("k"))
+        # how many of the leading parts leave the window
+        trimmed = F.aggregate(
+            state["window"], start, lambda a, x: F.when(a["left"] > limit, F.struct((a["left"] - x).alias("left"), (a["k"] + 1).alias("k"))).otherwise(a)
+        )
+
+        def advance(t: Column) -> Column:
+            rest = F.slice(state["window"], t["k"] + 1, F.size(state["window"]) - t["k"])
+            own = F.array(F.struct(state["at"].alias("first"), state["at"].alias("last"), F.lit(True).alias("open")))
+            return F.struct(
+                F.when(long, _ints()).otherwise(F.concat(rest, F.array(n))).alias("window"),
+                F.when(long, 0).otherwise(t["left"] + n).alias("used"),
+                F.when(long, state["at"] + 1).otherwise(state["first"] + t["k"]).alias("first"),
+                (state["at"] + 1).alias("at"),
+                F.when(long, F.concat(ended(state), own)).when(full, ended(state)).otherwise(state["spans"]).alias("spans"),
+            )
+
+        return let(F.when(full & ~long, trimmed).otherwise(start), advance)
+
+    spans = F.array().cast("array<struct<first:int,last:int,open:boolean>>")
+    begin = {"window": _ints(), "used": F.lit(0), "first": F.lit(1), "at": F.lit(1), "spans": spans}
+
+    def joined(span: Column) -> Column:
+        run = F.array_join(F.slice(parts, span["first"], span["last"] - span["first"] + 1), "")
+        return F.struct(F.when(span["open"], run).otherwise(strip(run)).alias("text"), span["open"].alias("open"))
+
+    return let(_fold(F.transform(parts, F.length), begin, step, "spans", ended), lambda found: F.transform(found, joined))
+
+
+def _character_chunks(text: Column, size: int, overlap: int) -> Column:
+    """struct(text, open) of a text cut after ``size`` characters each, the last ``overlap`` of them repeated."""
+    step = max(1, size - min(overlap, size - 1))
+
+    def cut(chars: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(chars) - size) / step).cast("int"))
+        runs = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(chars, k * step + 1, size), ""))
+        # a single character is as long as ``size`` 1 allows, and stays as it is
+        return F.transform(runs, lambda run: F.struct((run if size <= 1 else strip(run)).alias("text"), F.lit(False).alias("open")))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), cut)
 
 
 def recursive_chunks(
@@ -259,14 +278,32 @@ def recursive_chunks(
     overlap: int = CHUNK_OVERLAP,
     separators: tuple[str, ...] = RECURSIVE_SEPARATORS,
 ) -> Column:
-    """Split on the coarsest separator present, then on finer ones where still too long."""
+    """Split on the coarsest separator present, then on finer ones where still too long.
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _recursive_split(t, size, overlap, separators))
+    One level after the other: each opens the parts that are still too long, and leaves the
+    chunks that the levels before it have made. A separator opens the piece that follows it.
+    A part in which none of the finer separators stands is cut by characters; one that the last
+    separator leaves too long stays whole.
+    """
 
-    # computed once, wherever filters and projections move
-    return split.asNondeterministic()(text)
+    def level(found: Column, mark: Column) -> Column:
+        def opened(s: Column) -> Column:
+            marked = F.transform(F.split(s["text"], mark["pattern"], -1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(mark["mark"], x)))
+            packed = let(F.filter(marked, lambda x: x != ""), lambda parts: _merged_parts(parts, size, overlap))
+            packed = F.transform(packed, lambda c: F.struct(c["text"].alias("text"), (c["open"] & ~mark["last"]).alias("open")))
+            here = s["open"] & s["text"].contains(mark["mark"])
+            made = F.when(mark["mark"] == "", _character_chunks(s["text"], size, overlap)).otherwise(packed)
+            return F.when(here, made).otherwise(F.array(s))
+
+        return F.flatten(F.transform(found, opened))
+
+    marks = F.array(*(F.struct(F.lit(m).alias("mark"), F.lit(re.escape(m)).alias("pattern"), F.lit(m == separators[-1]).alias("last")) for m in separators))
+    whole = F.array(F.struct(text.alias("text"), F.lit(True).alias("open"))).cast("array<struct<text:string,open:boolean>>")
+    found = F.aggregate(marks, whole, level)
+    if "" not in separators:  # what none of the finer separators stands in
+        found = let(found, lambda f: F.flatten(F.transform(f, lambda s: F.when(s["open"], _character_chunks(s["text"], size, overlap)).otherwise(F.array(s)))))
+    texts = let(found, lambda f: F.transform(F.filter(f, lambda s: s["text"] != ""), lambda s: s["text"]))
+    return F.when(text.isNotNull(), texts)
 
 
 def sentence_token_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -108,6 +108,57 @@ def sentence_tokens(table: str, key: str, text: str) -> str:
     """
 
 
+def recursive_chunks(table: str, key: str, text: str, separators: tuple[str, ...], overlap: int = 20) -> str:
+    """CTEs that end in ``recursive(key, chunk_index, text)``: a level per separator, parts packed
+    by length, trailing ones repeated; the empty separator, the last one, cuts by characters."""
+    levels = [f"rc_0 AS (SELECT {key}, [0::BIGINT] AS path, {text} AS t, true AS open FROM {table} WHERE {text} IS NOT NULL)"]
+    for i, mark in enumerate(separators):
+        own = mark.replace("'", "''").replace("\n", "' || chr(10) || '")
+        here = f"open AND contains(t, '{own}')" if mark else "open"
+        kept = f"SELECT * FROM rc_{i} WHERE NOT ({here})"
+        if not mark:
+            step = SIZE - overlap
+            levels.append(f"""
+    rc_{i + 1} AS (
+      {kept} UNION ALL
+      SELECT {key}, list_append(path, k), {strip(f'substr(t, k * {step} + 1, {SIZE})')}, false
+      FROM rc_{i}, unnest(range(0, greatest(0, ceil((length(t) - {SIZE}) / {step}::DOUBLE))::BIGINT + 1)) AS r(k) WHERE {here})""")
+            continue
+        levels.append(f"""
+    r{i}_l AS (
+      SELECT {key}, path, list_filter(list_transform(string_split(t, '{own}'), lambda x, j: CASE WHEN j = 1 THEN x ELSE '{own}' || x END), lambda x: x <> '') AS ps
+      FROM rc_{i} WHERE {here}),
+    r{i}_u AS (SELECT {key}, path, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM r{i}_l),
+    r{i}_g AS (SELECT *, length(p) AS n, count_if(length(p) >= {SIZE}) OVER (PARTITION BY {key}, path ORDER BY pos) AS g FROM r{i}_u),
+    r{i}_s AS (
+      SELECT *, CAST(sum(n) OVER (PARTITION BY {key}, path, g ORDER BY pos) AS BIGINT) AS cum FROM r{i}_g WHERE n < {SIZE}),
+    r{i}_e AS (
+      SELECT a.{key}, a.path, a.g, a.pos AS f, max(b.pos) AS e FROM r{i}_s a
+      JOIN r{i}_s b ON b.{key} = a.{key} AND b.path = a.path AND b.g = a.g AND b.pos >= a.pos AND b.cum - (a.cum - a.n) <= {SIZE} GROUP BY ALL),
+    r{i}_x AS (
+      SELECT w.{key}, w.path, w.g, w.f, min(p.pos) AS nf FROM r{i}_e w
+      JOIN r{i}_s l ON l.{key} = w.{key} AND l.path = w.path AND l.pos = w.e
+      JOIN r{i}_s x ON x.{key} = w.{key} AND x.path = w.path AND x.g = w.g AND x.pos = w.e + 1
+      JOIN r{i}_s p ON p.{key} = w.{key} AND p.path = w.path AND p.g = w.g AND p.pos > w.f AND p.pos <= w.e + 1
+           AND l.cum - (p.cum - p.n) <= least({overlap}, {SIZE} - x.n)
+      GROUP BY ALL),
+    r{i}_w AS (
+      SELECT {key}, path, g, min(pos) AS f FROM r{i}_s GROUP BY ALL
+      UNION ALL SELECT w.{key}, w.path, w.g, x.nf FROM r{i}_w w JOIN r{i}_x x ON x.{key} = w.{key} AND x.path = w.path AND x.g = w.g AND x.f = w.f),
+    r{i}_c AS (
+      SELECT w.{key}, w.path, w.f, string_agg(s.p, '' ORDER BY s.pos) AS t
+      FROM r{i}_w w JOIN r{i}_e e ON e.{key} = w.{key} AND e.path = w.path AND e.g = w.g AND e.f = w.f
+      JOIN r{i}_s s ON s.{key} = w.{key} AND s.path = w.path AND s.pos BETWEEN w.f AND e.e GROUP BY ALL),
+    rc_{i + 1} AS (
+      {kept} UNION ALL
+      SELECT {key}, list_append(path, f), {strip('t')}, false FROM r{i}_c UNION ALL
+      SELECT {key}, list_append(path, pos), p, true FROM r{i}_g WHERE n >= {SIZE})""")
+    levels.append(f"""
+    recursive AS (
+      SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY path) - 1 AS chunk_index, t AS text FROM rc_{len(separators)} WHERE t <> '')""")
+    return ",".join(levels)
+
+
 # CTEs that end in chunks(doc_id, chunk_index, text): the basic chunker over
 # documents, with single line breaks between paragraphs.
 CHUNKS = f"""
@@ -195,4 +246,4 @@ KNN_HITS = f"""
     knn_hits AS ({ranked('knn_all')})
 """
 
-__all__ = ["BM25_HITS", "CHUNKS", "KNN_HITS", "TEXT_HITS", "WS", "hashed", "pieces", "ranked", "rewrite", "sections", "sentence_tokens", "strip", "tokens"]
+__all__ = ["BM25_HITS", "CHUNKS", "KNN_HITS", "TEXT_HITS", "WS", "hashed", "pieces", "ranked", "recursive_chunks", "rewrite", "sections", "sentence_tokens", "strip", "tokens"]

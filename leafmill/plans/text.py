@@ -155,7 +155,12 @@ def chunk_sentences(spark, sf):
     return ch.chunk_table(rows, method="sentence")
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {sql.recursive_chunks('documents', 'doc_id', 'text', ch.RECURSIVE_SEPARATORS)}
+    SELECT doc_id, chunk_index, text FROM recursive
+    """
+)
 def chunk_recursive(spark, sf):
     rows = documents(spark, sf).select("doc_id", "text")
     return ch.chunk_table(rows, method="recursive")

@@ -1,5 +1,6 @@
 """Chunkers against a plain restatement and their invariants."""
 
+import random
 import re
 
 import pytest
@@ -138,6 +139,57 @@ def test_recursive_chunks(spark, values):
         assert all(text[i].isspace() for i in set(range(len(text))) - covered)
 
 
+def plain_recursion(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
+    """Coarse-to-fine splitting of one text by recursion, pieces merged up to ``size``."""
+    mark = next((s for s in separators if s == "" or s in text), "")
+    finer = separators[separators.index(mark) + 1 :] if mark in separators else ()
+    if mark == "":
+        parts = list(text)
+    else:  # a separator opens the piece that follows it
+        head, *rest = text.split(mark)
+        parts = [p for p in (head, *(mark + r for r in rest)) if p]
+
+    out: list[str] = []
+    window: list[str] = []
+    used = 0
+
+    def flush() -> None:
+        merged = "".join(window).strip()
+        if merged:
+            out.append(merged)
+
+    for part in parts:
+        if len(part) >= size:
+            flush()
+            window, used = [], 0
+            out.extend(plain_recursion(part, size, overlap, finer) if finer else [part])
+            continue
+        if used + len(part) > size and window:
+            flush()
+            while window and (used > overlap or used + len(part) > size):
+                used -= len(window.pop(0))
+        window.append(part)
+        used += len(part)
+    flush()
+    return out
+
+
+@pytest.mark.parametrize("separators", [ch.RECURSIVE_SEPARATORS, ("\n\n", "\n", " "), ("。",), ("",)])
+def test_recursive_chunks_as_by_recursion(spark, separators):
+    rng = random.Random(4)
+    values = ["".join(rng.choices("ab c\n。.!é", k=rng.randrange(90))) for _ in range(150)] + ["", " ", "\n\n"]
+    for sizes in ((20, 5), (7, 6), (5, 9), (1, 0)):
+        got = run(spark, [*values, None], lambda c: ch.recursive_chunks(c, *sizes, separators))  # noqa: B023
+        assert got == [*(plain_recursion(v, *sizes, separators) for v in values), None], sizes
+
+
+def test_recursive_long_text(spark):
+    """A text of many characters and no separator, and one of many words."""
+    values = ["x" * 30_000, "word " * 10_000]
+    got = run(spark, values, ch.recursive_chunks)
+    assert got == [plain_recursion(v, 200, 20, ch.RECURSIVE_SEPARATORS) for v in values]
+
+
 def test_recursive_known_values(spark):
     text = "aaaa bbbb cccc dddd"
     [got] = run(spark, [text], lambda c: ch.recursive_chunks(c, 10, 5))
