@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.llm.spark import shuffle_parts, stored
+from leafmill.operators.frames import broadcast_if_small
 
 SHARDS = 16
 TOLERANCE = 0.005  # of a shard's bytes, for each splitter
@@ -91,6 +92,20 @@ def _levels(loads: list[float], rest: float) -> list[float]:
     return [max(0.0, level - x) for x in loads]
 
 
+def _told_apart(rows: DataFrame, keys: DataFrame, giants: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Rows and keys in which those of a giant group that share an id, or have none, have numbers.
+
+    Such rows are written with their number, so that it stays the same; all others are left
+    as they are, since their ids scatter them.
+    """
+    marks = F.broadcast(keys.sparkSession.createDataFrame([(h,) for h in giants], "g_h long"))
+    shared = keys.join(marks, F.col("h") == F.col("g_h")).groupBy("h", "at").agg(F.count("*").alias("n")).where("n > 1").select("h", "at")
+    shared = broadcast_if_small(stored(shared, "shared-ids"))
+    alike = stored(rows.join(shared, ["h", "at"], "left_semi").withColumn("nth", F.monotonically_increasing_id()), "rows-alike")
+    others, other_keys = (x.join(shared, ["h", "at"], "left_anti").select(*x.columns) for x in (rows, keys))
+    return others.unionByName(alike), other_keys.unionByName(alike.select(*keys.columns))
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """All rows with all columns and size, shard and slot.
 
@@ -121,8 +136,19 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
         """Adds u, the row's key, and hot_shard, the shard of a dealt group."""
         joined = rows.join(hot, F.col("h") == F.col("hot"), "left")
         scattered = F.col("hot").isNotNull()
-        return joined.withColumn("u", F.when(scattered, F.xxhash64("h", "at")).otherwise(F.col("h"))).drop("hot")
+        return joined.withColumn("u", F.when(scattered, F.xxhash64("h", "at", "nth")).otherwise(F.col("h"))).drop("hot")
 
+    names = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    rows = docs.select(
+        *(F.col(c).alias(f"row_{i}") for i, c in enumerate(names)),
+        at.alias("at"),
+        F.xxhash64(text).alias("h"),
+        size_of(F.col(text_col)).alias("size"),
+        F.lit(0).cast("long").alias("nth"),
+    )
+    keys = keys.withColumn("nth", F.lit(0).cast("long"))
+    if giants:
+        rows, keys = _told_apart(rows, keys, giants)
     placed = with_unit(keys)
     units = stored(placed.where("hot_shard is null").groupBy("u").agg(F.sum("size").alias("bytes")), "shard-units")
     parts = max(1, -(-shuffle_parts(spark) // shards))  # ranges per shard, so that a shard may have many tasks
@@ -146,13 +172,6 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
         offsets.append((part, before))
         before += counts.get(part, 0)
     starts = F.broadcast(spark.createDataFrame(offsets, "start_part int, start long"))
-    names = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
-    rows = docs.select(
-        *(F.col(c).alias(f"row_{i}") for i, c in enumerate(names)),
-        at.alias("at"),
-        F.xxhash64(text).alias("h"),
-        size_of(F.col(text_col)).alias("size"),
-    )
     rows = with_part(with_unit(rows)).repartition(shards * parts, "part")
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy("h", "at")))
     rows = rows.join(starts, F.col("part") == F.col("start_part"), "left")

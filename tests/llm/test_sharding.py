@@ -44,6 +44,14 @@ def test_large_groups(spark):
     assert len({r.shard for r in got if r.text == "half of a shard"}) == 1
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i % 3])
+def test_large_groups_without_ids_of_their_own(spark, ids):
+    rows = [(ids(i), "a group that is larger than one shard by itself") for i in range(2000)]
+    rows += [(10_000 + i, f"single text number {i}") for i in range(500)]
+    loads = check(rows, run(spark, rows))
+    assert max(loads) < 1.05 * sum(loads) / 16 and min(loads) > 0.95 * sum(loads) / 16
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a"), (1, "a"), (None, ""), (None, None)]])
 def test_few_rows(spark, rows):
     check(rows, run(spark, rows))
