@@ -53,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a frame of bounded size, brought to the driver by Arrow whatever the session's settings."""
+    table = df.toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """The rows of each value of a column, from batches that are sorted by it."""
     rest: pa.Table | None = None

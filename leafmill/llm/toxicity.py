@@ -1,18 +1,17 @@
-"""Toxicity scores from class-conditional Kneser-Ney models of characters.
-
-Texts are folded to 32 symbols (letters without accents or case, digits, marks, white
-space), and runs of four symbols are counted: in toxic and in ordinary labelled texts,
-and in all texts. The counts of all texts, labelled or not, give one Kneser-Ney model
-with the usual continuation counts below the highest order. Either class discounts its
-own counts and backs off to that shared model, so an expression that is rare in both
-classes gets nearly the same probability from both. This model of spelling has 32^4
-cells whatever the input; words and expressions are not among them.
-
-A text is judged by two length-normalised log-likelihood ratios, that of the whole text
-and that of its most toxic stretch of ``WINDOW`` symbols, and by what its words and pairs of words
-say, on average and at most (``expressions``): those are rows that grow with the corpus
-and know every script. A logistic function, fitted on labelled texts that the class
-models have not seen, turns the four into a score.
+"""Toxicity scores from class-conditional Kneser-Ney models.
+
+Two kinds of models compare a text's probability as a toxic and as an ordinary one. Those
+of words and pairs of words (``expressions``) grow with the corpus and know every script.
+Those of spelling see texts folded to 32 symbols (letters without accents or case, digits,
+marks, white space) in runs of four, 32^4 cells whatever the input: they catch what is
+spelt like a toxic word. Either class discounts its own counts and backs off to the counts
+of all texts, labelled or not, so what is rare in both classes gets nearly the same
+probability from both.
+
+A text is judged by length-normalised log-likelihood ratios, of both signs: per word and per
+symbol of the whole text, of its most toxic word or pair, and of its most toxic stretch of
+``WINDOW`` symbols. A logistic function, fitted on labelled texts that the class models
+have not seen, turns the four into a score.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.expressions import Evidence, gather
-from leafmill.llm.spark import bounded_batches, stored
+from leafmill.llm.spark import arrays, bounded_batches, stored
 from leafmill.llm.words import segments, slices
 from leafmill.operators.frames import broadcast_if_small
 
@@ -138,6 +137,15 @@ def run_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     return found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic", "every")))
 
 
+def _dense(counts: DataFrame) -> np.ndarray:
+    """Rows of the ordinary, toxic and all texts' counts, a column per cell."""
+    tables = np.zeros((3, CELLS), np.float32)
+    found = arrays(counts)  # 32^4 rows at most
+    for i, name in enumerate(("ordinary", "toxic", "every")):
+        tables[i, found["cell"]] = found[name]
+    return tables
+
+
 def _shared(counts: np.ndarray) -> np.ndarray:
     """Kneser-Ney probabilities of each symbol after each context of three."""
     orders = [counts]
@@ -211,7 +219,7 @@ class Model:
         mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
         found = rows.select(*own, mark, ratios(F.col("text"), self.table).alias("r"), self.evidence.lookup(F.col("text")).alias("said"))
         joined = self.evidence.joined(found.select(*own, "mark", "r.mean", "r.peak", "said"))
-        said = F.sqrt(F.col("total") / F.greatest("n", F.lit(1)))
+        said = F.col("total") / F.greatest("n", F.lit(1))
         return joined.select(*own, "mark", "mean", "peak", said.alias("words"), F.col("top").alias("expression"))
 
     def scored(self, rows: DataFrame) -> DataFrame:
@@ -238,11 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     bounded_batches(spark)
     labels = known_labels(labels)
-    found = run_counts(docs, labels, id_col, text_col).toPandas()  # 32^4 rows at most
-    tables = np.zeros((3, CELLS))
-    for i, name in enumerate(("ordinary", "toxic", "every")):
-        tables[i, found["cell"].to_numpy()] = found[name].to_numpy()
+    tables = _dense(run_counts(docs, labels, id_col, text_col))
     table = spark.sparkContext.broadcast(log_ratios(*tables))
+    both = bool(tables[0].any() and tables[1].any())
+    del tables
+    pa.default_memory_pool().release_unused()
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
     trained = broadcast_if_small(labels.where(fold(F.col("label_id")) != CALIBRATION))
     model = Model(table, gather(rows.join(trained, "label_id", "left").select("text", "label")))
@@ -253,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     seen = model.features(rows.join(some, "label_id").select("label", "text")).select("label", *FEATURES).toPandas()
     y = seen["label"].to_numpy(dtype=float)
-    if len(set(y)) < 2 or not tables[0].any() or not tables[1].any():
+    pa.default_memory_pool().release_unused()
+    if len(set(y)) < 2 or not both:
         return model
     order = np.lexsort((*(seen[c] for c in reversed(FEATURES)), y))
     x = seen[FEATURES].to_numpy()[order]

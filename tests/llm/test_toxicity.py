@@ -1,9 +1,14 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.llm import expressions
 from leafmill.llm import toxicity as tox
 
 
@@ -100,18 +105,90 @@ def test_toxic_words_in_other_scripts(spark, monkeypatch, bad, good, between, he
 
 
 def test_expressions_grow_with_the_corpus(spark):
-    from leafmill.llm import expressions
-
     def size(n):
         rows = [(" ".join(f"{chr(97 + i % 26)}{i}x{j}" for j in range(20)), 1) for i in range(n) for _ in range(9)] + [("other words", 0)] * 9
-        counts = expressions.pair_counts(spark.createDataFrame(rows, "text string, label int"))
-        return counts.count(), expressions.evidence(counts).count()
+        found = expressions.known_counts(spark.createDataFrame(rows, "text string, label int"))
+        return found.count(), expressions.evidence(found).rows.count()
 
     small, large = size(10), size(100)
-    assert small[0] == 202 and large[0] == 2002
+    assert small[0] == 10 * 20 * 2 + 2 and large[0] == 100 * 20 * 2 + 2
     assert large[1] > 9 * small[1] > 0
 
 
+def class_models(rows):
+    """P(w) and P(w | v) of both classes by plain counting, over the known words and ``None`` for all others."""
+    kinds = {"every": lambda y: True, "ordinary": lambda y: y == 0, "toxic": lambda y: y == 1}
+    split = [(re.findall(r"\w+", text.lower()), y) for text, y in rows]
+    pairs_of = [(set(zip(["<s>", *w], w, strict=False)), y) for w, y in split]
+    n, m, c, tokens = ({k: Counter() for k in kinds} for _ in range(4))
+    for k, fits in kinds.items():
+        for (w, y), (pairs, _) in zip(split, pairs_of, strict=True):
+            if fits(y):
+                n[k].update(set(w))
+                m[k].update(pairs)
+                c[k].update([*w, *(["<s>"] if w else [])])
+                tokens[k]["all"] += len(w)
+    words = {w for w, x in n["toxic"].items() if x >= expressions.LEAST}
+    pairs = {p for p, x in m["toxic"].items() if x >= expressions.LEAST}
+    assert all(w in words and (v in words or v == "<s>") for v, w in pairs)
+    less = lambda x: max(x - expressions.DISCOUNT, 0)
+    unknown = {k: tokens[k]["all"] - sum(c[k][w] for w in words) for k in kinds}
+    total = {k: sum(n[k][w] for w in words) + unknown[k] for k in kinds}
+    models = {}
+    for k in ("ordinary", "toxic"):
+        even = expressions.EVEN * total[k] / total["toxic"]
+        mass = total[k] - sum(less(n[k][w]) for w in words) - less(unknown[k]) + expressions.BACKOFF
+        whole = total[k] + expressions.BACKOFF + even * (len(words) + 1)
+        one = {w: (less(n[k][w]) + mass * n["every"][w] / total["every"] + even) / whole for w in words}
+        one[None] = (less(unknown[k]) + mass * unknown["every"] / total["every"] + even) / whole
+
+        def two(v, w, k=k, one=one):
+            after = [p for p in pairs if p[0] == v]
+            left = (c[k][v] - sum(less(m[k][p]) for p in after) + expressions.BACKOFF) / (c[k][v] + expressions.BACKOFF)
+            others = 1 - sum(m["every"][p] for p in after) / c["every"][v]
+            own, share = (less(m[k][v, w]) / (c[k][v] + expressions.BACKOFF), m["every"][v, w] / c["every"][v]) if (v, w) in pairs else (0, 0)
+            return own + left * (share + others * one[w] + one[w]) / 2
+
+        models[k] = one, two
+    return words, pairs, models, split
+
+
+def test_word_models_as_by_brute_force(spark, monkeypatch):
+    """Probabilities that sum to one, the rows of evidence, and the mean log ratio and the largest one of whole texts."""
+    rng = random.Random(6)
+    common, bad = [f"w{i}" for i in range(12)], ["vile", "fool", "mean one"]
+    rows = []
+    for i in range(160):
+        y = [1, 0, 0, None][i % 4]
+        rows.append((" ".join(rng.choices(common, k=rng.randrange(1, 9)) + ([rng.choice(bad)] if y == 1 else []) + rng.choices([*common, "fool", f"x{i}"], k=3)), y))
+    rows += [("", 1), ("", None), ("vile vile vile fool", 1)]
+    words, pairs, models, split = class_models(rows)
+    for one, two in models.values():
+        assert abs(sum(one.values()) - 1) < 1e-9
+        for v in [*sorted(words), "<s>"]:
+            assert abs(sum(two(v, w) for w in one) - 1) < 1e-9
+    (o_one, o_two), (t_one, t_two) = models["ordinary"], models["toxic"]
+    frame = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    for held in (1 << 19, 8):
+        monkeypatch.setattr(expressions, "HELD", held)
+        said = expressions.gather(frame)
+        asked = frame.select("text", F.xxhash64("text").alias("mark"), said.lookup(F.col("text")).alias("said"))
+        found = {r["text"]: (r["n"], r["total"], r["top"]) for r in said.joined(asked).collect()}
+        for (text, _), (w, _) in zip(rows, split, strict=True):
+            known = [x if x in words else None for x in w]
+            total, top = 0.0, math.log(t_one[None] / o_one[None])
+            for v, x in zip(["<s>", *known], known, strict=False):
+                if v is None:  # nothing is known of what follows an unknown word
+                    total += math.log(t_one[x] / o_one[x])
+                else:
+                    total += math.log(t_two(v, x) / o_two(v, x))
+                top = max(top, *([math.log(t_one[x] / o_one[x])] if x else []), *([math.log(t_two(v, x) / o_two(v, x))] if (v, x) in pairs else []), top)
+            if known and known[-1] is not None:  # something unknown follows the last word
+                total += math.log(t_two(known[-1], None) / o_two(known[-1], None)) - math.log(t_one[None] / o_one[None])
+            n, got, largest = found[text]
+            assert n == len(w) and abs(got - total) < 1e-6 and (not w or abs(largest - top) < 1e-6), text
+
+
 def test_evidence_held_or_joined_is_the_same(spark, monkeypatch):
     docs, labels = made_up(spark, ["stupid fool", "idiot"], ["word", "book", "town", "road", "fool", "stupid"])
     docs = docs.union(docs.limit(7))
