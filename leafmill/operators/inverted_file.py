@@ -14,7 +14,7 @@ so it is never wrong about what is there, only slower until it is built again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,8 +118,15 @@ def build_index(corpus: DataFrame, path: str, id_col: str = "id", vector: str =
     ranks.coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
 
 
-def read_cells(spark: SparkSession, path: str, id_type: str) -> DataFrame:
-    return spark.read.schema(f"id {id_type}, embedding array<float>, cell int").parquet(f"{path}/cells")
+def read_cells(spark: SparkSession, path: str, id_type: str, wanted: set[int] | None = None) -> DataFrame:
+    """The stored vectors, or those of some cells, whose folders alone are then listed."""
+    reader = spark.read.schema(f"id {id_type}, embedding array<float>, cell int").option("basePath", f"{path}/cells")
+    if wanted is None:
+        return reader.parquet(f"{path}/cells")
+    there = [n for n in store.folder_names(spark, f"{path}/cells") if n.startswith("cell=") and int(n[5:]) in wanted]
+    if not there:
+        return spark.createDataFrame([], f"id {id_type}, embedding array<float>, cell int")
+    return reader.parquet(*(f"{path}/cells/{n}" for n in sorted(there)))
 
 
 @dataclass
@@ -167,14 +174,16 @@ def search_index(
     """
     spark = queries.sparkSession
     asked = _vectors(queries, query_id, vector, "query_id")
-    rows = read_cells(spark, index.path, id_type)
-    if without is not None:
-        rows = rows.join(broadcast_if_small(without.select("id")), "id", "left_anti")
     probes, kernel = index.probes(target), cosine_kernel(exclude_self)
+
+    def rows(cells: set[int] | None = None) -> DataFrame:
+        found = read_cells(spark, index.path, id_type, cells)
+        return found if without is None else found.join(broadcast_if_small(without.select("id")), "id", "left_anti")
+
     batch = asked.limit(query_limit + 1).toPandas()  # bounded by the limit
     if len(batch) > query_limit:
         wanted = asked.select("query_id", "embedding", F.explode(_probed(index, probes)).alias("cell"))
-        hits = blocked_hits(rows, wanted, kernel, k, ["cell"])
+        hits = blocked_hits(rows(), wanted, kernel, k, ["cell"])
     else:
         hits = _few(rows, batch, index, probes, kernel, k, asked)
     return hits.withColumn("distance", F.round(1 - F.col("score"), 6))
@@ -199,7 +208,7 @@ def _probed(index: Index, probes: int) -> Column:
     return cells("embedding")
 
 
-def _few(rows: DataFrame, batch: pd.DataFrame, index: Index, probes: int, kernel, k: int, asked: DataFrame) -> DataFrame:
+def _few(rows: Callable[[set[int]], DataFrame], batch: pd.DataFrame, index: Index, probes: int, kernel, k: int, asked: DataFrame) -> DataFrame:
     cells = _cells_of(batch["embedding"], index.centres, probes) if len(batch) else []
     wanting: dict[int, list[int]] = {}
     for at, own in enumerate(cells):
@@ -224,9 +233,9 @@ def _few(rows: DataFrame, batch: pd.DataFrame, index: Index, probes: int, kernel
                 hits = pd.concat(best).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
                 yield hits[hits.groupby("query_id").cumcount() < k]
 
-    kind = asked.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, score double"
-    return rank_hits(rows.where(F.col("cell").isin(sorted(wanting))).mapInPandas(scored, schema), k)
+    kind, members = asked.schema["query_id"].dataType.simpleString(), rows(set(wanting))
+    schema = f"query_id {kind}, id {members.schema['id'].dataType.simpleString()}, score double"
+    return rank_hits(members.mapInPandas(scored, schema), k)
 
 
 # ---- the index of a store -------------------------------------------------------

@@ -66,7 +66,8 @@ def test_only_wanted_cells_are_read(spark):
     one = rows.where("id = 5").select(F.col("id").alias("query_id"), "embedding")
     found = ivf.search_index(index, one, target=0.5, id_type="bigint")
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [cell" in plan and len(index.centres) == 20 and index.probes(0.5) < 20
+    cells = {f.split("/cell=")[1].split("/")[0] for f in found.inputFiles()}
+    assert len(cells) <= index.probes(0.5) < 20 == len(index.centres)
     assert "Exchange hashpartitioning(query_id" in plan and plan.count("Exchange") <= 2  # hits only
 
 
