@@ -48,6 +48,7 @@ BACKOFF = 32.0  # pseudo-counts of the shared words in a class, and of its words
 START = 0x1B873593CC9E2D51  # stands before the first word
 TURN = 21  # bits by which the hash of a pair's first word is turned
 HELD = 1 << 19  # rows of evidence that travel to all tasks, 24 bytes each
+AT_ONCE = 1 << 17  # words that a task counts or looks up at once
 FILTER_WORDS = 1 << 20  # of 64 bits: a filter of the hashes of words and pairs
 # Scripts without blanks between words.
 UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
@@ -72,6 +73,17 @@ def _pair_keys(single: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return before, single ^ turned.view(np.int64)
 
 
+def _parts(hashed: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``AT_ONCE`` words together, or one longer text."""
+    ends = np.cumsum(np.diff(hashed.offsets.to_numpy()))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        yield start, stop
+        start = stop
+
+
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     place = keys & (FILTER_WORDS * 64 - 1)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
@@ -103,7 +115,7 @@ def counts(hashed: DataFrame, bits: Broadcast | None = None) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in _parts(b.column(1))):
             label, column = batch.column(0).to_numpy(), batch.column(1)
             single, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -226,8 +238,7 @@ class Evidence:
         """struct(n, total, top, keys, times): words, sum of log ratios and the largest of a text, from what travels, and what is left to join."""
         held, unknown, start = self.held, self.unknown, self.start
 
-        @F.arrow_udf("struct<n: long, total: double, top: double, keys: array<long>, times: array<long>>")
-        def found(hashed: pa.Array) -> pa.Array:
+        def of_part(hashed: pa.Array) -> pa.Array:
             keys, gains, peaks, bits = held.value
             sizes = np.diff(hashed.offsets.to_numpy())
             n = len(sizes)
@@ -257,6 +268,11 @@ class Evidence:
                 [pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(top, pa.float64()), *lists], ["n", "total", "top", "keys", "times"]
             )
 
+        @F.arrow_udf("struct<n: long, total: double, top: double, keys: array<long>, times: array<long>>")
+        def found(hashed: pa.Array) -> pa.Array:
+            parts = [of_part(hashed.slice(i, j - i)) for i, j in _parts(hashed)]
+            return pa.concat_arrays(parts) if parts else of_part(hashed)
+
         return found(_hashes(text))
 
     def joined(self, rows: DataFrame) -> DataFrame:
