@@ -28,9 +28,9 @@ from leafmill.llm.words import slices
 
 # The split pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_BYTES = 40 << 20  # of memory per cache and worker, about; a full cache starts anew, results don't change
+CACHE_BYTES = 24 << 20  # of memory per cache and worker, about; a full cache starts anew, results don't change
 ENTRY_BYTES = 220  # of an entry beside its characters and ids
-CACHED = 300_000  # pairs of tokens whose compatibility is kept
+CACHED = 200_000  # pairs of tokens whose compatibility is kept
 
 # White space other than a blank and a line break, and line breaks beside blanks.
 _BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", " \n", "\n ")
