@@ -170,7 +170,8 @@ def search_index(
 
     Few queries (at most ``query_limit``, checked) travel to the cells, of which only those
     that some query wants are read, and no vector is shuffled. More queries meet the cells
-    in blocks of bounded size. ``without`` has ids that are no hits.
+    in blocks of bounded size, whatever the cell where they want all of them. ``without`` has
+    ids that are no hits.
     """
     spark = queries.sparkSession
     asked = _vectors(queries, query_id, vector, "query_id")
@@ -181,7 +182,9 @@ def search_index(
         return found if without is None else found.join(broadcast_if_small(without.select("id")), "id", "left_anti")
 
     batch = asked.limit(query_limit + 1).toPandas()  # bounded by the limit
-    if len(batch) > query_limit:
+    if len(batch) > query_limit and probes >= len(index.centres):  # all cells are as one: a query is copied per block of rows, not per cell
+        hits = blocked_hits(rows().withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), kernel, k, ["cell"])
+    elif len(batch) > query_limit:
         wanted = asked.select("query_id", "embedding", F.explode(_probed(index, probes)).alias("cell"))
         hits = blocked_hits(rows(), wanted, kernel, k, ["cell"])
     else:
