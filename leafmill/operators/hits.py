@@ -28,6 +28,8 @@ from leafmill.session import checkpointed
 QUERY_LIMIT = 2_000
 BLOCK_ROWS = 20_000
 SLICE = 256
+TILE = 4096  # corpus rows that are scored at once
+PRODUCTS = 1 << 20  # of weights that are multiplied at once
 DIGITS = 6
 
 # A kernel maps (corpus block sorted by id, query block) to a score matrix (queries x
@@ -58,17 +60,23 @@ def best_per_row(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndar
 def _block_hits(
     corpus: pd.DataFrame, queries: pd.DataFrame, kernel: Kernel, k: int, floor: np.ndarray
 ) -> pd.DataFrame:
+    """The best k of a block per query, by slices of queries and tiles of the corpus; only a tile's scores are held."""
     corpus = corpus.sort_values("id", kind="stable")
-    ids, rows, cols, values = corpus["id"].to_numpy(), [], [], []
+    ids, found = corpus["id"].to_numpy(), []
     for at in range(0, len(queries), SLICE):
-        scores = kernel(corpus, queries.iloc[at : at + SLICE])
-        r, c, v = best_per_row(scores, k, floor[at : at + SLICE])
-        rows.append(r + at)
-        cols.append(c)
-        values.append(v)
-    return pd.DataFrame(
-        {"q": np.concatenate(rows), "id": ids[np.concatenate(cols)], "score": np.concatenate(values)}
-    )
+        some, least = queries.iloc[at : at + SLICE], floor[at : at + SLICE].copy()
+        r, c, v = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for start in range(0, len(corpus), TILE):
+            new = best_per_row(kernel(corpus.iloc[start : start + TILE], some), k, least)
+            r, c, v = np.append(r, new[0]), np.append(c, new[1] + start), np.append(v, new[2])
+            order = np.lexsort((c, -v, r))
+            nth = np.arange(len(r)) - np.searchsorted(r[order], r[order])
+            last, order = order[nth == k - 1], order[nth < k]
+            least[r[last]] = np.maximum(least[r[last]], v[last])
+            r, c, v = r[order], c[order], v[order]
+        found.append((r + at, c, v))
+    rows, cols, values = (np.concatenate(parts) for parts in zip(*found, strict=True))
+    return pd.DataFrame({"q": rows, "id": ids[cols], "score": values})
 
 
 def _merge(hits: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -129,12 +137,13 @@ def _blocks(rows: int) -> int:
 
 
 def blocked_hits(
-    corpus: DataFrame, queries: DataFrame, kernel: Kernel, k: int, keys: Sequence[str] = ()
+    corpus: DataFrame, queries: DataFrame, kernel: Kernel, k: int, keys: Sequence[str] = (), least_blocks: int = 1
 ) -> DataFrame:
     """The same for any number of queries, optionally only where ``keys`` agree.
 
     With ``keys`` the blocks are sized per key value, so a value that holds a third
-    of all rows becomes many groups of bounded size instead of one.
+    of all rows becomes many groups of bounded size instead of one. Without keys the
+    corpus, whose rows may be large, is cut into ``least_blocks`` blocks at least.
     """
     schema = _schema(corpus, queries)
     if keys:  # blocks per key value, for values that both sides hold
@@ -145,7 +154,7 @@ def blocked_hits(
         blocks = broadcast_if_small(checkpointed(sizes[0].join(sizes[1], list(keys))))
         corpus, queries = (side.join(blocks, list(keys)) for side in (corpus, queries))
     else:
-        counts = {"_corpus_n": F.lit(_blocks(corpus.count())), "_query_n": F.lit(_blocks(queries.count()))}
+        counts = {"_corpus_n": F.lit(max(least_blocks, _blocks(corpus.count()))), "_query_n": F.lit(_blocks(queries.count()))}
         corpus, queries = (side.withColumns(counts) for side in (corpus, queries))
 
     def cut(side: DataFrame, id_col: str, own: str, facing: str) -> DataFrame:
@@ -174,12 +183,23 @@ def sparse_product(
     docs: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray, np.ndarray], shape
 ) -> np.ndarray:
     """Sum of weight products over shared terms; each side is (row, term, weight), and
-    the query side is sorted by term."""
+    the query side is sorted by term, the other by row.
+
+    About ``PRODUCTS`` products are held at once, or those of one document.
+    """
     d_row, d_term, d_weight = docs
     q_row, q_term, q_weight = queries
     lo, hi = np.searchsorted(q_term, d_term, "left"), np.searchsorted(q_term, d_term, "right")
-    times = hi - lo
-    at = np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    cell = q_row[at] * shape[1] + np.repeat(d_row, times)
-    sums = np.bincount(cell, np.repeat(d_weight, times) * q_weight[at], shape[0] * shape[1])
-    return sums.astype(np.float64).reshape(shape)  # of no products at all the sums are integers
+    ends = np.cumsum(np.bincount(d_row, hi - lo, shape[1]))
+    sums, first = np.zeros(shape), 0
+    while first < shape[1]:
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + PRODUCTS, "right")))
+        here = slice(*np.searchsorted(d_row, (first, stop)))
+        times = hi[here] - lo[here]
+        at = np.repeat(lo[here] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum()) if len(times) else times
+        cell = q_row[at] * (stop - first) + np.repeat(d_row[here] - first, times)
+        part = np.bincount(cell, np.repeat(d_weight[here], times) * q_weight[at], shape[0] * (stop - first))
+        sums[:, first:stop] = part.reshape(shape[0], -1)
+        first = stop
+    return sums

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ RRF = 60
 
 # Up to this many terms in all questions the terms travel to every task.
 TERM_LIMIT = 50_000
+BLOCK_TERMS = 1 << 20  # terms of a block of documents, about; they are text in a worker
 
 
 def _bm25_kernel(k1: float, b: float):
@@ -111,7 +114,7 @@ def bm25(
     kernel = _bm25_kernel(k1, b)
     if small:
         return top_hits(corpus, weighted, kernel, k, query_limit)
-    return blocked_hits(corpus, weighted, kernel, k)
+    return blocked_hits(corpus, weighted, kernel, k, least_blocks=ceil(n * mean / BLOCK_TERMS))
 
 
 def fuse_ranks(lexical: DataFrame, dense: DataFrame, k: int = 5, constant: int = RRF) -> DataFrame:

@@ -51,12 +51,11 @@ def cosine_kernel(exclude_self: bool = False):
                     q, c = queries["embedding"].iloc[rows], corpus["embedding"].iloc[cols]
                     scores[np.ix_(rows, cols)] = _unit_rows(q, dim) @ _unit_rows(c, dim).T
         if exclude_self:
-            ids = corpus["id"].to_numpy()  # sorted
-            at = np.searchsorted(ids, queries["query_id"].to_numpy())
-            for row, col in enumerate(at):
-                while col < len(ids) and ids[col] == queries["query_id"].iloc[row]:
-                    scores[row, col] = -np.inf
-                    col += 1
+            ids, asked = corpus["id"].to_numpy(), queries["query_id"].to_numpy()  # the ids are sorted
+            first, end = np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right")
+            for row in np.flatnonzero(first < end).tolist():
+                if ids[first[row]] == asked[row]:
+                    scores[row, first[row] : end[row]] = -np.inf
         return scores
 
     return score
