@@ -32,13 +32,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from leafmill.functions.text import tokens
 from leafmill.operators import store
 from leafmill.operators.frames import broadcast_if_small, unnest
-from leafmill.operators.hits import DIGITS, best_per_row, rank_hits
+from leafmill.operators.hits import DIGITS, PRODUCTS, best_per_row, rank_hits
 from leafmill.operators.lexical import K1, TERM_LIMIT, B
 from leafmill.session import checkpointed
 
 BLOCK = 128  # documents of a block, about
 SEEDS = 4  # blocks per question that are scored first
-CELLS = 1 << 22  # scores of questions and documents that a task holds at once
+CELLS = 1 << 20  # scores of questions and documents that a task holds at once
 PART = 40  # a block's number has that of its part above this bit
 ALL = ""  # the term that every document has
 
@@ -165,9 +165,13 @@ def _by_block(weighted: pd.DataFrame, k: int, mean: float, k1: float, b: float,
         sizes = pc.list_value_length(table["ids"]).to_numpy()
         ends = np.cumsum(sizes)
         known, doc = np.unique(ids, return_inverse=True)
-        pair, entry = _spans((ends - sizes)[row], ends[row])
-        add = idf[at][pair] * weight(tfs[entry], lengths[entry])
-        scores = np.bincount(q_of[at][pair] * len(known) + doc[entry], add, len(names) * len(known)).reshape(len(names), -1)
+        scores = np.zeros(len(names) * len(known))
+        for part in _stretches(sizes[row]):
+            pair, entry = _spans((ends - sizes)[row[part]], ends[row[part]])
+            asked = at[part][pair]
+            add = idf[asked] * weight(tfs[entry], lengths[entry])
+            scores += np.bincount(q_of[asked] * len(known) + doc[entry], add, len(scores))
+        scores = scores.reshape(len(names), -1)
         scores[scores <= 0] = -np.inf
         q, c, v = best_per_row(scores, k, floor)
         return pd.DataFrame({"q": q, "id": known[c], "score": v})
@@ -195,6 +199,15 @@ def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span, np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def _stretches(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices with about ``PRODUCTS`` places together, or one span that has more."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PRODUCTS, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def _whole_blocks(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[pa.Table]:
     """Tables of whole blocks, of about so many documents or one block, from batches sorted by block."""
     held: list[pa.RecordBatch] = []
