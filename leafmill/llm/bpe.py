@@ -15,6 +15,7 @@ import functools
 import json
 import struct
 from collections.abc import Callable, Iterator
+from operator import indexOf
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from leafmill.llm.words import slices
 
 # The split pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_BYTES = 24 << 20  # of memory per cache and worker, about; a full cache starts anew, results don't change
+CACHE_BYTES = 24 << 20  # of memory per cache and worker, about; results don't depend on it
 ENTRY_BYTES = 220  # of an entry beside its characters and ids
 CACHED = 200_000  # pairs of tokens whose compatibility is kept
 
@@ -42,16 +43,20 @@ def _has_wide_blank(text: str) -> bool:
 
 
 class Cache(dict):
-    """Results by string; a full cache starts anew."""
+    """Results by string, in two generations: a full one becomes the older, from which what is asked for again returns."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
         self.size = 0
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        made = self.make(text)
+        made = self.older.get(text)
+        if made is None:
+            made = self.make(text)
         self.size += ENTRY_BYTES + len(text) + len(made)
-        if self.size > CACHE_BYTES:
+        if self.size > CACHE_BYTES // 2:
+            self.older = self.copy()
             self.clear()
             self.size = ENTRY_BYTES + len(text) + len(made)
         self[text] = made
@@ -153,14 +158,13 @@ class Codec:
         if known is not None:
             return known.to_bytes(4, "little")
         greedy = [token for _, (token, _) in self.automaton.iter_long(s)]  # the longest token at each end of the one before
-        if all(map(self.compatible, greedy, greedy[1:])):
+        sizes, compatible, shorter = self.sizes, self.compatible, self.shorter
+        try:
+            first = indexOf(map(compatible, greedy, greedy[1:]), False) + 1
+        except ValueError:  # all of them are compatible
             return struct.pack(f"<{len(greedy)}I", *greedy)
-        n = len(s)
-        longest = [0] * n
-        for end, (token, size) in self.automaton.iter(s):
-            longest[end - size + 1] = token  # longer tokens end later
-        dead, sizes, compatible, shorter = bytearray(n + 1), self.sizes, self.compatible, self.shorter
-        ids, at, token = [], 0, longest[0]
+        ids, token, n = greedy[:first], greedy[first], len(s)
+        at, dead, ahead = sum(map(sizes.__getitem__, ids)), bytearray(n + 1), None
         while True:
             end = at + sizes[token]
             if not dead[end] and (not ids or compatible(ids[-1], token)):
@@ -168,8 +172,10 @@ class Codec:
                 at = end
                 if at == n:
                     return struct.pack(f"<{len(ids)}I", *ids)
-                token = longest[at]
+                ahead = ahead or self.automaton.iter_long(s, at)
+                token = next(ahead)[1][0]
                 continue
+            ahead = None  # it goes on behind the token that is given up
             fewer = shorter(token)
             while fewer is None:
                 dead[at] = 1
