@@ -10,19 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.session import bounded_batches as bounded_batches
 from leafmill.session import scratch
 
-BATCH_BYTES = 8 << 20
 LEAST_ID = -(1 << 63)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts don't fill a worker's memory."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str((1 << 31) - 1)).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

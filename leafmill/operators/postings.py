@@ -4,15 +4,17 @@ Documents are dealt into blocks by the hash of their id. A posting is one row pe
 block: the documents of the block that have the term, how often, and their lengths, beside
 the greatest frequency and the least length among them. These two bound what the term can
 add to a document of the block, whatever the mean length becomes, so that later additions
-leave what is written as it is. Postings lie sorted by term; each addition is a part of its
-own. The empty term stands for all documents.
+leave what is written as it is. Texts are exchanged once, by block; their postings are made
+where the block is, and a file has whole blocks, with postings sorted by term. Each addition
+is a part of its own. The empty term stands for all documents.
 
 A search reads the postings of its terms only and brings those of a block together. Going
 through its blocks, a task keeps the k-th score of every question so far; a block whose
 bounds add up to less for a question is skipped for it. The result is that of scoring every
 document. Questions with too many terms to travel are joined instead: the blocks with the
-greatest bounds are scored first, and then those whose bound reaches the k-th score of
-these.
+greatest bounds are scored first. Then groups of questions meet groups of blocks, and a
+block is scored where its bound reaches the k-th score so far. So the postings are
+exchanged, once per group of questions, but never a score per question and document.
 """
 
 from __future__ import annotations
@@ -34,11 +36,14 @@ from leafmill.operators import store
 from leafmill.operators.frames import broadcast_if_small, unnest
 from leafmill.operators.hits import DIGITS, PRODUCTS, best_per_row, rank_hits
 from leafmill.operators.lexical import K1, TERM_LIMIT, B
-from leafmill.session import checkpointed
+from leafmill.session import bounded_batches, checkpointed
 
 BLOCK = 128  # documents of a block, about
 SEEDS = 4  # blocks per question that are scored first
 CELLS = 1 << 20  # scores of questions and documents that a task holds at once
+TASK_BLOCKS = 128  # blocks that a task makes or scores, about
+GROUP_TOKENS = 1 << 22  # words of the documents that meet a group of questions, about
+GROUP_QUESTIONS = 2_000  # questions of a group, about
 PART = 40  # a block's number has that of its part above this bit
 ALL = ""  # the term that every document has
 
@@ -55,17 +60,18 @@ def add_postings(documents: DataFrame, path: str, doc_id: str = "doc_id", text:
     A null text is as one without terms. Ids must be unique in the index.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     part = max(parts(spark, path), default=0) + 1
     blocks = max(1, ceil(documents.count() / BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)) + F.lit(part << PART)
-    docs = documents.select(F.col(doc_id).alias("id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("terms"))
-    docs = docs.select("id", block.alias("block"), F.size("terms").alias("length"), F.concat(F.array(F.lit(ALL)), "terms").alias("terms"))
-    counted = unnest(docs, ["id", "block", "length"], F.col("terms"), "term").groupBy("term", "block", "id", "length").agg(F.count("*").cast("int").alias("tf"))
-    rows = counted.groupBy("term", "block").agg(
-        F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("id", "tf", "length")).alias("docs")
-    )
+    docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).select(block.alias("block"), "id", "text")
+    docs = docs.repartition(_tasks(spark, blocks), "block").sortWithinPartitions("block")
+    docs = docs.select("block", "id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    entry = T.StructType([docs.schema["id"]]).add("tf", "integer").add("length", "integer")
+    schema = T.StructType().add("term", "string").add("block", "long").add("most_tf", "integer").add("least_length", "integer").add("docs", T.ArrayType(entry))
+    rows = docs.mapInArrow(_postings(to_arrow_schema(schema)), schema)
     at = f"{path}/part-{part:08d}"
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{at}/postings")
+    rows.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{at}/postings")
     written = spark.read.schema(rows.schema).parquet(f"{at}/postings")
     lengths = F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["length"])
     terms = written.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(F.when(F.col("term") == ALL, lengths)).alias("tokens"))
@@ -73,6 +79,46 @@ def add_postings(documents: DataFrame, path: str, doc_id: str = "doc_id", text:
     return part
 
 
+def _tasks(spark: SparkSession, blocks: int) -> int:
+    """Tasks for so many blocks: one per core, and more where a task would have many blocks."""
+    return max(min(blocks, spark.sparkContext.defaultParallelism), ceil(blocks / TASK_BLOCKS))
+
+
+def _postings(schema: pa.Schema):
+    """Postings from batches of (block, id, terms) that are sorted by block."""
+    entry = schema.field("docs").type.value_type
+
+    def of_block(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        ids, lists = table["id"].combine_chunks(), table["terms"].combine_chunks()
+        sizes, coded = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        # rows with the same id and length are one document
+        name = ids.dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        _, row, doc = np.unique(name * (sizes.max() + 1) + sizes, return_index=True, return_inverse=True)
+        term = np.concatenate((np.zeros(len(sizes), np.int64), coded.indices.to_numpy() + np.int64(1)))
+        cell, tf = np.unique(term * len(row) + np.concatenate((doc, np.repeat(doc, sizes))), return_counts=True)
+        term, doc = cell // len(row), cell % len(row)
+        heads = np.flatnonzero(np.diff(term, prepend=-1))
+        length = sizes[row][doc]
+        docs = pa.StructArray.from_arrays(
+            [ids.take(pa.array(row[doc])).cast(entry.field("id").type), pa.array(tf, pa.int32()), pa.array(length, pa.int32())], fields=list(entry)
+        )
+        words = pa.concat_arrays([pa.array([ALL], pa.string()), coded.dictionary.cast(pa.string())])
+        columns = [
+            words.take(pa.array(term[heads])),
+            pa.array(np.full(len(heads), table["block"][0].as_py()), pa.int64()),
+            pa.array(np.maximum.reduceat(tf, heads), pa.int32()),
+            pa.array(np.minimum.reduceat(length, heads), pa.int32()),
+            pa.ListArray.from_arrays(pa.array(np.append(heads, len(cell)), pa.int32()), docs, type=schema.field("docs").type),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(of_block, _whole_blocks(batches, 1))
+
+    return make
+
+
 def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(term, block, most_tf, least_length, docs) and (term, df, tokens) of all parts."""
     at = [f"{path}/part-{n:08d}" for n in parts(spark, path)]
@@ -109,30 +155,46 @@ def search_postings(
         schema = T.StructType([weighted.schema["query_id"]]).add("id", _id_type(postings)).add("score", "double")
         wanted = spark.createDataFrame([(t,) for t in few["term"].unique()], "term string")
         rows = postings.join(F.broadcast(wanted), "term")
-        columns = ["block", "term", "most_tf", "least_length", F.col("docs.id").alias("ids"), F.col("docs.tf").alias("tfs"), F.col("docs.length").alias("lengths")]
-        rows = rows.select(*columns).repartition("block").sortWithinPartitions("block")
+        rows = rows.select("block", "term", "most_tf", "least_length", *_entries()).repartition("block").sortWithinPartitions("block")
         return rank_hits(rows.mapInArrow(_by_block(few, k, mean, k1, b, to_arrow_schema(schema)), schema), k)
     weighted = broadcast_if_small(weighted)
-    most = F.col("idf") * _weight(F.col("most_tf"), F.col("least_length"), mean, k1, b)
+    most = F.greatest("idf", F.lit(0.0)) * _weight(F.col("most_tf"), F.col("least_length"), mean, k1, b)
     heads = postings.select("term", "block", "most_tf", "least_length").join(weighted, "term")
-    bounds = checkpointed(heads.groupBy("query_id", "block").agg(F.sum(most).alias("most")))
+    bounds = heads.groupBy("query_id", "block").agg(F.sum(most).alias("most"))
     order = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
     first = checkpointed(bounds.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= seeds).select("query_id", "block"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        rows = postings.join(weighted, "term").join(broadcast_if_small(pairs), ["query_id", "block"])
-        each = rows.select("query_id", "idf", F.explode("docs").alias("d"))
-        weight = F.col("idf") * _weight(F.col("d.tf"), F.col("d.length"), mean, k1, b)
-        hits = each.groupBy("query_id", F.col("d.id").alias("id")).agg(F.sum(weight).alias("score"))
-        return rank_hits(hits.select("query_id", "id", F.round("score", DIGITS).alias("score")), k)
-
-    best = checkpointed(scored(first))
-    floor = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    slack = 2 * 10.0**-DIGITS  # rounding may make near scores equal
-    rest = bounds.join(first, ["query_id", "block"], "left_anti").join(broadcast_if_small(floor), "query_id", "left")
-    rest = checkpointed(rest.where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - slack)).select("query_id", "block"))
-    both = best.select("query_id", "id", "score").union(scored(rest).select("query_id", "id", "score"))
-    return rank_hits(both, k)
+    pairs = broadcast_if_small(checkpointed(weighted.join(first, "query_id")))
+    each = postings.join(pairs, ["term", "block"]).select("query_id", "idf", F.explode("docs").alias("d"))
+    weight = F.col("idf") * _weight(F.col("d.tf"), F.col("d.length"), mean, k1, b)
+    hits = each.groupBy("query_id", F.col("d.id").alias("id")).agg(F.sum(weight).alias("score"))
+    best = rank_hits(hits.select("query_id", "id", F.round("score", DIGITS).alias("score")), k)
+    floor = checkpointed(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")))
+    size = weighted.agg(F.count_distinct("query_id").alias("questions"), F.count("*").alias("terms")).first()
+    batches = max(1, ceil(size["questions"] / GROUP_QUESTIONS), ceil(size["terms"] / TERM_LIMIT))
+    groups = max(1, ceil(n / (TASK_BLOCKS * BLOCK)), ceil(n * mean / GROUP_TOKENS))
+    batch, group = F.pmod(F.xxhash64("query_id"), F.lit(batches)), F.pmod(F.xxhash64("block"), F.lit(groups))
+    asking = weighted.join(floor, "query_id", "left").where(F.col("query_id").isNotNull()).withColumn("batch", batch)
+    wanted = broadcast_if_small(checkpointed(asking.select("batch", "term").distinct()))
+    columns = ["batch", group.alias("group"), "block", "term", "most_tf", "least_length", *_entries()]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    sides = postings.join(wanted, "term").select(*columns), asking.withColumn("group", every)
+    tasks = max(min(batches * groups, 1 << 14), spark.sparkContext.defaultParallelism)
+    left, right = (side.repartition(tasks, "batch", "group").groupBy("batch", "group") for side in sides)
+    schema = T.StructType().add("query_id", weighted.schema["query_id"].dataType).add("id", _id_type(postings)).add("score", "double")
+    names = to_arrow_schema(schema)
+
+    def meet(blocks: pa.Table, questions: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not questions.num_rows:
+            return names.empty_table()
+        rows = blocks.drop_columns(["batch", "group"]).sort_by("block")
+        return pa.Table.from_batches(_by_block(questions.to_pandas(), k, mean, k1, b, names)(rows.to_batches()), names)
+
+    return rank_hits(left.cogroup(right).applyInArrow(meet, schema), k)
+
+
+def _entries() -> list[Column]:
+    """What a posting has of its documents, as three arrays."""
+    return [F.col("docs.id").alias("ids"), F.col("docs.tf").alias("tfs"), F.col("docs.length").alias("lengths")]
 
 
 def _id_type(postings: DataFrame) -> T.DataType:
@@ -140,13 +202,16 @@ def _id_type(postings: DataFrame) -> T.DataType:
 
 
 def _by_block(weighted: pd.DataFrame, k: int, mean: float, k1: float, b: float, schema: pa.Schema):
-    """Hits of the questions from batches that are sorted by block."""
+    """Hits of the questions from batches that are sorted by block; a column ``floor`` has scores that k documents reach."""
     weighted = weighted.sort_values(["term", "query_id"])
     names, q_of = np.unique(weighted["query_id"].to_numpy(), return_inverse=True)
     words, first = np.unique(weighted["term"].to_numpy(dtype=object), return_index=True)
     slot = {w: i for i, w in enumerate(words)}
     first = np.append(first, len(weighted))
     idf = weighted["idf"].to_numpy(float)
+    least = np.full(len(names), -np.inf)
+    if "floor" in weighted:
+        least[q_of] = weighted["floor"].fillna(-np.inf).to_numpy(float)
 
     def weight(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
@@ -157,7 +222,7 @@ def _by_block(weighted: pd.DataFrame, k: int, mean: float, k1: float, b: float,
         blocks, block = np.unique(table["block"].to_numpy(), return_inverse=True)
         row, at = _spans(first[term], first[term + 1])  # a posting for each question that has its term
         most = weight(table["most_tf"].to_numpy(), table["least_length"].to_numpy())
-        bounds = np.bincount(q_of[at] * len(blocks) + block[row], idf[at] * most[row], len(names) * len(blocks)).reshape(len(names), -1)
+        bounds = np.bincount(q_of[at] * len(blocks) + block[row], np.maximum(idf[at], 0) * most[row], len(names) * len(blocks)).reshape(len(names), -1)
         reached = bounds >= (floor - 2 * 10.0**-DIGITS)[:, None]
         keep = reached[q_of[at], block[row]]
         row, at = row[keep], at[keep]
@@ -177,14 +242,15 @@ def _by_block(weighted: pd.DataFrame, k: int, mean: float, k1: float, b: float,
         return pd.DataFrame({"q": q, "id": known[c], "score": v})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, floor = None, np.full(len(names), -np.inf)
+        best, floor = None, least.copy()
         for table in _whole_blocks(batches, max(1, CELLS // max(1, len(names)))):
             hits = scored(table, floor)
             best = hits if best is None else pd.concat([best, hits])
             best = best.sort_values(["q", "score", "id"], ascending=[True, False, True])
             best = best[best.groupby("q").cumcount() < k]
             last = best[best.groupby("q").cumcount() == k - 1]
-            floor[last["q"].to_numpy()] = last["score"].to_numpy()
+            reached = last["q"].to_numpy()
+            floor[reached] = np.maximum(floor[reached], last["score"].to_numpy())
         if best is not None and len(best):
             values = (names[best["q"].to_numpy()], best["id"].to_numpy(), best["score"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(v.tolist(), t) for v, t in zip(values, schema.types, strict=True)], schema.names)

@@ -1,7 +1,9 @@
 """Stored postings against BM25 over the whole corpus."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import lexical, postings
@@ -68,3 +70,51 @@ def test_a_term_in_every_document(spark):
     rows, terms = postings.read_postings(spark, path)
     assert rows.agg(F.max(F.size("docs"))).first()[0] < 3 * postings.BLOCK
     assert {r["term"]: r["df"] for r in terms.collect()}["the"] == 20_000
+
+
+def test_blocks_stay_whole_and_scores_in_their_tasks(spark):
+    """A block's postings are made and written where its texts are; no score per question and document is exchanged."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{i}x"), F.col("id") % (i + 2)) for i in range(12))).alias("text"))
+    path, name = scratch(spark, "t-postings"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        postings.add_postings(docs, path)
+    finally:
+        spark.conf.unset(name)
+    rows, _ = postings.read_postings(spark, path)
+    files = rows.select("block", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("block").count().where("count > 1").count() == 0
+    questions = docs.where("doc_id < 40").withColumnRenamed("doc_id", "query_id")
+    found = postings.search_postings(questions, path, 5, term_limit=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan) is None
+    same(found, lexical.bm25(docs, questions, 5))
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_groups_of_questions_meet_groups_of_blocks(spark, monkeypatch, cut):
+    if cut:
+        for name, value in (("BLOCK", 8), ("TASK_BLOCKS", 3), ("GROUP_QUESTIONS", 4)):
+            monkeypatch.setattr(postings, name, value)
+    rng = random.Random(7)
+    rows = [(f"d{i}", " ".join(rng.choices("abcdefghijkl", k=rng.randrange(0, 25)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    questions = spark.createDataFrame([(f"q{i}", " ".join(rng.choices("abcdefghijklmn", k=3))) for i in range(15)], "query_id string, text string")
+    path = scratch(spark, "t-postings")
+    postings.add_postings(docs, path)
+    same(postings.search_postings(questions, path, 4, term_limit=1), lexical.bm25(docs, questions, 4))
+
+
+def test_rows_that_share_id_and_length_are_one_document(spark):
+    rows = [(1, "a b a"), (1, "a c c"), (1, "a"), (None, "b"), (None, "b"), (2, None), (2, "")]
+    path = scratch(spark, "t-postings")
+    postings.add_postings(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    found, terms = postings.read_postings(spark, path)
+    held = {r["term"]: (r["most_tf"], r["least_length"], sorted((d["id"] or 0, d["tf"], d["length"]) for d in r["docs"])) for r in found.collect()}
+    assert held == {
+        "": (2, 0, [(0, 2, 1), (1, 1, 1), (1, 2, 3), (2, 2, 0)]),
+        "a": (3, 1, [(1, 1, 1), (1, 3, 3)]),
+        "b": (2, 1, [(0, 2, 1), (1, 1, 3)]),
+        "c": (2, 3, [(1, 2, 3)]),
+    }
+    assert {r["term"]: (r["df"], r["tokens"]) for r in terms.collect()} == {"": (4, 5), "a": (2, None), "b": (2, None), "c": (1, None)}
