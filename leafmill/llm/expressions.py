@@ -91,28 +91,35 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 COUNTS = "pair boolean, key long, before long, every long, ordinary long, toxic long, places long, ordinary_places long, toxic_places long"
 SUMS = [c.split()[0] for c in COUNTS.split(", ")][3:]
+PLACES = dict(zip(SUMS[:3], SUMS[3:], strict=True))
 
 
-def _counted(keys: np.ndarray, owner: np.ndarray, label: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Per key: itself, the word before, texts that have it (all, ordinary, toxic) and places (likewise)."""
+def _fits(label: np.ndarray, kind: str) -> np.ndarray:
+    return {"every": np.ones(len(label), bool), "ordinary": label == 0, "toxic": label == 1}[kind]
+
+
+def _counted(keys: np.ndarray, owner: np.ndarray, fits: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Per key: the key, one row that has it, and for each kind its texts, and then its places."""
     order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
     once = np.ones(len(keys), bool)
     once[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    kinds = [np.ones(len(keys), bool), label[owner] == 0, label[owner] == 1]
+    kinds = [f[owner] for f in fits]
     sums = [np.add.reduceat(v.astype(np.int64), heads) if len(heads) else heads for v in (*(k & once for k in kinds), *kinds)]
-    first = np.zeros(len(heads), np.int64) if before is None else before[order][heads]
-    return (keys[heads], first, *sums)
+    return (keys[heads], order[heads], *sums)
 
 
-def counts(hashed: DataFrame, bits: Broadcast | None = None) -> DataFrame:
-    """``COUNTS`` of all words and pairs of (label, h), or of those that pass the filter.
+def counts(hashed: DataFrame, kinds: list[str], bits: Broadcast | None = None) -> DataFrame:
+    """Of ``COUNTS`` those of these kinds of texts, of all words and pairs of (label, h), or of those that pass the filter.
 
-    A pair's key is the hash of both, of which the first may be ``START``. As a word,
-    ``START`` counts the texts that have words. The key 0 of no pair counts, as places,
-    the words of all texts, known or not.
+    A pair's key is the hash of both, of which the first may be ``START``. Without a filter
+    the word before comes along. Nothing asks for the places of pairs, which are the most
+    rows; they are 0. As a word, ``START`` counts the texts that have words. The key 0 of no
+    pair counts, as places, the words of all texts, known or not.
     """
+    sums = [*kinds, *(PLACES[k] for k in kinds)]
+    names = ["pair", "key", *([] if bits else ["before"]), *sums]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, j - i) for b in batches for i, j in _parts(b.column(1))):
@@ -120,18 +127,24 @@ def counts(hashed: DataFrame, bits: Broadcast | None = None) -> DataFrame:
             single, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             before, pairs = _pair_keys(single, sizes)
-            kinds = (np.ones(len(sizes), bool), label == 0, label == 1)
-            filled, tokens = [int((k & (sizes > 0)).sum()) for k in kinds], [int(sizes[k].sum()) for k in kinds]
-            rows = [(False, [np.array([v]) for v in (START, 0, *filled, *filled)]), (False, [np.array([v]) for v in (0, 0, 0, 0, 0, *tokens)])]
+            fits = [_fits(label, k) for k in kinds]
+            filled, tokens = [int((f & (sizes > 0)).sum()) for f in fits], [int(sizes[f].sum()) for f in fits]
+            none = np.zeros(2, np.int64)
+            rows = [(False, [np.array([START, 0]), none, *(np.array([n, 0]) for n in filled), *(np.array(n) for n in zip(filled, tokens, strict=True))])]
             for pair, keys in ((False, single), (True, pairs)):
                 here = np.ones(len(keys), bool) if bits is None else _passes(bits.value, keys)
-                rows.append((pair, _counted(keys[here], owner[here], label, before[here] if pair else None)))
-            for pair, values in rows:
-                if len(values[0]):
-                    names = [c.split()[0] for c in COUNTS.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values[0]), pair)), *(pa.array(v, pa.int64()) for v in values)], names)
+                key, row, *found = _counted(keys[here], owner[here], fits)
+                none = np.zeros(len(key), np.int64)
+                places = [none] * len(kinds) if pair else found[len(kinds) :]
+                rows.append((pair, [key, before[here][row] if pair else none, *found[: len(kinds)], *places]))
+            for pair, (key, first, *found) in rows:
+                if len(key):
+                    values = [key, *([] if bits else [first]), *found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), pair)), *(pa.array(v, pa.int64()) for v in values)], names)
 
-    return hashed.mapInArrow(count, COUNTS).groupBy("pair", "key").agg(F.max("before").alias("before"), *(F.sum(c).alias(c) for c in SUMS))
+    schema = "pair boolean, " + ", ".join(f"{c} long" for c in names[1:])
+    first = [] if bits else [F.max("before").alias("before")]
+    return hashed.mapInArrow(count, schema).groupBy("pair", "key").agg(*first, *(F.sum(c).alias(c) for c in sums))
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
@@ -148,13 +161,15 @@ def known_counts(rows: DataFrame) -> DataFrame:
     """``COUNTS`` of the words and pairs that toxic texts have, and of ``START`` and 0, from (text, label)."""
     spark = rows.sparkSession
     hashed = rows.select(F.coalesce("label", F.lit(-1)).cast("long").alias("label"), _hashes(F.col("text")).alias("h"))
-    own = counts(hashed.where("label = 1")).where(F.col("toxic") >= LEAST)
-    own = stored(own.select("pair", "key", "before"), "toxic-keys")
-    found = counts(hashed, spark.sparkContext.broadcast(bit_filter(own)))
     always = F.col("key").isin(START, 0) & ~F.col("pair")
-    known = broadcast_if_small(own.select(F.col("pair").alias("o_pair"), F.col("key").alias("o_key"), F.lit(True).alias("own")))
-    both = found.join(known, (F.col("pair") == F.col("o_pair")) & (F.col("key") == F.col("o_key")), "left").where(F.col("own") | always)
-    return stored(both.drop("o_pair", "o_key", "own"), "known-counts")
+    own = stored(counts(hashed.where("label = 1"), ["toxic"]).where((F.col("toxic") >= LEAST) | always), "toxic-keys")
+    # what toxic texts have is counted; the others' counts alone are exchanged
+    bits = spark.sparkContext.broadcast(bit_filter(own.where(F.col("toxic") >= LEAST)))
+    found = counts(hashed, ["every", "ordinary"], bits)
+    mine = ["before", "toxic", "toxic_places"]
+    known = broadcast_if_small(own.select(F.col("pair").alias("o_pair"), F.col("key").alias("o_key"), *mine))
+    both = found.join(known, (F.col("pair") == F.col("o_pair")) & (F.col("key") == F.col("o_key")), "left").where(F.col("toxic").isNotNull() | always)
+    return stored(both.select("pair", "key", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("before", *SUMS))), "known-counts")
 
 
 def less(n: Column) -> Column:

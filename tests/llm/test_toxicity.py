@@ -115,6 +115,26 @@ def test_expressions_grow_with_the_corpus(spark):
     assert large[1] > 9 * small[1] > 0
 
 
+def test_only_asked_for_counts_are_exchanged(spark):
+    """The counts of all texts travel as four numbers a word or pair, and the places of pairs as zeros."""
+    rows = [("fool fool a", 1), ("a fool", 1), ("a b a b", 0), ("a fool b", None), ("", 0), (None, 1), ("x", 1)]
+    frame = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    hashed = frame.select(F.coalesce("label", F.lit(-1)).cast("long").alias("label"), expressions._hashes(F.col("text")).alias("h"))
+    bits = spark.sparkContext.broadcast(np.full(expressions.FILTER_WORDS, -1))
+    found = expressions.counts(hashed, ["every", "ordinary"], bits)
+    assert found.columns == ["pair", "key", "every", "ordinary", "places", "ordinary_places"]
+    assert found.where("pair").agg(F.sum(F.col("places") + F.col("ordinary_places"))).first()[0] == 0
+    known = expressions.known_counts(frame)
+    assert [f"{f.name} {f.dataType.typeName()}" for f in known.schema] == expressions.COUNTS.split(", ")
+    sums = {(r["pair"], r["key"]): tuple(r[c] for c in expressions.SUMS) for r in known.collect()}
+    key = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in ("a", "fool")}
+    assert sums.pop((False, expressions.START)) == (5, 1, 3, 5, 1, 3)
+    assert sums.pop((False, 0)) == (0, 0, 0, 13, 4, 6)
+    assert sums.pop((False, key["a"])) == (4, 1, 2, 5, 2, 2)
+    assert sums.pop((False, key["fool"])) == (3, 0, 2, 4, 0, 3)
+    assert sums == {}
+
+
 def class_models(rows):
     """P(w) and P(w | v) of both classes by plain counting, over the known words and ``None`` for all others."""
     kinds = {"every": lambda y: True, "ordinary": lambda y: y == 0, "toxic": lambda y: y == 1}
