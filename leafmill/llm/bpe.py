@@ -45,8 +45,9 @@ def _has_wide_blank(text: str) -> bool:
 class Cache(dict):
     """Results by string, in two generations: a full one becomes the older, from which what is asked for again returns."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], share: float = 1.0):
         self.make = make
+        self.most = int(CACHE_BYTES * share) // 2
         self.size = 0
         self.older: dict[str, bytes] = {}
 
@@ -55,7 +56,7 @@ class Cache(dict):
         if made is None:
             made = self.make(text)
         self.size += ENTRY_BYTES + len(text) + len(made)
-        if self.size > CACHE_BYTES // 2:
+        if self.size > self.most:
             self.older = self.copy()
             self.clear()
             self.size = ENTRY_BYTES + len(text) + len(made)
@@ -102,8 +103,8 @@ class Codec:
         self.shorter = functools.lru_cache(CACHED)(self._shorter)
         self.find = regex.compile(PIECES).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else lambda t: [t]
-        self.pieces = Cache(self.merged_ids)
-        self.after_space = Cache(lambda w: self.merged_ids(" " + w) if w.isalpha() else self.stretch_ids(" " + w))
+        self.pieces = Cache(self.merged_ids, 0.25)  # few: marks, numbers, and words that no space precedes
+        self.after_space = Cache(lambda w: self.merged_ids(" " + w) if w.isalpha() else self.stretch_ids(" " + w), 1.75)
         self.sizes = {i: len(s) for i, s in self.raw.items()}
         size = max([*self.raw, *self.added.values()]) + 1
         spans = [b""] * size
@@ -188,7 +189,11 @@ class Codec:
         """The ids of a stretch that neither starts nor ends inside a run of white space."""
         if text.removeprefix(" ").isalpha():  # one piece of letters
             return self.merged_ids(text)
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        first, *others = self.find(text)
+        word = first[1:]
+        # a word behind a space is kept once, whatever follows it
+        ids = self.after_space[word] if first[0] == " " and word.isalpha() else self.pieces[first]
+        return b"".join([ids, *map(self.pieces.__getitem__, others)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers.

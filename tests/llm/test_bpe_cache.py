@@ -1,6 +1,12 @@
+import public_tokenizers
+
 from leafmill.llm import bpe
 
 
+def bpe_path():
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def test_a_full_cache_keeps_what_is_asked_for_again(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_BYTES", 20 * bpe.ENTRY_BYTES)
     made = []
@@ -10,3 +16,15 @@ def test_a_full_cache_keeps_what_is_asked_for_again(monkeypatch):
         assert cache["often"] == b"often"
     assert made.count("often") == 1
     assert len(cache) + len(cache.older) <= 20
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    tool = bpe.Codec(bpe_path())
+    made, merged = [], tool.merged_ids
+    monkeypatch.setattr(tool, "merged_ids", lambda text: made.append(text) or merged(text))
+    tool.pieces.make = tool.merged_ids
+    text = "Say quibblestone! quibblestone? quibblestone;quibblestone quibblestone"
+    ids = tool.encode(text)
+    assert tool.decode(ids) == text
+    assert made.count(" quibblestone") == 1
+    assert tool.pieces.most + tool.after_space.most <= bpe.CACHE_BYTES  # of both generations, 2 * CACHE_BYTES
