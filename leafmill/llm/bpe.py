@@ -29,7 +29,7 @@ from leafmill.llm.words import slices
 
 # The split pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_BYTES = 24 << 20  # of memory per cache and worker, about; results don't depend on it
+CACHE_BYTES = 24 << 20  # of memory per worker and share of a cache, about; results don't depend on it
 ENTRY_BYTES = 220  # of an entry beside its characters and ids
 CACHED = 200_000  # pairs of tokens whose compatibility is kept
 
