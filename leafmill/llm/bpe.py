@@ -6,7 +6,8 @@ the one before it, otherwise the next shorter prefix token is tried, and when no
 left the encoder steps back. Two tokens are compatible if merging the joined bytes
 from scratch leaves exactly these two, which the merge ranks along their touching
 edges decide. Positions from which no encoding goes on are marked, so every position
-is tried a bounded number of times. Decoding copies byte ranges by a table of offsets.
+is tried a bounded number of times. Many pieces at once go through the same steps side
+by side, in arrays. Decoding copies byte ranges by a table of offsets.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from __future__ import annotations
 import functools
 import json
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from itertools import chain
 from operator import indexOf
 
 import ahocorasick
@@ -32,6 +34,14 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHE_BYTES = 24 << 20  # of memory per worker and share of a cache, about; results don't depend on it
 ENTRY_BYTES = 220  # of an entry beside its characters and ids
 CACHED = 200_000  # pairs of tokens whose compatibility is kept
+PAIR_SLOTS = 1 << 19  # of the table of such pairs in arrays; a pair takes the place of another one in its slot
+SPREAD = np.int64(0x1E3779B97F4A7C15)  # odd, spreads pairs over the slots
+NEVER = np.iinfo(np.int32).max  # the rank of no merge
+WORDS = 1 << 16  # looked up at once
+CHARS = 1 << 19  # of pieces encoded side by side, about
+PAIRS = 1 << 14  # of tokens compared at once
+FEW, LONG = 64, 4096  # so few pieces, and such long ones, are encoded one by one
+BETWEEN = "\u0100"  # stands between pieces; no character of theirs, which stand for bytes
 
 # White space other than a blank and a line break, and line breaks beside blanks.
 _BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", " \n", "\n ")
@@ -55,13 +65,30 @@ class Cache(dict):
         made = self.older.get(text)
         if made is None:
             made = self.make(text)
-        self.size += ENTRY_BYTES + len(text) + len(made)
-        if self.size > self.most:
+        self.turn(ENTRY_BYTES + len(text) + len(made))
+        self.put([text], [made])
+        return made
+
+    def turn(self, more: int = 0) -> None:
+        """Let the results become the older ones if these bytes more don't fit in."""
+        if self.size + more > self.most:
             self.older = self.copy()
             self.clear()
-            self.size = ENTRY_BYTES + len(text) + len(made)
-        self[text] = made
-        return made
+            self.size = 0
+
+    def put(self, texts: Collection[str], made: list[bytes]) -> None:
+        self.update(zip(texts, made, strict=True))
+        self.size += ENTRY_BYTES * len(texts) + sum(map(len, texts)) + sum(map(len, made))
+
+    def take(self, texts: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """The results of different strings, and the strings whose results are to be made."""
+        found = dict(zip(texts, map(self.get, texts), strict=True))
+        new = [text for text, made in found.items() if made is None]
+        older = list(map(self.older.get, new))
+        back = {text: made for text, made in zip(new, older, strict=True) if made is not None}
+        found |= back
+        self.put(back, list(back.values()))
+        return found, [text for text, made in zip(new, older, strict=True) if made is None]
 
 
 def byte_alphabet() -> list[str]:
@@ -95,10 +122,10 @@ class Codec:
         automaton = ahocorasick.Automaton()
         for s, i in self.by_bytes.items():
             if len(s) == 1 or self._whole(i):
-                automaton.add_word(s, (i, len(s)))
+                automaton.add_word(s, i)
         automaton.make_automaton()
         self.automaton = automaton
-        self.usable = {s: i for s, (i, _) in automaton.items()}
+        self.usable = dict(automaton.items())
         self.compatible = functools.lru_cache(CACHED)(self._compatible)
         self.shorter = functools.lru_cache(CACHED)(self._shorter)
         self.find = regex.compile(PIECES).findall
@@ -107,6 +134,7 @@ class Codec:
         self.after_space = Cache(lambda w: self.merged_ids(" " + w) if w.isalpha() else self.stretch_ids(" " + w), 1.75)
         self.sizes = {i: len(s) for i, s in self.raw.items()}
         size = max([*self.raw, *self.added.values()]) + 1
+        self._arrays(size)
         spans = [b""] * size
         for i, s in self.raw.items():
             spans[i] = s.encode("latin-1")
@@ -115,6 +143,46 @@ class Codec:
         self.blob = np.frombuffer(b"".join(spans), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(s) for s in spans])))
 
+    def _arrays(self, size: int) -> None:
+        """Tables for many pieces at once: prefixes of tokens, sizes, shorter tokens, pairs that were met."""
+        self.between = size
+        self.automaton.add_word(BETWEEN, size)
+        self.automaton.make_automaton()
+        prefixes = {"": 0}
+        steps, tokens = [], [-1]  # prefix and next byte; the token that a prefix is
+        self.shorter_of = np.full(size, -1, np.int64)
+        for s in sorted(self.usable):  # after its prefixes
+            longest, at = -1, 0
+            for n in range(1, len(s) + 1):
+                start, at = at, prefixes.setdefault(s[:n], len(tokens))
+                if at == len(tokens):
+                    steps.append(start << 8 | ord(s[n - 1]))
+                    tokens.append(-1)
+                elif tokens[at] >= 0:
+                    longest = tokens[at]
+            tokens[at] = self.usable[s]
+            self.shorter_of[self.usable[s]] = longest
+        order = np.argsort(steps)  # the step at i leads to prefix i + 1
+        self.steps, self.step_to, self.token_at = np.array(steps)[order], order + 1, np.array(tokens)
+        self.size_of = np.ones(size + 1, np.int64)
+        self.size_of[list(self.sizes)] = list(self.sizes.values())
+        parts = np.full((size, 2), -1, np.int32)
+        rank = np.full(size, NEVER, np.int32)
+        parts[list(self.parts)] = list(self.parts.values())
+        rank[list(self.rank)] = list(self.rank.values())
+        self.edges = []  # for each side the tokens that stand there in turn, and the ranks that end them
+        for side in (0, 1):
+            edge, ends = [np.arange(size, dtype=np.int32)], [np.full(size, NEVER, np.int32)]
+            while (inner := np.where(edge[-1] >= 0, parts[edge[-1], side], np.int32(-1))).max() >= 0:
+                ends.append(rank[edge[-1]])
+                edge.append(inner)
+            self.edges.append((np.stack(edge, 1), np.stack(ends, 1)))
+        joins = np.array([a << 32 | b for a, b in self.merged])
+        order = np.argsort(joins)
+        self.joins, self.join_rank = joins[order], rank[np.array(list(self.merged.values()))[order]]
+        self.pairs = np.full(PAIR_SLOTS, -1, np.int64)
+        self.pair_fits = np.zeros(PAIR_SLOTS, bool)
+
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at one edge of a token in turn, with the rank that ends each."""
         found: list[tuple[int, float]] = [(token, float("inf"))]
@@ -158,7 +226,7 @@ class Codec:
         known = self.usable.get(s)
         if known is not None:
             return known.to_bytes(4, "little")
-        greedy = [token for _, (token, _) in self.automaton.iter_long(s)]  # the longest token at each end of the one before
+        greedy = [token for _, token in self.automaton.iter_long(s)]  # the longest token at each end of the one before
         sizes, compatible, shorter = self.sizes, self.compatible, self.shorter
         try:
             first = indexOf(map(compatible, greedy, greedy[1:]), False) + 1
@@ -174,7 +242,7 @@ class Codec:
                 if at == n:
                     return struct.pack(f"<{len(ids)}I", *ids)
                 ahead = ahead or self.automaton.iter_long(s, at)
-                token = next(ahead)[1][0]
+                token = next(ahead)[1]
                 continue
             ahead = None  # it goes on behind the token that is given up
             fewer = shorter(token)
@@ -185,6 +253,151 @@ class Codec:
                 fewer = shorter(token)
             token = fewer
 
+    def _all_compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As _compatible, for many pairs."""
+        (xs, x_ends), (ys, y_ends) = self.edges[1], self.edges[0]
+        x, y = xs[left], ys[right]
+        row, i, j = np.nonzero((x >= 0)[:, :, None] & (y >= 0)[:, None, :])
+        pair = x[row, i].astype(np.int64) << 32 | y[row, j]
+        place = np.minimum(np.searchsorted(self.joins, pair), len(self.joins) - 1)
+        joined = np.flatnonzero(self.joins[place] == pair)
+        row, i, j, at = row[joined], i[joined], j[joined], self.join_rank[place[joined]]
+        fits = np.ones(len(left), bool)
+        fits[row[(at < x_ends[left[row], i]) & (at <= y_ends[right[row], j])]] = False
+        return fits
+
+    def all_compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each token is compatible with the one behind it."""
+        pairs = left << 32 | right
+        slots = (pairs * SPREAD >> 40) % PAIR_SLOTS
+        fits = self.pair_fits[slots]
+        new = np.flatnonzero(self.pairs[slots] != pairs)
+        if len(new):
+            unknown, which = np.unique(pairs[new], return_inverse=True)
+            some = [unknown[i : i + PAIRS] for i in range(0, len(unknown), PAIRS)]
+            fits[new] = np.concatenate([self._all_compatible(u >> 32, u & 0xFFFFFFFF) for u in some])[which]
+            _, last = np.unique(slots[new], return_index=True)  # one pair for each slot
+            self.pairs[slots[new[last]]] = pairs[new[last]]
+            self.pair_fits[slots[new[last]]] = fits[new[last]]
+        return fits
+
+    def longest(self, raw: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The longest token at each place that ends before a stop."""
+        found = np.full(len(at), -1)
+        rows, prefix = np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(rows):
+            step = prefix << 8 | raw[at]
+            place = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            known = self.steps[place] == step
+            rows, prefix, at, stop = rows[known], self.step_to[place[known]], at[known] + 1, stop[known]
+            token = self.token_at[prefix]
+            found[rows] = np.where(token < 0, found[rows], token)
+            inside = at < stop
+            rows, prefix, at, stop = rows[inside], prefix[inside], at[inside], stop[inside]
+        return found
+
+    def merged_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of many pieces, as from merged_ids."""
+        made: dict[str, bytes] = {}
+        for some in slices([t for t in texts if len(t) < LONG], CHARS):
+            if len(some) >= FEW:
+                made.update(zip(some, self._side_by_side(some), strict=True))
+        return [made[t] if t in made else self.merged_ids(t) for t in texts]
+
+    def _side_by_side(self, texts: list[str]) -> list[bytes]:
+        joined = BETWEEN.join([t if t.isascii() else t.encode("utf-8", "surrogatepass").decode("latin-1") for t in texts])
+        raw = np.frombuffer(joined.encode("latin-1", "replace"), np.uint8)
+        greedy = np.array([token for _, token in self.automaton.iter_long(joined)])
+        ends = np.cumsum(self.size_of[greedy])
+        between = greedy == self.between
+        piece = np.cumsum(between)  # of each token; the mark before a piece counts to it
+        stops = np.append(ends[between] - 1, len(raw))
+        taken = np.full(len(raw) + 1, -1)  # the token that ends at each place
+        taken[ends] = np.where(between, -1, greedy)
+        inner = np.flatnonzero(~between[1:] & ~between[:-1])
+        clash = inner[~self.all_compatible(greedy[inner], greedy[inner + 1])] + 1
+        late, first = np.unique(piece[clash], return_index=True)
+        clash = clash[first]
+        begun = np.full(len(texts), len(greedy))
+        begun[late] = clash
+        taken[ends[np.arange(len(greedy)) >= begun[piece]]] = -1
+        left = self._step_back(raw, taken, late, ends[clash - 1], greedy[clash], stops[late])
+        ids = taken[taken >= 0].astype("<u4").tobytes()
+        cuts = (4 * np.cumsum(taken >= 0)[stops]).tolist()
+        made = [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        for k in left.tolist():
+            made[k] = self.merged_ids(texts[k])
+        return made
+
+    def _step_back(self, raw: np.ndarray, taken: np.ndarray, piece: np.ndarray, at: np.ndarray, token: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Go on with pieces from a place where a token is tried, side by side; the last few are left, and returned."""
+        dead = np.zeros(len(taken), bool)
+        while len(piece) >= FEW // 4:
+            end, before = at + self.size_of[token], taken[at]
+            good = ~dead[end]
+            asked = np.flatnonzero(good & (before >= 0))
+            good[asked] = self.all_compatible(before[asked], token[asked])
+            taken[end[good]] = token[good]
+            bad = np.flatnonzero(~good)
+            at = np.where(good, end, at)
+            fewer = self.shorter_of[token[bad]]
+            back = bad[fewer < 0]
+            token[bad] = fewer
+            while len(back):
+                place = at[back]
+                dead[place] = True
+                given_up = taken[place]
+                taken[place] = -1
+                at[back] -= self.size_of[given_up]
+                token[back] = self.shorter_of[given_up]
+                back = back[token[back] < 0]
+            rest = at < stop
+            piece, at, token, stop, good = piece[rest], at[rest], token[rest], stop[rest], good[rest]
+            token[good] = self.longest(raw, at[good], stop[good])
+        return piece
+
+    def stretches(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of the stretches of a space and each of different words; new ones are encoded together."""
+        self.after_space.turn()
+        self.pieces.turn()
+        found, new = self.after_space.take(words)
+        odd = [w for w in new if not w.isalpha()]
+        cut = self.cut_all(odd)
+        spaced, others = [], []
+        for piece in dict.fromkeys(chain.from_iterable(cut)):
+            if piece[0] == " " and piece[1:].isalpha():
+                spaced.append(piece[1:])
+            else:
+                others.append(piece)
+        behind, after = self.after_space.take(spaced)
+        ids, alone = self.pieces.take(others)
+        after = list(dict.fromkeys(chain(filter(str.isalpha, new), after)))
+        made = self.merged_all([" " + w for w in after] + alone)
+        after_made, alone_made = made[: len(after)], made[len(after) :]
+        self.after_space.put(after, after_made)
+        self.pieces.put(alone, alone_made)
+        known = dict(zip(after, after_made, strict=True))
+        found |= known
+        ids |= zip(alone, alone_made, strict=True)
+        ids |= ((" " + w, known[w] if made is None else made) for w, made in behind.items())
+        odd_made = [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+        self.after_space.put(odd, odd_made)
+        found |= zip(odd, odd_made, strict=True)
+        return found
+
+    def cut_all(self, words: list[str]) -> list[list[str]]:
+        """The pieces of the stretches of a space and each word; those without other white space are cut at once."""
+        plain = [w for w in words if w.isprintable() and " " not in w]
+        cut: dict[str, list[str]] = {w: [] for w in plain}
+        order = iter(plain)
+        pieces: list[str] = []
+        for piece in self.find("".join(["\n " + w for w in plain])):
+            if piece == "\n":
+                pieces = cut[next(order)]
+            else:
+                pieces.append(piece)
+        return [cut[w] if w in cut else self.find(" " + w) for w in words]
+
     def stretch_ids(self, text: str) -> bytes:
         """The ids of a stretch that neither starts nor ends inside a run of white space."""
         if text.removeprefix(" ").isalpha():  # one piece of letters
@@ -196,23 +409,43 @@ class Codec:
         return b"".join([ids, *map(self.pieces.__getitem__, others)])
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers.
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
 
-        The text is cut before single spaces between other characters, where the split
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        The texts are cut before single spaces between other characters, where the split
         pattern always cuts, so that frequent stretches are encoded once.
         """
-        out = []
-        for part in self.split(text):
-            if part in self.added:
-                out.append(self.added[part].to_bytes(4, "little"))
-            elif part:
-                words = part.split(" ")
-                if "" in words or _has_wide_blank(part) or any(x in part for x in _BLANKS):
-                    words = self._rejoined(words)
-                if words[0]:
-                    out.append(self.stretch_ids(words[0]))
-                out.extend(map(self.after_space.__getitem__, words[1:]))
-        return b"".join(out)
+        parts: list[tuple[bytes, int]] = []  # ids, and how many words follow them
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            for part in self.split(text):
+                if part in self.added:
+                    parts.append((self.added[part].to_bytes(4, "little"), 0))
+                elif part:
+                    cut = part.split(" ")
+                    if "" in cut or _has_wide_blank(part) or any(x in part for x in _BLANKS):
+                        cut = self._rejoined(cut)
+                    parts.append((self.stretch_ids(cut[0]) if cut[0] else b"", len(cut) - 1))
+                    words += cut[1:]
+            ends.append(len(parts))
+        found: list[bytes] = []
+        for at in range(0, len(words), WORDS):
+            some = words[at : at + WORDS]
+            found += map(self.stretches(list(dict.fromkeys(some))).__getitem__, some)
+        made, at, begun = [], 0, 0
+        for end in ends:
+            out = []
+            for ids, n in parts[begun:end]:
+                out.append(ids)
+                out += found[at : at + n]
+                at += n
+            made.append(b"".join(out))
+            begun = end
+        return made
 
     @staticmethod
     def _rejoined(words: list[str]) -> list[str]:
@@ -258,7 +491,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             done = 0
             for part in slices(batch.column(1).to_pylist()):
-                ids = [tool.encode(t) for t in part]
+                ids = tool.encode_all(part)
                 names = batch.column(0).slice(done, len(part))
                 done += len(part)
                 texts = [tool.decode(i) for i in ids]
