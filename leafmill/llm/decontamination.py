@@ -39,14 +39,17 @@ UNITS = (
 NUMBERS = r"\d+(?:[.,:/]\d+)*"
 NAMES = r"([\p{Ll},;:] )(\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*)"
 MEASURED = rf"{NUMBER}\s+((?i:{'|'.join(UNITS)}))\b"
-PLAIN = rf"{NUMBERS}|[\p{{L}}\p{{M}}]+"
+# Java repeats a group by recursion, which a long list overflows, unless it gives nothing back.
+# Nothing follows these repeats, so they match the same; the SQL has the plain forms.
+JAVA_NUMBERS, JAVA_NAMES = (p.replace(")*", ")*+") for p in (NUMBERS, NAMES))
+PLAIN = rf"{JAVA_NUMBERS}|[\p{{L}}\p{{M}}]+"
 BETWEEN = rf"[^\p{{L}}\p{{M}}{NUMBER}-{NAME}]+"
 
 
 def _marked(text: Column) -> Column:
     """Names and numbers replaced."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, f"$1{NAME}")
-    return F.regexp_replace(named, NUMBERS, f" {NUMBER} ")
+    named = F.regexp_replace(F.coalesce(text, F.lit("")), JAVA_NAMES, f"$1{NAME}")
+    return F.regexp_replace(named, JAVA_NUMBERS, f" {NUMBER} ")
 
 
 def template(text: Column) -> Column:
@@ -62,11 +65,11 @@ def plain_words(text: Column) -> Column:
 
 def values(text: Column) -> Column:
     """struct(numbers, units, names): what the placeholders stand for, in order."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, f"$1{NAME}")
+    named = F.regexp_replace(F.coalesce(text, F.lit("")), JAVA_NAMES, f"$1{NAME}")
     return F.struct(
-        F.regexp_extract_all(named, F.lit(NUMBERS), F.lit(0)).alias("numbers"),
+        F.regexp_extract_all(named, F.lit(JAVA_NUMBERS), F.lit(0)).alias("numbers"),
         F.transform(F.regexp_extract_all(_marked(text), F.lit(MEASURED), F.lit(1)), F.lower).alias("units"),
-        F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NAMES), F.lit(2)), F.lower).alias("names"),
+        F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(JAVA_NAMES), F.lit(2)), F.lower).alias("names"),
     )
 
 

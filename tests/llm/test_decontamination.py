@@ -110,3 +110,23 @@ def test_items_of_few_literal_words_are_found(spark):
     assert {(r.doc_id, r.item_id, r.share, r.changed) for r in rows} == {(1, 1, 1.0, False), (2, 2, 1.0, False), (4, 3, 1.0, False), (7, 1, 1.0, True)}
     assert len(rows) == 4
     assert sorted(r.doc_id for r in dec.without_items(*frames).collect()) == [3, 5, 6, 8]
+
+
+def test_long_lists_of_names_and_numbers(spark):
+    lists = ["by" + " Tom" * 20_000, "see 1" + ",2" * 20_000, "see 1" + "/23" * 20_000, "of " + "Anna Eve " * 10_000]
+    docs = [(i, f"{text} and then {ITEMS[4][1]}") for i, text in enumerate(lists)] + [(9, lists[0])]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS[4:5], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.changed) for r in dec.found_items(*frames).collect()} == {(i, 1, False) for i in range(len(lists))}
+    assert [r.doc_id for r in dec.without_items(*frames).collect()] == [9]
+    words, numbers = frames[0].where("doc_id = 1").select(dec.template(F.col("text")), dec.values(F.col("text"))["numbers"]).first()
+    assert words[:3] == ["see", dec.NUMBER, "and"] and numbers == ["1" + ",2" * 20_000]
+    assert frames[0].where("doc_id = 9").select(dec.template(F.col("text"))).first()[0] == ["by", dec.NAME]
+
+
+def test_sql_keeps_the_plain_patterns(spark):
+    texts = ["so Tom Ñandú Eve ran 1,2.5:7/8 km, 3. Anna", "a 1, 2,,3 x Tom  Eve", "é Ä́b C d1.", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for plain, java in ((dec.NUMBERS, dec.JAVA_NUMBERS), (dec.NAMES, dec.JAVA_NAMES)):
+        assert plain in LEAKS and java not in LEAKS
+        both = frame.select(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (plain, java))).collect()
+        assert all(a == b for a, b in both)
