@@ -32,3 +32,12 @@ def test_stages_keep_odd_rows_and_columns(spark, sf, odd_docs):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
         assert 0 < out.count() <= docs.count(), name
+
+
+def test_long_lists_pass_the_benchmark_stage(spark, tmp_path):
+    item = "which of the boxes that the driver left in the yard on his way home was the heaviest one"
+    lists = ["names of" + " Tom Anna" * 5_000, "numbers 1" + ",23" * 10_000]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([*enumerate(lists), (2, f"{lists[0]} and {item}"), (3, None)], "doc_id long, text string")
+    kept = dict(pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(0, lists[0]), (1, lists[1]), (3, None)}
